@@ -78,14 +78,15 @@ def notes(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*items))
 
 
-def newest(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
-    """First ``n`` rows per key in ``order``.
+def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
+    """First ``n`` rows per key in ``order``; ``rank`` keeps the position under that name.
 
     The rank filter sits directly on the window, so Spark prunes each key to
     ``n`` rows before the shuffle; a hot key therefore never travels whole.
     """
-    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_rank", rank).filter(F.col("_rank") <= n).drop("_rank")
+    position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
+    kept = df.withColumn("_rank", position).filter(F.col("_rank") <= n)
+    return kept.withColumnRenamed("_rank", rank) if rank else kept.drop("_rank")
 
 
 def _literal(value) -> str:

@@ -80,7 +80,7 @@ def period_comparison(t):
 
 @query("agg6_employee_ranking", "receipts users", f"""WITH {COMPANY} SELECT user_id, employer_id, name, department,
  {r('sum(total_amount)')} AS total_amount, count(*) AS receipt_count, {r('sum(total_amount)::double / count(*)')} AS avg_per_receipt
- FROM base GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY employer_id ORDER BY sum(total_amount) DESC, user_id) <= 10""")
+ FROM base GROUP BY user_id, employer_id, name, department QUALIFY row_number() OVER (PARTITION BY employer_id ORDER BY sum(total_amount) DESC, user_id) <= 10""")
 def employee_ranking(t):
     return ops.employee_ranking(recent(t, 30), t.users, AS_OF, top=10)
 

@@ -91,8 +91,8 @@ SELECT event_id AS notification_id, user_id, event_type AS type,
 
 
 def r(expression: str) -> str:
-    """A number in report form: double, six digits."""
-    return f"round(cast({expression} AS double), 6)"
+    """A number in report form: double, six digits, exact halves upwards."""
+    return f"round(cast({expression} AS double) + 1e-9, 6)"
 
 
 def d(expression: str) -> str:

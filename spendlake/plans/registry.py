@@ -60,13 +60,15 @@ def comparable(df: DataFrame) -> DataFrame:
     """Report form of a result: plain numbers, strings and booleans only.
 
     Money becomes double, doubles are rounded to six digits, times become ISO
-    text and arrays of text are joined, so two engines print equal values.
+    text and arrays of text are joined, so two engines print equal values.  The
+    nudge before rounding keeps exact halves on one side: two engines that add
+    in another order differ in the last bit and would split them.
     """
     columns = []
     for field in df.schema.fields:
         column, kind = F.col(f"`{field.name}`"), field.dataType
         if isinstance(kind, (T.DecimalType, T.DoubleType, T.FloatType)):
-            column = F.round(column.cast("double"), 6) + F.lit(0.0)
+            column = F.round(column.cast("double") + F.lit(1e-9), 6)
         elif isinstance(kind, T.TimestampType):
             column = F.date_format(column, "yyyy-MM-dd HH:mm:ss")
         elif isinstance(kind, T.DateType):
