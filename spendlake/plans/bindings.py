@@ -47,11 +47,11 @@ SELECT o_orderkey AS receipt_id, 'tesseract' AS engine, cast(0.30 AS double) AS
  cast(0.62 AS double) + CASE WHEN o_orderkey % 2 = 0 THEN cast(0.1 AS double) ELSE 0 END AS confidence,
  strftime({ORDER_TIME}, '%Y-%m-%d') AS date FROM orders
 UNION ALL SELECT o_orderkey, 'easyocr', cast(0.35 AS double), 'VENDOR ' || (o_orderkey % 40),
- cast(o_totalprice * cast(1.01 AS double) AS decimal(18,2)),
+ cast(cast(o_totalprice AS decimal(14,2)) * 1.01::decimal(3,2) AS decimal(18,2)),
  cast(0.68 AS double) + CASE WHEN o_orderkey % 2 = 0 THEN cast(0.1 AS double) ELSE 0 END,
  strftime({ORDER_TIME}, '%d/%m/%Y') FROM orders
 UNION ALL SELECT o_orderkey, 'paddleocr', cast(0.35 AS double), substring('Vendor ' || (o_orderkey % 40), 2),
- cast(CASE WHEN o_orderkey % 11 = 0 THEN o_totalprice * 12 ELSE o_totalprice END AS decimal(18,2)),
+ cast(cast(o_totalprice AS decimal(14,2)) * CASE WHEN o_orderkey % 11 = 0 THEN 12 ELSE 1 END AS decimal(18,2)),
  cast(0.55 AS double) + CASE WHEN o_orderkey % 2 = 0 THEN cast(0.1 AS double) ELSE 0 END,
  strftime({ORDER_TIME}, '%Y-%m-%d') FROM orders"""),
     "users": ((), """

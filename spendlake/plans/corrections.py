@@ -100,14 +100,14 @@ def product_corrections(t):
         F.col("l_linenumber").alias("line"),
         F.concat(F.lit("corrected "), F.col("l_partkey").cast("string")).alias("name"),
         F.lit(None).cast("double").alias("quantity"),
-        (F.col("l_extendedprice") / 2).cast("decimal(18,2)").alias("total_price"),
+        (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(18,2)").alias("total_price"),
         F.col("l_shipdate").alias("corrected_at"),
         F.col("l_suppkey").alias("correction_id"),
     )
 
 
 @query("upd6_products_corrected", "receipt_products", f"""WITH latest AS (SELECT l_orderkey, l_linenumber, 'corrected ' || l_partkey AS name,
- cast(l_extendedprice / 2 AS decimal(18,2)) AS price FROM lineitem WHERE l_discount > 0.07 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+ cast(cast(l_extendedprice AS decimal(14,2)) * 0.5::decimal(2,1) AS decimal(18,2)) AS price FROM lineitem WHERE l_discount > 0.07 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
  ORDER BY l_shipdate DESC, l_suppkey DESC) = 1)
  SELECT receipt_id, line, coalesce(l.name, p.name) AS name, {r('quantity')} AS quantity, {r('coalesce(price, total_price)')} AS total_price,
  CASE WHEN price IS NOT NULL THEN 'manual_correction' ELSE extraction_method END AS extraction_method

@@ -13,15 +13,15 @@ from spendlake.plans.registry import query
 
 def declared(t):
     """Receipts whose declared total is the line sum times a factor; some have no products at all."""
-    factor = F.element_at(F.array(*[F.lit(x) for x in (1.0, 1.03, 0.92, 1.15, 2.0)]), (F.col("receipt_id") % 5 + 1).cast("int"))
+    factor = F.element_at(F.array(*[F.lit(x).cast("decimal(3,2)") for x in ("1.00", "1.03", "0.92", "1.15", "2.00")]), (F.col("receipt_id") % 5 + 1).cast("int"))
     sums = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("receipt_id")).agg(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).alias("_s"))
     rows = t.receipts.select("receipt_id").join(sums, "receipt_id", "left")
-    amount = F.coalesce(F.col("_s"), F.lit(5000)).cast("double") * factor
+    amount = F.coalesce(F.col("_s"), F.lit(5000)).cast("decimal(18,2)") * factor
     return rows.select("receipt_id", amount.cast("decimal(18,2)").alias("total_amount"))
 
 
-DECLARED = """declared AS (SELECT r.receipt_id, cast(coalesce(s, 5000)::double * CASE r.receipt_id % 5 WHEN 0 THEN 1.0::double WHEN 1 THEN 1.03::double
- WHEN 2 THEN 0.92::double WHEN 3 THEN 1.15::double ELSE 2.0::double END AS decimal(18,2)) AS declared FROM receipts r LEFT JOIN
+DECLARED = """declared AS (SELECT r.receipt_id, cast(coalesce(s, 5000)::decimal(14,2) * CASE r.receipt_id % 5 WHEN 0 THEN 1.00 WHEN 1 THEN 1.03
+ WHEN 2 THEN 0.92 WHEN 3 THEN 1.15 ELSE 2.00 END::decimal(3,2) AS decimal(18,2)) AS declared FROM receipts r LEFT JOIN
  (SELECT l_orderkey AS receipt_id, sum(cast(l_extendedprice AS decimal(18,2))) AS s FROM lineitem GROUP BY 1) l ON r.receipt_id = l.receipt_id),
  items AS (SELECT receipt_id, sum(total_price) AS calc, count(*) AS n, avg(confidence) AS conf FROM receipt_products GROUP BY 1)"""
 

@@ -189,7 +189,7 @@ class Tables:
         base = self.raw("orders").select("o_orderkey", "o_totalprice", "o_orderdate")
         vendor = F.concat(F.lit("Vendor "), (F.col("o_orderkey") % 40).cast("string"))
         lift = F.when(F.col("o_orderkey") % 2 == 0, F.lit(0.1)).otherwise(F.lit(0.0))
-        price = F.col("o_totalprice")
+        price = F.col("o_totalprice").cast(MONEY)
         wild = F.when(F.col("o_orderkey") % 11 == 0, price * 12).otherwise(price)
         day = F.date_format(self._order_time(), "yyyy-MM-dd")
         slashed = F.date_format(self._order_time(), "dd/MM/yyyy")
@@ -206,7 +206,7 @@ class Tables:
 
         readings = F.array(
             reading("tesseract", 0.30, vendor, price, 0.62, day),
-            reading("easyocr", 0.35, F.upper(vendor), price * 1.01, 0.68, slashed),
+            reading("easyocr", 0.35, F.upper(vendor), price * F.lit("1.01").cast("decimal(3,2)"), 0.68, slashed),
             reading("paddleocr", 0.35, F.expr("substring(vendor_text, 2)"), wild, 0.55, day),
         )
         return (
