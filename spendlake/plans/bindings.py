@@ -87,6 +87,35 @@ SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'tesseract' WHEN
 SELECT event_id AS notification_id, user_id, event_type AS type,
  CASE event_id % 3 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' ELSE 'high' END AS priority, event_id % 2 = 0 AS is_read,
  ts AS created_at, props AS data FROM events"""),
+    "receipt_texts": ((), f"""
+SELECT o_orderkey AS receipt_id, total, n, {ORDER_TIME} AS date, concat_ws(chr(10),
+ ['LIDER EXPRESS LTDA', 'COPEC PRONTO', 'FARMACIA CRUZ VERDE', 'FALABELLA CENTRO', 'COMERCIAL ANDINA'][o_orderkey % 5 + 1],
+ 'RUT: 76.' || lpad((o_orderkey % 1000)::varchar, 3, '0') || '.' || lpad((o_orderkey * 7 % 1000)::varchar, 3, '0') || '-'
+  || CASE WHEN o_orderkey % 11 = 10 THEN 'K' ELSE (o_orderkey % 10)::varchar END,
+ 'SUC: ' || CASE WHEN o_orderkey % 4 = 0 THEN 'CALLE LOS AROMOS ' ELSE 'AV. PROVIDENCIA ' END || (o_orderkey % 900 + 100) || ', SANTIAGO',
+ 'FONO: +56 2 2' || lpad((o_orderkey % 1000)::varchar, 3, '0') || ' ' || lpad((o_orderkey * 3 % 10000)::varchar, 4, '0'),
+ 'BOL. ELECTRONICA: ' || lpad(o_orderkey::varchar, 10, '0'),
+ 'FECHA: ' || strftime({ORDER_TIME}, '%d/%m/%Y') || ' HORA: ' || strftime({ORDER_TIME}, '%H:%M:%S'),
+ 'CAJA: ' || lpad((o_orderkey % 90)::varchar, 4, '0'), body,
+ 'TOTAL $ ' || replace(format('{{:,}}', total), ',', '.'), 'SUBTOTAL ' || replace(format('{{:,}}', total), ',', '.'),
+ 'AFECTO ' || replace(format('{{:,}}', total - vat), ',', '.'),
+ CASE WHEN o_orderkey % 3 = 1 THEN 'TOTAL IVA (19.0%)' || chr(10) ELSE 'IVA $ ' END || replace(format('{{:,}}', vat), ',', '.'),
+ 'TOTAL NUMERO DE ARTIC VEND = ' || n,
+ ['EFECTIVO', 'DEBITO', 'CREDITO', 'TARJETA VISA XXXX 4321 AUTORIZACION: 998877', 'TRANSFERENCIA'][o_orderkey % 5 + 1],
+ 'VUELTO $ ' || (o_orderkey % 7 * 100), 'GRACIAS POR SU COMPRA') AS text
+FROM orders JOIN (SELECT l_orderkey, cast(sum(amount) AS bigint) AS total, cast(sum(amount) AS bigint) * 19 // 119 AS vat, count(*) AS n,
+ string_agg(line, chr(10) ORDER BY l_linenumber, l_partkey, l_suppkey, amount) AS body FROM (
+ SELECT *, CASE WHEN l_orderkey % 3 = 0 THEN counted || ' ' || name || ' $' || price WHEN l_orderkey % 3 = 2 THEN bar || ' ' || name || ' $' || price
+  WHEN l_partkey % 3 = 0 THEN counted || chr(10) || name || chr(10) || '$ ' || price WHEN l_partkey % 3 = 1 THEN bar || ' ' || name || chr(10) || '$ ' || price
+  ELSE name || chr(10) || chr(10) || price END AS line FROM (
+ SELECT *, q::varchar || 'X' || replace(format('{{:,}}', amount // q), ',', '.') AS counted, replace(format('{{:,}}', amount), ',', '.') AS price FROM (
+ SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, cast(floor(l_extendedprice) AS bigint) AS amount, cast(l_quantity AS int) AS q, upper(p_name) AS name,
+ '78' || lpad(l_partkey::varchar, 11, '0') AS bar FROM lineitem JOIN part ON l_partkey = p_partkey))) GROUP BY 1) ON o_orderkey = l_orderkey"""),
+    "noisy_names": ((), """
+SELECT p_partkey AS sku, p_retailprice AS price, CASE p_partkey % 5 WHEN 0 THEN replace(base, 'o', '0') WHEN 1 THEN replace(base, 'l', '1')
+ WHEN 2 THEN base || ' ' || upper(p_name) WHEN 3 THEN array_to_string(list_transform(string_split(base, ' '), lambda w: upper(w[1]) || w[2:]), ' ')
+ ELSE replace(base, 'a', '4') END AS name FROM (SELECT *, ['coca cola', 'pepsi', 'leche soprole', 'yogurt', 'pan hallulla', 'marraqueta', 'pollo',
+ 'lomo', 'tomate', 'paltas', 'platano', 'arroz grado 1', 'aceite oliva', 'azucar blanca', 'detergente', 'galletas'][p_partkey % 16 + 1] AS base FROM part)"""),
 }
 
 

@@ -27,6 +27,16 @@ PRIORITY_CATEGORY = {
 STATUS = {"F": "aceptada", "O": "en_revision", "P": "rechazada"}
 MONEY = "decimal(18,2)"
 
+VENDORS = ["LIDER EXPRESS LTDA", "COPEC PRONTO", "FARMACIA CRUZ VERDE", "FALABELLA CENTRO", "COMERCIAL ANDINA"]
+PAYMENTS = ["EFECTIVO", "DEBITO", "CREDITO", "TARJETA VISA XXXX 4321 AUTORIZACION: 998877", "TRANSFERENCIA"]
+SHELF = ["coca cola", "pepsi", "leche soprole", "yogurt", "pan hallulla", "marraqueta", "pollo", "lomo", "tomate", "paltas",
+         "platano", "arroz grado 1", "aceite oliva", "azucar blanca", "detergente", "galletas"]
+
+
+def dotted(number: Column) -> Column:
+    """A whole number with dots between thousands."""
+    return F.replace(F.format_number(number, 0), F.lit(","), F.lit("."))
+
 
 class Tables:
     """The canonical tables of one data folder."""
@@ -332,6 +342,78 @@ class Tables:
 
     # -- text -------------------------------------------------------------------
 
+    @cached_property
+    def receipt_texts(self) -> DataFrame:
+        """The text of each receipt with products, in one of three layouts by receipt."""
+        k, nl = F.col("l_orderkey"), F.lit("\n")
+        amount = F.floor("l_extendedprice")
+        quantity = F.col("l_quantity").cast("int")
+        name = F.upper("p_name")
+        bar = F.concat(F.lit("78"), F.lpad(F.col("l_partkey").cast("string"), 11, "0"))
+        counted = F.concat(quantity.cast("string"), F.lit("X"), dotted(F.floor(amount / quantity)))
+        inline = F.concat_ws(" ", counted, name, F.concat(F.lit("$"), dotted(amount)))
+        coded = F.concat_ws(" ", bar, name, F.concat(F.lit("$"), dotted(amount)))
+        price = F.concat(F.lit("$ "), dotted(amount))
+        stacked = (
+            F.when(F.col("l_partkey") % 3 == 0, F.concat_ws("\n", counted, name, price))
+            .when(F.col("l_partkey") % 3 == 1, F.concat(bar, F.lit(" "), name, nl, price))
+            .otherwise(F.concat(name, nl, nl, dotted(amount)))
+        )
+        line = F.when(k % 3 == 0, inline).when(k % 3 == 1, stacked).otherwise(coded)
+        lines, parts = self.raw("lineitem"), self.raw("part")
+        order = F.struct("l_linenumber", "l_partkey", "l_suppkey", amount.alias("amount"), line.alias("line"))
+        body = (
+            lines.join(parts, lines.l_partkey == parts.p_partkey)
+            .groupBy("l_orderkey")
+            .agg(F.sort_array(F.collect_list(order)).alias("rows"), F.sum(amount).alias("total"), F.count(F.lit(1)).alias("n"))
+        )
+        orders = self.raw("orders").select("o_orderkey", "o_orderdate")
+        o = F.col("o_orderkey")
+        text = o.cast("string")
+
+        def pick(values: list[str], by: int) -> Column:
+            return F.element_at(F.array(*[F.lit(v) for v in values]), (o % by + 1).cast("int"))
+
+        def pad(number: Column, width: int) -> Column:
+            return F.lpad(number.cast("string"), width, "0")
+
+        vat = F.floor(F.col("total") * 19 / 119)
+        when = self._order_time()
+        rows = [
+            pick(VENDORS, 5),
+            F.concat(F.lit("RUT: 76."), pad(o % 1000, 3), F.lit("."), pad(o * 7 % 1000, 3), F.lit("-"), F.when(o % 11 == 10, "K").otherwise((o % 10).cast("string"))),
+            F.concat(F.lit("SUC: "), F.when(o % 4 == 0, "CALLE LOS AROMOS ").otherwise("AV. PROVIDENCIA "), (o % 900 + 100).cast("string"), F.lit(", SANTIAGO")),
+            F.concat(F.lit("FONO: +56 2 2"), pad(o % 1000, 3), F.lit(" "), pad(o * 3 % 10000, 4)),
+            F.concat(F.lit("BOL. ELECTRONICA: "), F.lpad(text, 10, "0")),
+            F.concat(F.lit("FECHA: "), F.date_format(when, "dd/MM/yyyy"), F.lit(" HORA: "), F.date_format(when, "HH:mm:ss")),
+            F.concat(F.lit("CAJA: "), pad(o % 90, 4)),
+            F.array_join(F.transform("rows", lambda r: r["line"]), "\n"),
+            F.concat(F.lit("TOTAL $ "), dotted(F.col("total"))),
+            F.concat(F.lit("SUBTOTAL "), dotted(F.col("total"))),
+            F.concat(F.lit("AFECTO "), dotted(F.col("total") - vat)),
+            F.when(o % 3 == 1, F.concat(F.lit("TOTAL IVA (19.0%)\n"), dotted(vat))).otherwise(F.concat(F.lit("IVA $ "), dotted(vat))),
+            F.concat(F.lit("TOTAL NUMERO DE ARTIC VEND = "), F.col("n").cast("string")),
+            pick(PAYMENTS, 5),
+            F.concat(F.lit("VUELTO $ "), dotted(o % 7 * 100)),
+            F.lit("GRACIAS POR SU COMPRA"),
+        ]
+        joined = orders.join(body, orders.o_orderkey == body.l_orderkey)
+        return joined.select(o.alias("receipt_id"), F.concat_ws("\n", *rows).alias("text"), "total", "n", when.alias("date"))
+
+    @cached_property
+    def noisy_names(self) -> DataFrame:
+        """Product names as an engine might read them: one per part, with confused characters."""
+        k = F.col("p_partkey")
+        base = F.element_at(F.array(*[F.lit(v) for v in SHELF]), (k % len(SHELF) + 1).cast("int"))
+        noisy = (
+            F.when(k % 5 == 0, F.translate(base, "o", "0"))
+            .when(k % 5 == 1, F.translate(base, "l", "1"))
+            .when(k % 5 == 2, F.concat(base, F.lit(" "), F.upper("p_name")))
+            .when(k % 5 == 3, F.initcap(base))
+            .otherwise(F.regexp_replace(base, "a", "4"))
+        )
+        return self.raw("part").select(k.alias("sku"), noisy.alias("name"), F.col("p_retailprice").alias("price"))
+
     @cached_property
     def documents(self) -> DataFrame:
         return self.raw("documents").select("doc_id", "text", "lang", "source")
