@@ -6,6 +6,7 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -78,6 +79,16 @@ def notes(*pairs: tuple[Column, Column | str]) -> Column:
     return F.array_compact(F.array(*items))
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once.
+
+    A costly value that an array function repeats for every element (a whole
+    text in lower case, say) would otherwise be computed each time, since the
+    optimizer inlines projections.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def newest(df: DataFrame, keys: list[str], order: list[Column], n: int, rank: str | None = None) -> DataFrame:
     """First ``n`` rows per key in ``order``; ``rank`` keeps the position under that name.
 

@@ -8,6 +8,7 @@ from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlake.functions.core import let
 from spendlake.functions.text import first
 
 # Document patterns and the brands and words of each category, in order of precedence.
@@ -95,16 +96,21 @@ def _table(words: dict[str, list[str]]) -> Column:
 
 def flags(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
     """TXT4: tax id, document type, VAT mention and the first known brand."""
-    text, low = F.col("text"), F.lower("text")
-    kind = first(low, DOCUMENT)
-    brand = F.get(F.filter(_table(CATEGORY_WORDS), lambda b: low.contains(b["word"])), F.lit(0))
-    return texts.select(
+
+    def look(low: Column) -> Column:
+        brand = F.get(F.filter(_table(CATEGORY_WORDS), lambda b: low.contains(b["word"])), F.lit(0))
+        return F.struct(brand.alias("brand"), first(low, DOCUMENT).alias("kind"), low.rlike(VAT_MENTION).alias("vat"))
+
+    # Exploding a one-element array fixes the value: nothing is pushed into or copied out of it.
+    rows = texts.select(key, first(F.col("text"), TAX_ID).alias("tax_id"), F.explode(F.transform(F.array(F.lower("text")), look)).alias("_f"))
+    kind = F.col("_f.kind")
+    return rows.select(
         key,
-        first(text, TAX_ID).alias("tax_id"),
+        "tax_id",
         F.when(kind.contains("factura"), "factura").when(kind.isNotNull(), "boleta").alias("document_type"),
-        low.rlike(VAT_MENTION).alias("vat_mentioned"),
-        brand["word"].alias("known_brand"),
-        brand["category"].alias("brand_category"),
+        F.col("_f.vat").alias("vat_mentioned"),
+        F.col("_f.brand.word").alias("known_brand"),
+        F.col("_f.brand.category").alias("brand_category"),
     )
 
 
@@ -122,20 +128,18 @@ def rule_category(flagged: DataFrame) -> DataFrame:
 
 def votes(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
     """TXT6: brand hits and word scores per category; brands weigh two, words one."""
-    low = F.lower("text")
 
-    def mentioned(word: Column) -> Column:
-        return low.contains(word) | low.contains(F.replace(word, F.lit(" "), F.lit(""))) | low.contains(F.replace(word, F.lit("-"), F.lit(" ")))
-
-    brands = F.transform(
-        F.filter(_table(VOTE_BRANDS), lambda b: mentioned(b["word"])),
-        lambda b: F.struct(b["category"].alias("category"), F.lit(1).alias("brand"), F.lit(2).alias("score")),
-    )
-    words = F.transform(
-        F.filter(_table(VOTE_WORDS), lambda b: low.contains(b["word"])),
-        lambda b: F.struct(b["category"].alias("category"), F.lit(0).alias("brand"), F.lit(1).alias("score")),
-    )
-    rows = texts.select(key, F.explode(F.concat(brands, words)).alias("v"))
+    def spellings(word: str) -> list[str]:
+        return list(dict.fromkeys([word, word.replace(" ", ""), word.replace("-", " ")]))
+
+    entries = [(c, w, s, 1, 2) for c, ws in VOTE_BRANDS.items() for w in ws for s in spellings(w)]
+    entries += [(c, w, w, 0, 1) for c, ws in VOTE_WORDS.items() for w in ws]
+    names = ["category", "word", "spelling", "brand", "score"]
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)]) for e in entries])
+    found = let(F.lower("text"), lambda low: F.filter(table, lambda e: low.contains(e["spelling"])))
+    # Several spellings of one brand are one hit.
+    hit = lambda e: F.struct(e["category"].alias("category"), e["word"].alias("word"), e["brand"].alias("brand"), e["score"].alias("score"))
+    rows = texts.select(key, F.explode(F.array_distinct(F.transform(found, hit))).alias("v"))
     return rows.groupBy(key, F.col("v.category").alias("category")).agg(
         F.sum("v.brand").alias("brands"), F.sum("v.score").alias("score")
     )

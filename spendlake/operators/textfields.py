@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.functions.core import AsOf, ts
+from spendlake.functions.core import AsOf, let, ts
 from spendlake.functions.text import (
     clean,
     contains_any,
@@ -353,6 +353,7 @@ ADDRESSES = [
     (r"(mall|centro\s+comercial)\s+([^,\n]+)", 2),
     (r"([^,\n]+?)\s+(\d+)(?:\s*[-,]\s*([^,\n]+))?,?\s*(\d{7})", 4),
 ]
+RUN_STARTS = {1: r"(?:\G|(?<=[,\n]))", 2: r"(?:\G|(?<=[^a-záéíóúñ\s]))", 4: r"(?:\G|(?<=[,\n]))"}
 PHONES = [
     r"\+56\s*[2-9]\s*\d{4}\s*\d{4}",
     r"\(\+56\)\s*[2-9]\s*\d{4}\s*\d{4}",
@@ -378,19 +379,23 @@ PLACED_BRANDS = [
 
 def _addresses(text: Column) -> Column:
     """Addresses as ``street number[, rest]`` in lower case, distinct and sorted."""
-    def build(groups: int):
+    def build(pattern: str, groups: int):
         def address(match: Column) -> Column:
-            bits = F.filter(F.array(*[F.trim(match[f"g{g}"]) for g in range(1, groups + 1)]), lambda b: b != "")
-            one, two, three = [F.get(bits, F.lit(i)) for i in (0, 1, 2)]
-            numbered = F.concat(one, F.lit(" "), two, F.when(three.isNotNull(), F.concat(F.lit(", "), three)).otherwise(""))
-            return F.when(F.size(bits) >= 2, F.when(two.rlike(r"^\d+$"), numbered).otherwise(F.array_join(bits, " ")))
+            bits = F.filter(F.array(*[F.trim(F.regexp_extract(match, pattern, g)) for g in range(1, groups + 1)]), lambda b: b != "")
+
+            def join(parts: Column) -> Column:
+                one, two, three = [F.get(parts, F.lit(i)) for i in (0, 1, 2)]
+                numbered = F.concat(one, F.lit(" "), two, F.when(three.isNotNull(), F.concat(F.lit(", "), three)).otherwise(""))
+                return F.when(F.size(parts) >= 2, F.when(two.rlike(r"^\d+$"), numbered).otherwise(F.array_join(parts, " ")))
+
+            return let(bits, join)
 
         return address
 
-    found = []
-    for pattern, groups in ADDRESSES:
-        parts = F.arrays_zip(*[every(text, pattern, g).alias(f"g{g}") for g in range(1, groups + 1)])
-        found.append(F.transform(parts, build(groups)))
+    # The text is searched once per pattern; the groups come from the short match.  A pattern that opens with a
+    # run of characters can only match leftmost from the start of such a run or where the last match ended, so
+    # the search is tied to those places and stays linear in the text.
+    found = [F.transform(every(text, RUN_STARTS.get(i, "") + pattern, 0), build(pattern, groups)) for i, (pattern, groups) in enumerate(ADDRESSES)]
     street = r"\b(?:av|avenida|calle|pasaje|camino)\b"
     valid = lambda a: a.isNotNull() & a.rlike(r"\d") & (a.rlike(street) | F.length(a).between(10, 100))
     return F.array_sort(F.array_distinct(F.filter(F.concat(*found), valid)))
@@ -418,14 +423,16 @@ def _words(text: Column, words: list[str]) -> Column:
 
 def place_mentions(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
     """TXT22: addresses, phones, brands and place words of a text, with confidence and method."""
-    low = F.trim(F.lower("text"))
-    rows = texts.select(
-        key,
-        _addresses(low).alias("addresses"),
-        _phones(F.col("text")).alias("phones"),
-        _words(low, PLACED_BRANDS).alias("brands"),
-        _words(low, PLACE_WORDS + COMMUNES).alias("place_words"),
-    )
+
+    def look(low: Column) -> Column:
+        return F.struct(
+            _addresses(low).alias("addresses"),
+            _phones(low).alias("phones"),
+            _words(low, PLACED_BRANDS).alias("brands"),
+            _words(low, PLACE_WORDS + COMMUNES).alias("place_words"),
+        )
+
+    rows = texts.select(key, F.explode(F.transform(F.array(F.trim(F.lower("text"))), look)).alias("_m")).select(key, "_m.*")
 
     def part(name: str, weight: float, full: int) -> Column:
         return F.least(F.size(name) / full, F.lit(1.0)) * weight

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.functions.core import notes, num, ratio
+from spendlake.functions.core import let, notes, num, ratio
 from spendlake.functions.text import clean, contains_any, every, first, first_of, lines, peso_price, undotted
 
 # Line filters, price and quantity patterns, name repairs and brands of the line parser.
@@ -43,42 +43,46 @@ def text_lines(texts: DataFrame) -> DataFrame:
 
 def product_lines(texts: DataFrame) -> DataFrame:
     """TXT12: lines with a price or code that are not headers or footers, parsed one by one."""
-    rows = text_lines(texts)
-    low = F.lower(F.trim("line"))
-    skipped = F.lit(False)
-    for pattern in SKIP_LINES:
-        skipped = skipped | low.rlike(pattern)
-    kept = rows.filter(~skipped & F.col("line").rlike(r"\d"))
-    line = F.trim("line")
-    barcode = first(F.col("line"), BARCODE)
-    quantity = F.coalesce(*[F.replace(first(F.col("line"), p), F.lit(","), F.lit(".")).try_cast("double") for p in QUANTITIES], F.lit(1.0))
-    found = F.transform(F.concat(*[every(F.col("line"), p) for p in PRICES]), undotted)
-    prices = F.array_sort(F.array_distinct(F.filter(found, lambda p: p.between(*PRICE_RANGE))))
-    bare = F.when(barcode.isNotNull(), F.trim(F.replace(line, barcode, F.lit("")))).otherwise(line)
-    bare = F.regexp_replace(bare, r"\$\s*\d+[,.]?\d*", "")
-    bare = F.regexp_replace(bare, r"^\d+[xX]\s*", "")
-    bare = F.regexp_replace(bare, r"[^a-zA-ZáéíóúÁÉÍÓÚñÑ0-9\s]", " ")
-    name = F.upper(F.trim(F.regexp_replace(bare, r"\s+", " ")))
-    repaired = None
-    for part, full in NAME_REPAIRS:
-        hit = F.col("_name").contains(part)
-        repaired = F.when(hit, full) if repaired is None else repaired.when(hit, full)
-    n = F.size("_prices")
-    lowest, highest = F.array_min("_prices"), F.array_max("_prices")
-    parsed = kept.select(
-        "receipt_id", "pos", line.alias("raw_line"), barcode.alias("barcode"), quantity.alias("quantity"), prices.alias("_prices"), name.alias("_name")
-    ).select(
-        "receipt_id",
-        "pos",
-        "raw_line",
-        "barcode",
-        "quantity",
-        repaired.otherwise(F.col("_name")).alias("name"),
-        F.when(n == 1, ratio(highest, F.col("quantity"))).when(n == 2, lowest).alias("unit_price"),
-        F.when(n >= 1, highest).alias("total_price"),
+    skipped = F.lower(F.trim("line")).rlike("|".join(SKIP_LINES))
+    kept = text_lines(texts).filter(F.col("line").rlike(r"\d") & ~skipped)
+
+    def parse(line: Column) -> Column:
+        barcode = first(line, BARCODE)
+        quantity = F.coalesce(*[F.replace(first(line, p), F.lit(","), F.lit(".")).try_cast("double") for p in QUANTITIES], F.lit(1.0))
+        found = F.transform(F.concat(*[every(line, p) for p in PRICES]), undotted)
+        prices = F.array_sort(F.array_distinct(F.filter(found, lambda p: p.between(*PRICE_RANGE))))
+        bare = F.trim(F.replace(F.trim(line), F.coalesce(barcode, F.lit("\n")), F.lit("")))
+        bare = F.regexp_replace(bare, r"\$\s*\d+[,.]?\d*", "")
+        bare = F.regexp_replace(bare, r"^\d+[xX]\s*", "")
+        bare = F.regexp_replace(bare, r"[^a-zA-ZáéíóúÁÉÍÓÚñÑ0-9\s]", " ")
+        name = F.upper(F.trim(F.regexp_replace(bare, r"\s+", " ")))
+        return F.struct(
+            F.trim(line).alias("raw_line"),
+            barcode.alias("barcode"),
+            quantity.alias("quantity"),
+            let(name, repaired).alias("name"),
+            prices.alias("prices"),
+        )
+
+    def repaired(name: Column) -> Column:
+        result = None
+        for part, full in NAME_REPAIRS:
+            hit = name.contains(part)
+            result = F.when(hit, full) if result is None else result.when(hit, full)
+        return result.otherwise(name)
+
+    # Each line is parsed once: the explode keeps later steps from repeating the expressions.
+    named = lambda p: (p["name"] != "") | p["barcode"].isNotNull()
+    parsed = kept.select("receipt_id", "pos", F.explode(F.filter(F.transform(F.array("line"), parse), named)).alias("_l")).select(
+        "receipt_id", "pos", "_l.*"
     )
+    n = F.size("prices")
+    lowest, highest = F.array_min("prices"), F.array_max("prices")
+    priced = parsed.withColumn(
+        "unit_price", F.when(n == 1, ratio(highest, F.col("quantity"))).when(n == 2, lowest)
+    ).withColumn("total_price", F.when(n >= 1, highest))
     unit, total = F.col("unit_price"), F.col("total_price")
-    fits = F.coalesce(F.abs(F.try_divide(F.col("quantity") * unit - total, total)) < 0.1, F.lit(False)) & (unit > 0)
+    fits = (unit > 0) & (F.abs(F.try_divide(F.col("quantity") * unit - total, total)) < 0.1)
     confidence = (
         F.lit(0.3)
         + F.when(F.col("barcode").isNotNull(), 0.2).otherwise(0.0)
@@ -86,8 +90,7 @@ def product_lines(texts: DataFrame) -> DataFrame:
         + F.when(F.coalesce(fits, F.lit(False)), 0.2).otherwise(0.0)
         + F.when(contains_any(F.col("name"), LINE_BRANDS), 0.1).otherwise(0.0)
     )
-    named = parsed.filter((F.col("name") != "") | F.col("barcode").isNotNull())
-    return named.withColumn("confidence", F.least(F.lit(1.0), confidence))
+    return priced.withColumn("confidence", F.least(F.lit(1.0), confidence)).drop("prices")
 
 
 # Product layouts over several lines, in order of precedence.

@@ -42,15 +42,15 @@ SELECT o_orderkey AS receipt_id, o_custkey AS user_id, 'Vendor ' || (o_orderkey
  cast(-70.67 AS double) + (o_orderkey % 5) * cast(0.003 AS double) AS lng, 'City ' || c_nationkey AS address
 FROM orders JOIN customer ON o_custkey = c_custkey"""),
     "engine_results": ((), f"""
-SELECT o_orderkey AS receipt_id, 'tesseract' AS engine, cast(0.30 AS double) AS weight, 'Vendor ' || (o_orderkey % 40) AS vendor,
+SELECT o_orderkey AS receipt_id, 'tesseract' AS engine, cast(0.25 AS double) AS weight, 'Vendor ' || (o_orderkey % 40) AS vendor,
  cast(o_totalprice AS decimal(18,2)) AS total_amount,
  cast(0.62 AS double) + CASE WHEN o_orderkey % 2 = 0 THEN cast(0.1 AS double) ELSE 0 END AS confidence,
  strftime({ORDER_TIME}, '%Y-%m-%d') AS date FROM orders
-UNION ALL SELECT o_orderkey, 'easyocr', cast(0.35 AS double), 'VENDOR ' || (o_orderkey % 40),
+UNION ALL SELECT o_orderkey, 'easyocr', cast(0.60 AS double), CASE o_orderkey % 7 WHEN 3 THEN 'VENDOR ' || (o_orderkey % 40) || '.' WHEN 5 THEN 'XQZW' ELSE 'VENDOR ' || (o_orderkey % 40) END,
  cast(cast(o_totalprice AS decimal(14,2)) * 1.01::decimal(3,2) AS decimal(18,2)),
  cast(0.68 AS double) + CASE WHEN o_orderkey % 2 = 0 THEN cast(0.1 AS double) ELSE 0 END,
  strftime({ORDER_TIME}, '%d/%m/%Y') FROM orders
-UNION ALL SELECT o_orderkey, 'paddleocr', cast(0.35 AS double), substring('Vendor ' || (o_orderkey % 40), 2),
+UNION ALL SELECT o_orderkey, 'paddleocr', cast(0.15 AS double), substring('Vendor ' || (o_orderkey % 40), 2),
  cast(cast(o_totalprice AS decimal(14,2)) * CASE WHEN o_orderkey % 11 = 0 THEN 12 ELSE 1 END AS decimal(18,2)),
  cast(0.55 AS double) + CASE WHEN o_orderkey % 2 = 0 THEN cast(0.1 AS double) ELSE 0 END,
  strftime({ORDER_TIME}, '%Y-%m-%d') FROM orders"""),

@@ -431,7 +431,7 @@ WORDS = rf"""lw(place, lang, word) AS (VALUES {language_rows()}),
  counts AS (SELECT doc_id, place, lang, count(*) AS n FROM tok JOIN lw ON w = word GROUP BY ALL)"""
 
 
-@query("txt23_language_votes", "", f"""WITH {WORDS} SELECT d.doc_id, {', '.join(f"coalesce(max(n) FILTER (lang = '{x}'), 0) AS {x}" for x in language.LANGUAGE_WORDS)}
+@query("txt23_language_votes", "", f"""WITH {WORDS} SELECT d.doc_id, {', '.join(f"coalesce(max(n) FILTER (c.lang = '{x}'), 0) AS {x}" for x in language.LANGUAGE_WORDS)}
  FROM documents d LEFT JOIN counts c ON d.doc_id = c.doc_id GROUP BY d.doc_id""")
 def language_votes(t):
     return language.word_votes(t.documents)

@@ -214,10 +214,13 @@ class Tables:
                 date.alias("date"),
             )
 
+        # Mostly the same name in capitals; a stray mark or a foreign word makes the readings disagree.
+        k = F.col("o_orderkey") % 7
+        spoiled = F.when(k == 3, F.concat(F.upper(vendor), F.lit("."))).when(k == 5, F.lit("XQZW")).otherwise(F.upper(vendor))
         readings = F.array(
-            reading("tesseract", 0.30, vendor, price, 0.62, day),
-            reading("easyocr", 0.35, F.upper(vendor), price * F.lit("1.01").cast("decimal(3,2)"), 0.68, slashed),
-            reading("paddleocr", 0.35, F.expr("substring(vendor_text, 2)"), wild, 0.55, day),
+            reading("tesseract", 0.25, vendor, price, 0.62, day),
+            reading("easyocr", 0.60, spoiled, price * F.lit("1.01").cast("decimal(3,2)"), 0.68, slashed),
+            reading("paddleocr", 0.15, F.expr("substring(vendor_text, 2)"), wild, 0.55, day),
         )
         return (
             base.withColumn("vendor_text", vendor)
