@@ -8,6 +8,7 @@ is the only step in Python, on the pairs that reach it.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -180,35 +181,45 @@ GROUPED = T.ArrayType(
 )
 
 
+@lru_cache(maxsize=100_000)
+def _likeness(a: str, b: str) -> float:
+    """Matching share of two names; product names repeat, so a bounded cache saves most comparisons."""
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
+def _close(a: str, b: str, p: float, q: float) -> bool:
+    """At least .7 from .7 of the name's and .3 of the price's likeness; the cheap part goes first."""
+    if not a or not b:
+        return False
+    price = max(0.0, 1.0 - abs(p - q) / max(p, q) * 5) if p > 0 and q > 0 else 1.0
+    if price == 0.0:
+        return a == b
+    return _likeness(a, b) * 0.7 + price * 0.3 >= 0.7
+
+
+def _groups(names: list[str], prices: list[float]) -> list[dict]:
+    names = [n.lower() for n in names]
+    group = [-1] * len(names)
+    for i in range(len(names)):
+        if group[i] < 0:
+            group[i] = i
+            for j in range(i + 1, len(names)):
+                if group[j] < 0 and _close(names[i], names[j], prices[i], prices[j]):
+                    group[j] = i
+    result = []
+    for i, g in enumerate(group):
+        ratios = [_likeness(names[i], names[j]) for j in range(len(names)) if group[j] == g]
+        result.append({"place": i, "group": g, "agreement": sum(ratios) / len(ratios)})
+    return result
+
+
 @F.pandas_udf(GROUPED)
 def grouped_items(names: pd.Series, prices: pd.Series) -> pd.Series:
-    """Groups the few items of each receipt: .7 by name and .3 by price, in reading order.
+    """Groups the few items of each receipt in reading order.
 
     Returns for each item its group and its mean similarity to the group.
     """
-
-    def close(a: str, b: str, p: float, q: float) -> bool:
-        if not a or not b:
-            return False
-        price = max(0.0, 1.0 - abs(p - q) / max(p, q) * 5) if p > 0 and q > 0 else 1.0
-        return SequenceMatcher(None, a.lower(), b.lower()).ratio() * 0.7 + price * 0.3 >= 0.7
-
-    def one(items: list[str], costs: list[float]) -> list[dict]:
-        group = [-1] * len(items)
-        for i in range(len(items)):
-            if group[i] < 0:
-                group[i] = i
-                for j in range(i + 1, len(items)):
-                    if group[j] < 0 and close(items[i], items[j], costs[i], costs[j]):
-                        group[j] = i
-        result = []
-        for i, g in enumerate(group):
-            peers = [items[j] for j in range(len(items)) if group[j] == g]
-            ratios = [SequenceMatcher(None, items[i].lower(), p.lower()).ratio() for p in peers]
-            result.append({"place": i, "group": g, "agreement": sum(ratios) / len(ratios)})
-        return result
-
-    return pd.Series([one(list(a), list(b)) for a, b in zip(names, prices)])
+    return pd.Series([_groups(list(a), list(b)) for a, b in zip(names, prices)])
 
 
 def item_consensus(items: DataFrame, keep_over: float = 0.3) -> DataFrame:
@@ -321,7 +332,7 @@ def disagreements(readings: DataFrame, confidences: DataFrame) -> DataFrame:
     )
 
 
-AUTOMATIC_FROM = 0.85
+AUTOMATIC_FROM = 0.95
 
 
 def final_confidence(results: DataFrame, automatic_from: float = AUTOMATIC_FROM) -> DataFrame:

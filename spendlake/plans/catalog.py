@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ["filters", "joins", "sets", "aggregates", "fuel", "series", "anomalies", "insights", "limits", "rules", "reconcile", "corrections", "geo", "metrics", "text", "consensus"]
+MODULES = ["filters", "joins", "sets", "aggregates", "fuel", "series", "anomalies", "insights", "limits", "rules", "reconcile", "corrections", "geo", "metrics", "text", "consensus", "streams"]
 
 for _name in MODULES:
     import_module(f"spendlake.plans.{_name}")

@@ -41,12 +41,18 @@ def dotted(number: Column) -> Column:
 class Tables:
     """The canonical tables of one data folder."""
 
-    def __init__(self, spark: SparkSession, folder: str):
+    def __init__(self, spark: SparkSession, folder: str, streaming: tuple[str, ...] = ()):
         self.spark = spark
         self.folder = folder
+        self.streaming = streaming
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """One source table; the names in ``streaming`` are read as streams of files."""
+        path = f"{self.folder}/{name}.parquet"
+        if name in self.streaming:
+            schema = self.spark.read.parquet(path).schema
+            return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque*")
+        return self.spark.read.parquet(path)
 
     # -- receipts and what hangs on them -------------------------------------
 
