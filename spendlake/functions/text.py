@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from spendlake.functions.core import let
+
 SPACES = r"(?U)\s+"
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 
@@ -36,8 +38,8 @@ def plain(text: Column) -> Column:
 
 
 def first(text: Column, pattern: str, group: int = 1) -> Column:
-    """The group of the first match, or null."""
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+    """The group of the first match, or null; the text is searched once."""
+    return let(F.regexp_extract(text, pattern, group), lambda found: F.when(found != "", found))
 
 
 def first_of(text: Column, *patterns: str) -> Column:

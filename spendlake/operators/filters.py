@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions.core import AsOf, lookup, newest, ts
@@ -195,5 +195,6 @@ def retraining_sample(feedback: DataFrame, newest_rows: int = 50, at_least: int
     """
     page = feedback.orderBy(F.col("created_at").desc(), F.col("receipt_id").desc()).limit(newest_rows)
     usable = page.filter(F.length(F.trim(F.coalesce("receipt_text", F.lit("")))) > 0)
-    enough = usable.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= at_least)
-    return usable.join(F.broadcast(enough.select(F.lit(1).alias("_ok"))), F.lit(1) == F.col("_ok")).drop("_ok")
+    # The page is at most ``newest_rows`` long, so counting it in one task is bounded.
+    counted = usable.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return counted.filter(F.col("_n") >= at_least).drop("_n")

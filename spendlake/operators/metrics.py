@@ -174,23 +174,27 @@ def health(active: DataFrame) -> DataFrame:
 
 def recommendations(events: DataFrame, as_of: AsOf) -> DataFrame:
     """MET8: what would lower cost or raise quality, from the last thirty days and the last three days of use."""
-    month = usage(events, as_of, 30)
-    week = usage(events, as_of, 7).select(
-        F.col("tesseract_requests").alias("_plain"), F.col("google_vision_requests").alias("_paid")
-    )
-    days = daily(_since(events, as_of, 7)).agg(
-        F.count(F.lit(1)).alias("_days"), F.sum(F.when(F.datediff(ts(as_of), F.col("day")) <= 3, F.col("total_requests"))).alias("_recent")
+    week = F.col("ts") >= ts(as_of, -7)
+    day, one = F.to_date("ts"), F.lit(1)
+    paid, plain = F.col("engine") == "google_vision", F.col("engine") == "tesseract"
+    sums = _since(events, as_of, 30).agg(
+        ratio(F.count_if("cache_hit"), F.count(one)).alias("hit_rate"),
+        ratio(F.count_if(paid), F.count(one)).alias("paid_share"),
+        F.avg("confidence").alias("confidence"),
+        F.count_if(week & plain).alias("plain"),
+        F.count_if(week & paid).alias("paid"),
+        F.count_distinct(F.when(week, day)).alias("days"),
+        F.count_if(F.datediff(ts(as_of), day) <= 3).alias("recent"),
     )
-    joined = month.join(week, F.lit(True)).join(days, F.lit(True))
     found = notes(
-        (F.col("cache_hit_rate") < 0.3, "high:cache_optimization"),
-        (ratio(F.col("google_vision_requests"), F.col("total_requests")) > 0.5, "medium:engine_optimization"),
-        (F.col("average_confidence") < 0.85, "medium:image_quality"),
-        ((F.col("_days") >= 3) & (F.coalesce("_recent", F.lit(0)) < 10), "low:usage_pattern"),
-        ((F.col("_plain") == 0) & (F.col("_paid") > 0), "high:engine_configuration"),
+        (F.col("hit_rate") < 0.3, "high:cache_optimization"),
+        (F.col("paid_share") > 0.5, "medium:engine_optimization"),
+        (F.col("confidence") < 0.85, "medium:image_quality"),
+        ((F.col("days") >= 3) & (F.col("recent") < 10), "low:usage_pattern"),
+        ((F.col("plain") == 0) & (F.col("paid") > 0), "high:engine_configuration"),
     )
     part = F.split("_n", ":")
-    return joined.select(F.explode(found).alias("_n")).select(
+    return sums.select(F.explode(found).alias("_n")).select(
         F.get(part, F.lit(0)).alias("priority"), F.get(part, F.lit(1)).alias("type")
     )
 

@@ -35,6 +35,11 @@ def workflows(t):
     return ops.workflow_table(t.spark, lists)
 
 
+def basic_workflows(t):
+    """Three companies that all use the basic template."""
+    return ops.workflow_table(t.spark, {k: (ops.BASIC, "require_approval") for k in range(3)})
+
+
 def known(t):
     return ops.facts(t.receipts, t.users).withColumn("workflow_id", F.col("user_id") % 4)
 
@@ -121,8 +126,8 @@ def next_approver(t):
 @query("rul7_basic_template", "receipts users", """SELECT receipt_id, CASE WHEN total_amount <= 50000 THEN 'approve' WHEN total_amount <= 500000 THEN 'require_approval'
  ELSE 'escalate' END AS action FROM receipts""")
 def basic_template(t):
-    rows = ops.facts(t.receipts, t.users).withColumn("workflow_id", F.lit(9).cast("bigint"))
-    return ops.evaluate(rows, ops.workflow_table(t.spark, {9: (ops.BASIC, "require_approval")})).select("receipt_id", "action")
+    rows = ops.facts(t.receipts, t.users).withColumn("workflow_id", F.col("user_id") % 3)
+    return ops.evaluate(rows, basic_workflows(t)).select("receipt_id", "action")
 
 
 @query("rul8_instances", "receipts users", f"""WITH {EVALUATED} SELECT receipt_id AS instance_id, receipt_id, workflow_id, applied_rule_id, next_approver_role AS current_approver_role,

@@ -2,10 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import rules
 from spendlake.plans.bindings import d, r
 from spendlake.plans.metrics import ALERTS
 from spendlake.plans.registry import query
+from spendlake.plans.rules import basic_workflows
 from spendlake.sources.canonical import Tables
 from spendlake.streaming import jobs
 
@@ -30,9 +30,8 @@ def daily_stream(t):
 @query("str3_approval_stream", "receipts", """SELECT receipt_id AS instance_id, receipt_id, CASE WHEN total_amount <= 50000 THEN 'basic_small' WHEN total_amount <= 500000 THEN 'basic_medium' ELSE 'basic_large' END AS applied_rule_id,
  CASE WHEN total_amount <= 50000 THEN 'auto_approved' ELSE 'pending' END AS status FROM receipts""")
 def approval_stream(t):
-    receipts = streaming(t, "orders").receipts.withColumn("workflow_id", F.lit(9).cast("bigint"))
-    workflows = rules.workflow_table(t.spark, {9: (rules.BASIC, "require_approval")})
-    rows = jobs.run_available(jobs.approval_stream(receipts, t.users, workflows))
+    receipts = streaming(t, "orders").receipts.withColumn("workflow_id", F.col("user_id") % 3)
+    rows = jobs.run_available(jobs.approval_stream(receipts, t.users, basic_workflows(t)))
     return rows.select("instance_id", "receipt_id", "applied_rule_id", "status")
 
 
