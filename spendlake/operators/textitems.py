@@ -360,7 +360,8 @@ def extraction_quality(items: DataFrame, report: DataFrame) -> DataFrame:
     # Every line carries the receipt's correction count, so the bonus grows with lines times corrections.
     steps = F.coalesce("corrections_applied", F.lit(0)) * F.col("lines_count")
     passed = F.when(F.coalesce("consistent", F.lit(False)), 0.1).otherwise(0.0)
-    total = F.least(F.lit(1.0), F.col("avg_item_confidence") + passed + F.least(steps * 0.02, F.lit(0.1)))
+    # Rounded far below any step, so that the order of adding cannot move a value across a grade's border.
+    total = F.round(F.least(F.lit(1.0), F.col("avg_item_confidence") + passed + F.least(steps * 0.02, F.lit(0.1))), 9)
     grade = F.when(total >= 0.95, "excellent").when(total >= 0.85, "good").when(total >= 0.70, "fair").otherwise("poor")
     return rows.select("receipt_id", "lines_count", "avg_item_confidence", total.alias("confidence"), grade.alias("extraction_quality"))
 
