@@ -78,7 +78,7 @@ def near_pairs(
     The interval join becomes an equi join on ``(user, time bucket)``: buckets
     are as wide as the interval, so a partner sits in the same bucket or a
     neighbouring one.  The older side is sent to its own and the next bucket,
-    never to all.  ``newest_rows`` is the reference size of one user's window
+    never to all.  ``newest_rows`` is the size of one user's window by definition of the measure
     and is pruned before the shuffle; ``None`` compares everything.
     """
     fields = [key, "receipt_id", "date", "total_amount", "company_name", "description"]
