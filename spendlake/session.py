@@ -7,6 +7,7 @@ are pinned.
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import SparkSession
@@ -19,6 +20,9 @@ SETTINGS = {
 }
 
 
+_THROW_AWAY: dict[str, str] = {}
+
+
 def local_session(cores: int | str = 8, name: str = "spendlake") -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (
@@ -40,11 +44,17 @@ def local_session(cores: int | str = 8, name: str = "spendlake") -> SparkSession
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster.
 
-    The cluster names it in ``spark.checkpoint.dir``; a throw-away folder is
-    used only where that setting is absent, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``.  Where that setting is
+    absent, a session in one process uses a throw-away folder, as in tests; a
+    cluster raises, since its machines would not see each other's files.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        path = tempfile.mkdtemp(prefix="spendlake-")
+        master = spark.conf.get("spark.master", "local")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all machines share")
+        if master not in _THROW_AWAY:
+            _THROW_AWAY[master] = tempfile.mkdtemp(prefix="spendlake-")
+        path = _THROW_AWAY[master]
     spark.sparkContext.setCheckpointDir(path)
     return path
