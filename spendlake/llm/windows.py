@@ -32,15 +32,17 @@ from spendlake.llm.common import chunks, id_key
 
 #: Bytes of text that a map task packs at a time, and those of one bucket (before compression).
 CHUNK_BYTES = 8 << 20
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
+#: Bytes of different strings of a bucket that are compared at a time, whole minimisers.
+COMPARED_BYTES = 2 << 20
 #: Packed strings repeat the text about so many times.
 EXPANSION = 3.2
 POSITION_BITS = np.uint64(24)
 MARKS, STRINGS = 0, 1
 
-RECORD = np.dtype([("hash", "<u8"), ("id", "<i8"), ("key", "<i8"), ("start", "<i8"), ("windows", "<i4"), ("bytes", "<i4"), ("again", "?")])
+RECORD = np.dtype([("hash", "<u4"), ("id", "<i8"), ("key", "<i4"), ("start", "<i8"), ("windows", "<i4"), ("bytes", "<i4"), ("again", "?")])
 SENT = pa.schema([("bucket", pa.int64()), ("kind", pa.int8()), ("payload", pa.binary())])
-MARK = pa.schema([("id", pa.int64()), ("key", pa.int64()), ("start", pa.int64()), ("windows", pa.int32())])
+MARK = pa.schema([("id", pa.int64()), ("key", pa.int32()), ("start", pa.int64()), ("windows", pa.int32())])
 
 
 @dataclass(frozen=True)
@@ -144,17 +146,19 @@ def segments_of(kind: Kind, text: bytes) -> Iterator[tuple[bytes, int, int]]:
 
 def _send(kind: Kind, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
         for table in chunks(batches, "text", CHUNK_BYTES):
             found: list[tuple] = []  # hash, id, key, start, windows, bytes, again
             strings: list[bytes] = []
+            tags: list[int] = []
             held, owners, size = [], [], 0
 
             def work():
                 flat, rows = packed_strings(kind, held)
                 for s, unit, windows, a, b, value, again in rows.tolist():
                     key, text_key, offset = owners[s]
-                    found.append((value, key, text_key, offset + unit, windows, b - a, again))
+                    tags.append(value)
+                    found.append((value & 0xFFFFFFFF, key, text_key, offset + unit, windows, b - a, again))
                     strings.append(flat[a:b])
 
             for key, text_key, text in zip(*(table.column(c).to_pylist() for c in ("id", "key", "text"))):
@@ -174,14 +178,14 @@ def _send(kind: Kind, buckets: int):
             if len(marks):
                 # any bucket will do for what is settled
                 yield _batch([(int(marks["id"][0]) % buckets, MARKS, marks.tobytes())])
-            bucket = (records["hash"][keep] % np.uint64(buckets)).astype(np.int64)
+            bucket = np.array(tags, dtype=np.int64)[keep] % buckets
             order = np.argsort(bucket, kind="stable")
             keep, bucket = keep[order], bucket[order]
             heads = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
             out = []
             for first, last in zip(heads, np.r_[heads[1:], len(bucket)]):
                 own = keep[first:last]
-                body = struct.pack("<I", len(own)) + records[own].tobytes() + b"".join([strings[i] for i in own.tolist()])
+                body = struct.pack("<I", len(own)) + columnar(records[own]) + b"".join([strings[i] for i in own.tolist()])
                 out.append((int(bucket[first]), STRINGS, squeeze.compress(body)))
                 if len(out) == 1000:
                     yield _batch(out)
@@ -196,6 +200,19 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t.type) for c, t in zip(zip(*rows), SENT)], schema=SENT)
 
 
+def columnar(records: np.ndarray) -> bytes:
+    """Column after column, which compresses better."""
+    return b"".join(np.ascontiguousarray(records[name]).tobytes() for name in RECORD.names)
+
+
+def from_columnar(body: bytes, n: int, at: int) -> np.ndarray:
+    records = np.empty(n, dtype=RECORD)
+    for name in RECORD.names:
+        records[name] = np.frombuffer(body, dtype=RECORD[name], count=n, offset=at)
+        at += n * RECORD[name].itemsize
+    return records
+
+
 def first_of_equal(kind: Kind, records: np.ndarray, strings: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Places of the first of equal strings, by id and start, and the marks of the others.
 
@@ -288,16 +305,28 @@ def settle(kind: Kind, records: np.ndarray, strings: list[bytes]) -> np.ndarray:
         return records[:0]
     records, strings = records[chosen], [strings[i] for i in chosen.tolist()]
     firsts, marks = first_of_equal(kind, records, strings)
-    names, group = np.unique(records["hash"][firsts], return_inverse=True)
+    _, group = np.unique(records["hash"][firsts], return_inverse=True)
     several = (np.bincount(group)[group] > 1) | records["again"][firsts]
-    firsts = firsts[several]
-    if not len(firsts):
-        return marks
-    records, strings = records[firsts], [strings[i] for i in firsts.tolist()]
+    firsts, group = firsts[several], group[several]
+    order = np.argsort(group, kind="stable")
+    firsts, group = firsts[order], group[order]
+    found, first = [marks], 0
+    sizes = np.cumsum(records["bytes"][firsts], dtype=np.int64)
+    while first < len(firsts):
+        enough = int(np.searchsorted(sizes, (sizes[first - 1] if first else 0) + COMPARED_BYTES, side="right"))
+        last = int(np.searchsorted(group, group[min(max(enough - 1, first), len(firsts) - 1)], side="right"))
+        own = firsts[first:last]
+        found.append(_compare(kind, records[own], [strings[i] for i in own.tolist()]))
+        first = last
+    return np.concatenate(found)
+
+
+def _compare(kind: Kind, records: np.ndarray, strings: list[bytes]) -> np.ndarray:
+    """Marks of different strings, window by window."""
     ids, ends, owner, width = _units(kind, strings)
     at, classes = window_classes(ids, ends, width, kind.size)
     if not len(at):
-        return marks
+        return records[:0]
     heads = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
     string = owner[at]
     start = records["start"][string] + at - heads[string]
@@ -310,13 +339,13 @@ def settle(kind: Kind, records: np.ndarray, strings: list[bytes]) -> np.ndarray:
         repeat[order] = (i != i[head]) | (s != s[head])
         at, string, start = at[repeat], string[repeat], start[repeat]
         if not len(at):
-            return marks
+            return records[:0]
     new = np.r_[True, (at[1:] != at[:-1] + 1) | (string[1:] != string[:-1])]
     head = np.flatnonzero(new)
     more = records[string[head]]
     more["start"] = start[head]
     more["windows"] = np.diff(np.r_[head, len(at)])
-    return np.concatenate([marks, more])
+    return more
 
 
 def _receive(kind: Kind):
@@ -343,7 +372,7 @@ def _receive(kind: Kind):
                     bucket = b
                 body = loosen.decompress(payload)
                 n = struct.unpack_from("<I", body)[0]
-                own = np.frombuffer(body, dtype=RECORD, count=n, offset=4)
+                own = from_columnar(body, n, 4)
                 at = 4 + n * RECORD.itemsize
                 ends = np.cumsum(own["bytes"]).tolist()
                 strings += [body[at + a : at + z] for a, z in zip([0, *ends], ends)]
@@ -356,7 +385,7 @@ def _receive(kind: Kind):
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``key`` (a hash of the text, which tells rows of one id apart) and ``text`` as bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(id_col).alias("id"), F.xxhash64(text).alias("key"), text.cast("binary").alias("text"))
+    return docs.select(id_key(id_col).alias("id"), F.xxhash64(text).cast("int").alias("key"), text.cast("binary").alias("text"))
 
 
 def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
@@ -364,7 +393,7 @@ def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(16, int(total * EXPANSION / BUCKET_BYTES))
     sent = rows.mapInArrow(_send(kind, buckets), "bucket long, kind byte, payload binary")
-    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(kind), "id long, key long, start long, windows int")
+    return sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_receive(kind), "id long, key int, start long, windows int")
 
 
 def covered(n: int, marks: list, size: int) -> np.ndarray:
