@@ -385,7 +385,7 @@ def _receive(kind: Kind):
 def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``id``, ``key`` (a hash of the text, which tells rows of one id apart) and ``text`` as bytes."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(id_key(id_col).alias("id"), F.xxhash64(text).cast("int").alias("key"), text.cast("binary").alias("text"))
+    return docs.select(id_key(id_col).alias("id"), F.hash(text).alias("key"), text.cast("binary").alias("text"))
 
 
 def repeats(rows: DataFrame, kind: Kind) -> DataFrame:
