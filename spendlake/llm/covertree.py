@@ -37,6 +37,8 @@ PIVOTS = 1024
 #: Points of a leaf, and the radius below which nodes are not divided.
 LEAF = 16
 FINEST = 2.0**-12
+#: Pairs of points that a matrix product compares in the time of one step from node to node.
+STEP = 4000
 #: Room for rounding in bounds on distances.
 SLACK = 2e-3
 
@@ -108,6 +110,25 @@ class Tree:
         return cls(order, *(np.array(table[i], dtype=np.float64 if i == 1 else np.int64) for i in range(6)))
 
 
+    def cut(self, root: int, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The subtree as nodes within ``radius`` and single points: centres, radii, and the node or -1."""
+        centres, radii, nodes, todo = [], [], [], [root]
+        while todo:
+            n = todo.pop()
+            if self.last[n] - self.first[n] > 1 and 2 * self.radius[n] + SLACK <= 2 * radius:
+                centres.append(self.centre[n : n + 1])
+                radii.append(self.radius[n : n + 1])
+                nodes.append(np.array([n]))
+            elif self.kids_last[n] > self.kids_first[n]:
+                todo += range(self.kids_first[n], self.kids_last[n])
+            else:
+                own = self.order[self.first[n] : self.last[n]]
+                centres.append(own)
+                radii.append(np.zeros(len(own)))
+                nodes.append(np.full(len(own), -1))
+        return np.concatenate(centres), np.concatenate(radii), np.concatenate(nodes)
+
+
 def _row(points: np.ndarray, i: int) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * (points @ points[i]), 0.0))
 
@@ -176,6 +197,44 @@ def traverse(a: Block, b: Block | None, cosine: float = COSINE) -> tuple[np.ndar
             i, j = np.nonzero(gap)
             compare(p[first + i], q[j])
 
+    def near(x, y, rx, ry):
+        """Bounds of a list of nodes against another: which pairs may link."""
+        reach = rx.astype(np.float32)[:, None] + ry.astype(np.float32)[None] + np.float32(limit + SLACK)
+        reach *= reach
+        return small[0][x] @ small[1][y].T >= 1 - reach / 2
+
+    def dense(n: int, m: int, own: bool):
+        """The finest useful nodes of two subtrees, all against all."""
+        (x, rx, nx), (y, ry, ny) = a.tree.cut(n, limit / 2), b.tree.cut(m, limit / 2)
+        for first in range(0, len(x), 1024):
+            part = slice(first, first + 1024)
+            hit = near(x[part], y, rx[part], ry)
+            if own:
+                hit &= np.arange(first, first + len(hit))[:, None] <= np.arange(len(y))[None]
+            i, j = np.nonzero(hit)
+            i += first
+            single = (nx[i] < 0) & (ny[j] < 0)
+            apart = single & ~(own & (i == j))
+            compare(x[i[apart]], y[j[apart]])
+            for k, l in zip(i[~single].tolist(), j[~single].tolist()):
+                p = members(a, nx[k]) if nx[k] >= 0 else x[k : k + 1]
+                q = members(b, ny[l]) if ny[l] >= 0 else y[l : l + 1]
+                if own and k == l:
+                    inside(p)
+                elif sqrt(max(0.0, 2 - 2 * float(small[0][x[k]] @ small[1][y[l]]))) + rx[k] + ry[l] + SLACK <= limit:
+                    whole(p, q)
+                else:
+                    block(p, q, False)
+
+    def inside(p: np.ndarray):
+        """Points of a node of at most half the limit's radius all link with each other."""
+        if len(p) > 1:
+            block(p, p, True) if len(p) <= LEAF else spread(p)
+
+    def spread(p: np.ndarray):
+        found[0][p] += a.weight[p].sum() - a.weight[p]
+        connect(np.full(len(p), p[0]), p)
+
     members = lambda side, n: side.tree.order[side.tree.first[n] : side.tree.last[n]]
     stack = [(0, 0)] if na and len(b.node) else []
     while stack:
@@ -184,8 +243,7 @@ def traverse(a: Block, b: Block | None, cosine: float = COSINE) -> tuple[np.ndar
         p, q = members(a, n), members(b, m)
         ra, rb = a.tree.radius[n], b.tree.radius[m]
         if own and 2 * ra + SLACK <= limit:
-            found[0][p] += a.weight[p].sum() - a.weight[p]
-            connect(np.full(len(p), p[0]), p)
+            spread(p)
             continue
         if not own:
             gap = float(distances(small[0][a.tree.centre[n]][None], small[1][b.tree.centre[m]][None])[0, 0])
@@ -201,18 +259,19 @@ def traverse(a: Block, b: Block | None, cosine: float = COSINE) -> tuple[np.ndar
             continue
         kids_a = kids_a if len(kids_a) else np.array([n])
         kids_b = kids_b if len(kids_b) else np.array([m])
-        for first in range(0, len(kids_a), 1024):
-            part = kids_a[first : first + 1024]
-            gap = distances(small[0][a.tree.centre[part]], small[1][b.tree.centre[kids_b]])
-            near = gap <= a.tree.radius[part][:, None] + b.tree.radius[kids_b][None] + limit + SLACK
-            if own:
-                near &= part[:, None] <= kids_b[None]
-            i, j = np.nonzero(near)
-            x, y = part[i], kids_b[j]
-            single = (a.tree.last[x] - a.tree.first[x] == 1) & (b.tree.last[y] - b.tree.first[y] == 1)
-            alone = single & ~(own & (x == y))
-            compare(a.tree.centre[x[alone]], b.tree.centre[y[alone]])
-            stack += zip(x[~single].tolist(), y[~single].tolist())
+        x, y = a.tree.centre[kids_a], b.tree.centre[kids_b]
+        rx, ry = a.tree.radius[kids_a], b.tree.radius[kids_b]
+        # where bounds at this level prune little, walking pair by pair costs more than the finest nodes at once
+        some = np.arange(0, len(kids_a), max(1, len(kids_a) // 128))
+        walk = near(x[some], y, rx[some], ry).mean() * len(kids_a) * len(kids_b)
+        if walk > 64 + len(p) * len(q) / STEP:
+            dense(n, m, own)
+            continue
+        hit = near(x, y, rx, ry)
+        if own:
+            hit &= kids_a[:, None] <= kids_b[None]
+        i, j = np.nonzero(hit)
+        stack += zip(kids_a[i].tolist(), kids_b[j].tolist())
     return (found[0] + found[1] if same else found[0]), found[1], edges
 
 
