@@ -89,7 +89,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = small.unionAll(smallest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         current = materialise(following, "stars")
-        state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum("v")).first()
+        state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
