@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import documents, id_back, id_key, materialise
+from spendlake.llm.common import NO_ID, documents, id_back, id_key, materialise
 
 FANOUT_BITS = 4
 HASH_BITS = 64
@@ -209,11 +209,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def exact_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without exact copies; the copy with the largest id stays."""
-    kept = exact_duplicates(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    kept = exact_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("text_sha256").alias("_digest"))
     digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    named = docs.withColumn("_digest", digest)
-    joined = named.join(kept, named.doc_id.eqNullSafe(F.col("_id")) & (F.col("_digest") == F.col("_sha")), "left_semi")
-    return joined.dropDuplicates(["doc_id", "_digest"]).select(*docs.columns)
+    named = docs.withColumn("_key", id_key("doc_id")).withColumn("_digest", digest)
+    # repeated rows fall together on the keys of the join, so the texts move once
+    return named.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
 
 
 def op3_grace_exact(spark: SparkSession, folder: str) -> DataFrame:
