@@ -60,7 +60,7 @@ def locale_amount(text: Column, limit: float = 1_000_000) -> Column:
     """TXT2: an amount written ``1.234,56``, ``1,234.56``, ``123,45`` or ``1,234``; null beyond the limit."""
     kept = F.regexp_replace(text, r"[^\d.,\-]", "")
     negative = kept.startswith("-")
-    body = F.when(negative, F.substring(kept, 2, 1_000_000)).otherwise(kept)
+    body = F.when(negative, F.substr(kept, F.lit(2))).otherwise(kept)
     no_dots, no_commas = F.replace(body, F.lit("."), F.lit("")), F.replace(body, F.lit(","), F.lit(""))
     european = body.rlike(r"\..*,[^.]*$")
     decimal_comma = body.rlike(r"^[^,]*,[^,]{0,2}$")
