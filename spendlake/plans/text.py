@@ -148,13 +148,16 @@ def cascade(t):
     return categorise.cascade(rows).select("receipt_id", "final_category", "final_confidence", "method")
 
 
-@query("txt7_vote_cascade", "receipt_texts", f"""WITH {PREDICTED}, p AS (SELECT *, {MODEL} FROM predicted),
+@query("txt7_vote_cascade", "receipt_texts", f"""WITH {PREDICTED}, voted AS (SELECT receipt_id, brand_category, word_category, CASE WHEN brand_category IS NOT NULL THEN brand_confidence END AS brand_confidence,
+ word_confidence FROM predicted), p AS (SELECT *, {MODEL} FROM (SELECT receipt_id FROM texts) LEFT JOIN voted USING (receipt_id)),
  m AS (SELECT *, CASE WHEN brand_confidence > 0.7 THEN 'brand_detection' WHEN word_confidence > 0.6 THEN 'keyword_analysis' WHEN model_confidence > 0.5 THEN 'ml_ensemble'
- WHEN word_confidence >= model_confidence THEN 'keyword_analysis' ELSE 'ml_ensemble' END AS method FROM p)
- SELECT receipt_id, method, CASE method WHEN 'brand_detection' THEN brand_category WHEN 'keyword_analysis' THEN word_category ELSE model_category END AS final_category,
- {r("CASE method WHEN 'brand_detection' THEN brand_confidence WHEN 'keyword_analysis' THEN word_confidence ELSE model_confidence END")} AS final_confidence FROM m""")
+ WHEN word_confidence >= model_confidence THEN 'keyword_analysis' WHEN model_confidence > 0 THEN 'ml_ensemble' ELSE 'fallback' END AS method FROM p)
+ SELECT receipt_id, method, CASE method WHEN 'brand_detection' THEN brand_category WHEN 'keyword_analysis' THEN word_category WHEN 'ml_ensemble' THEN model_category ELSE 'Otros' END AS final_category,
+ {r("CASE method WHEN 'brand_detection' THEN brand_confidence WHEN 'keyword_analysis' THEN word_confidence WHEN 'ml_ensemble' THEN model_confidence ELSE 0.3 END")} AS final_confidence FROM m""")
 def vote_cascade(t):
-    rows = with_model(categorise.vote_predictions(categorise.votes(receipts_and_prose(t))))
+    """Every text has a row; those without a vote are left to the model or the fallback."""
+    texts = receipts_and_prose(t)
+    rows = with_model(texts.select("receipt_id").join(categorise.vote_predictions(categorise.votes(texts)), "receipt_id", "left"))
     return categorise.vote_cascade(rows).select("receipt_id", "final_category", "final_confidence", "method")
 
 
