@@ -91,7 +91,7 @@ def km(*columns):
 
 
 NEAR_SQL = f"""points AS (SELECT receipt_id, company_name AS brand, lat + 0.02 AS lat, lng FROM locations WHERE category = 'Retail'
- UNION ALL SELECT receipt_id, company_name, lat + 0.2, lng FROM locations WHERE category = 'Comida'),
+ UNION ALL SELECT receipt_id, company_name, lat + 0.2, lng FROM locations WHERE category IS DISTINCT FROM 'Retail'),
  dist AS (SELECT p.receipt_id, p.brand, branch_id, branch_lat, branch_lng, {km('lat', 'lng', 'branch_lat', 'branch_lng')} AS km
  FROM points p JOIN branches b ON p.brand = b.brand),
  near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY receipt_id ORDER BY km, branch_id) AS rn FROM dist) WHERE rn = 1),
@@ -105,7 +105,7 @@ NEAR_SQL = f"""points AS (SELECT receipt_id, company_name AS brand, lat + 0.02 A
  FROM near n JOIN firsts f ON n.brand = f.brand""")
 def nearest_branch(t):
     shift = F.when(F.col("category") == "Retail", F.lit(0.02)).otherwise(F.lit(0.2))
-    points = t.locations.filter(F.col("category").isin("Retail", "Comida")).select(
+    points = t.locations.select(
         "receipt_id", F.col("company_name").alias("brand"), (F.col("lat") + shift).alias("lat"), "lng"
     )
     return ops.nearest_branch(points, branches(t)).select("receipt_id", "brand", "km", "is_near", "branch_lat", "branch_lng")
