@@ -23,9 +23,9 @@ def _either(flag: str | None, column: str) -> Column:
 
 
 def search_receipts(receipts: DataFrame, text: str = "", category: str = "all", status: str = "all") -> DataFrame:
-    """FIL1: free text over vendor and description, and exact category and status."""
+    """FIL1: free text over vendor, folio number and description, and exact category and status."""
     rows = receipts.filter(_either(category, "category") & _either(status, "status"))
-    return rows.filter(_contains(["company_name", "description"], text)) if text.strip() else rows
+    return rows.filter(_contains(["company_name", "folio_number", "description"], text)) if text.strip() else rows
 
 
 def urgency(amount: Column) -> Column:

@@ -39,6 +39,12 @@ def receipt_search(t):
     return ops.search_receipts(t.receipts, " VENDOR 1", "Comida", "aceptada").select(RECEIPT_COLUMNS)
 
 
+@query("fil1_folio_search", "receipts", f"""SELECT {RECEIPT_SQL} FROM receipts
+ WHERE contains(lower(company_name), 'f12') OR contains(lower(folio_number), 'f12') OR contains(lower(description), 'f12')""")
+def folio_search(t):
+    return ops.search_receipts(t.receipts, "f12").select(RECEIPT_COLUMNS)
+
+
 @query("fil2_approval_queue", "receipts users", f"""WITH {QUEUE_SQL} SELECT {QUEUE_OUT} FROM queue
  WHERE (contains(lower(name), 'vendor 1') OR contains(lower(company_name), 'vendor 1') OR contains(lower(coalesce(category, '')), 'vendor 1'))
  AND urgency = 'medium' AND total_amount BETWEEN 100000 AND 500000
