@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions.core import AsOf, lookup, newest, notes, num, ratio, ts
@@ -66,17 +66,14 @@ def similarity(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("similarity", F.least(F.lit(1.0), score))
 
 
-def duplicates(receipts: DataFrame, newest_rows: int | None = 1000, key: str = "user_id") -> DataFrame:
+def duplicates(receipts: DataFrame, newest_rows: int | None = None, key: str = "user_id") -> DataFrame:
     """ANO2: near pairs more than 80 % alike; above 95 % the severity is high.
 
     A pair can only pass when its amounts are within a factor of two, since
-    everything else adds up to 0.6; the cheap comparison runs before the text
-    comparison.
+    everything else adds up to 0.6; that bound is part of the join.
     """
-    pairs = near_pairs(receipts, newest_rows, key=key)
-    one, two = num("a.total_amount"), num("b.total_amount")
-    plausible = F.least(one, two) * 2 > F.greatest(one, two)
-    scored = similarity(pairs.filter(plausible)).filter(F.col("similarity") > 0.8)
+    pairs = near_pairs(receipts, newest_rows, key=key, within_double=True)
+    scored = similarity(pairs).filter(F.col("similarity") > 0.8)
     return scored.select(
         F.col(f"a.{key}").alias(key),
         F.lit("duplicate_receipt").alias("type"),
@@ -88,36 +85,77 @@ def duplicates(receipts: DataFrame, newest_rows: int | None = 1000, key: str = "
     )
 
 
-def _amount_page(rows: DataFrame, key: str, newest_rows: int) -> DataFrame:
-    page = newest(rows, [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows)
-    return page.select(
-        key, "receipt_id", "date", F.coalesce("category", F.lit("Sin categoría")).alias("category"), num("total_amount").alias("amount")
+def _quartiles(amounts: DataFrame, keys: list[str]) -> DataFrame:
+    """Exact interpolated quartiles ``_q1``, ``_q2``, ``_q3`` of ``amount``, with no buffer that holds a whole key.
+
+    Equal amounts are counted first.  Ranks then come in two levels: size
+    classes of amounts hold counts, and only inside a class are amounts sorted.
+    """
+    amount = F.col("amount")
+    size_class = F.floor(F.signum(amount) * F.log2(F.abs(amount) + 1) * 16)
+    cells = amounts.filter(amount.isNotNull()).groupBy(*keys, "amount").agg(F.count(F.lit(1)).alias("_c"))
+    cells = cells.withColumn("_class", size_class)
+    by_key = Window.partitionBy(*keys)
+    classes = cells.groupBy(*keys, "_class").agg(F.sum("_c").alias("_n"))
+    offsets = classes.select(
+        *keys,
+        "_class",
+        F.sum("_n").over(by_key).alias("_all"),
+        F.coalesce(F.sum("_n").over(by_key.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_n0"),
     )
+    local = Window.partitionBy(*keys, "_class").orderBy("amount").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = cells.withColumn("_upto", F.sum("_c").over(local)).join(offsets, [*keys, "_class"])
+    last = F.col("_n0") + F.col("_upto")
+    first = last - F.col("_c")
+
+    def at(rank: Column) -> Column:
+        return F.max(F.when((rank >= first) & (rank < last), amount))
+
+    wanted = {"_q1": 0.25, "_q2": 0.5, "_q3": 0.75}
+    found = ranked.groupBy(*keys).agg(
+        F.max("_all").alias("_all"),
+        *[at(F.floor((F.col("_all") - 1) * p)).alias(f"{name}_low") for name, p in wanted.items()],
+        *[at(F.ceil((F.col("_all") - 1) * p)).alias(f"{name}_high") for name, p in wanted.items()],
+    )
+
+    def between(name: str, p: float) -> Column:
+        place = (F.col("_all") - 1) * p
+        share = place - F.floor(place)
+        return (F.col(f"{name}_low") + (F.col(f"{name}_high") - F.col(f"{name}_low")) * share).alias(name)
+
+    return found.select(*keys, *[between(name, p) for name, p in wanted.items()])
 
 
 def outliers(
-    rows: DataFrame, key: str = "user_id", newest_rows: int = 500, at_least: int = 5, z_over: float = 2.5, iqr_times: float = 1.5
+    rows: DataFrame,
+    key: str = "user_id",
+    newest_rows: int | None = None,
+    at_least: int = 5,
+    z_over: float = 2.5,
+    iqr_times: float = 1.5,
 ) -> DataFrame:
     """ANO3: amounts far from the rest of their category, by z-score or by quartile fences.
 
-    The statistics are of each key's newest ``newest_rows`` receipts, which is
-    the definition of the measure and bounds every percentile buffer.
+    The statistics are of all receipts of a key and category; ``newest_rows``
+    keeps one page per key instead.
     """
-    page = _amount_page(rows, key, newest_rows)
+    if newest_rows is not None:
+        rows = newest(rows, [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows)
+    page = rows.select(
+        key, "receipt_id", "date", F.coalesce("category", F.lit("Sin categoría")).alias("category"), num("total_amount").alias("amount")
+    )
     amount = F.col("amount")
     stats = page.groupBy(key, "category").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.avg(amount).alias("_mean"),
-        F.stddev_pop(amount).alias("_dev"),
-        F.percentile(amount, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"),
+        F.count(F.lit(1)).alias("_n"), F.avg(amount).alias("_mean"), F.stddev_pop(amount).alias("_dev")
     )
-    q1, median, q3 = F.get("_q", F.lit(0)), F.get("_q", F.lit(1)), F.get("_q", F.lit(2))
+    stats = stats.filter(F.col("_n") >= at_least).join(_quartiles(page, [key, "category"]), [key, "category"])
+    q1, median, q3 = F.col("_q1"), F.col("_q2"), F.col("_q3")
     fence = (q3 - q1) * iqr_times
     far = F.when(F.col("_dev") > 0, F.abs(amount - F.col("_mean")) / F.col("_dev") > z_over).otherwise(False)
     outside = (amount < q1 - fence) | (amount > q3 + fence)
     deviation = ratio(F.abs(amount - median), median) * 100
     return (
-        page.join(stats.filter(F.col("_n") >= at_least), [key, "category"])
+        page.join(stats, [key, "category"])
         .filter(far | outside)
         .select(
             key,
@@ -133,7 +171,7 @@ def outliers(
     )
 
 
-def unusual_amounts(rows: DataFrame, key: str = "user_id", newest_rows: int = 500, at_least: int = 5) -> DataFrame:
+def unusual_amounts(rows: DataFrame, key: str = "user_id", newest_rows: int | None = None, at_least: int = 5) -> DataFrame:
     """ANO3 with SET2 and ANO4: one anomaly per distinct outlying amount, against the typical amount too."""
     found = outliers(rows, key, newest_rows, at_least)
     kept = distinct_outliers(found.withColumnRenamed(key, "user_id")).withColumnRenamed("user_id", key)
@@ -192,18 +230,17 @@ SMALL_HOURS = "Gasto en madrugada"
 WEEKEND_MORNING = "Gasto temprano en fin de semana"
 
 
-def off_hours(receipts: DataFrame, as_of: AsOf, key: str = "user_id", at_least: int = 10, newest_rows: int = 30) -> DataFrame:
-    """ANO7: the newest receipts of sixty days that fall outside usual hours; first matching reason wins."""
+def off_hours(receipts: DataFrame, as_of: AsOf, key: str = "user_id", at_least: int = 10) -> DataFrame:
+    """ANO7: the receipts of sixty days that fall outside usual hours; first matching reason wins."""
     recent = receipts.filter((F.col("date") >= ts(as_of, -60)) & (F.col("date") <= ts(as_of)))
     active = recent.groupBy(key).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") >= at_least).select(key)
-    page = newest(recent, [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows)
     hour, amount, weekend = F.hour("date"), F.col("total_amount"), F.weekday("date") >= 5
     reason = (
         F.when(~hour.between(*OPENING_HOURS) & (amount > 30_000), OFF_HOURS)
         .when((hour < 6) & (amount > 10_000), SMALL_HOURS)
         .when(weekend & (hour < 8) & (amount > 20_000), WEEKEND_MORNING)
     )
-    rows = page.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+    rows = recent.withColumn("reason", reason).filter(F.col("reason").isNotNull())
     return rows.join(active, key, "left_semi").select(
         key,
         F.lit("unusual_time").alias("type"),
@@ -233,15 +270,17 @@ def all_anomalies(receipts: DataFrame, as_of: AsOf, key: str = "user_id", min_co
     )
 
 
-def risk_scores(anomalies: DataFrame, key: str = "user_id") -> DataFrame:
-    """ANO8 and ANO9: weighted score out of 100, its level, and advice."""
+def risk_scores(anomalies: DataFrame, key: str = "user_id", everyone: DataFrame | None = None) -> DataFrame:
+    """ANO8 and ANO9: weighted score out of 100, its level, and advice; those of ``everyone`` without a finding score 0."""
     weight = F.coalesce(lookup(F.col("severity"), SEVERITY_WEIGHTS), F.lit(1.0)) * F.coalesce(
         lookup(F.col("type"), TYPE_WEIGHTS), F.lit(1.0)
     )
     # Counting by type first keeps the set of types out of a per-row buffer.
     kinds = [F.count_if(F.col("type") == kind).alias(f"_{kind}") for kind in TYPE_WEIGHTS]
     sums = anomalies.groupBy(key).agg(F.count(F.lit(1)).alias("total_anomalies"), F.sum(weight).alias("_w"), *kinds)
-    score = F.least(F.lit(100.0), F.col("_w") / (F.col("total_anomalies") * 10 * 2.5) * 100)
+    if everyone is not None:
+        sums = everyone.select(key).distinct().join(sums, key, "left").na.fill(0)
+    score = F.least(F.lit(100.0), ratio(F.col("_w"), F.col("total_anomalies") * 10 * 2.5) * 100)
     level = F.when(score >= 70, "high").when(score >= 40, "medium").otherwise("low")
     advice = notes(
         *[(level == "high", text) for text in HIGH_RISK_ADVICE],

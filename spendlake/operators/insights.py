@@ -1,6 +1,6 @@
 """Insights from each key's recent receipts (INS1 to INS10, SET3).
 
-All generators read one profile: a single pass of grouping sets over the newest
+All generators read one profile: a single pass of grouping sets over the
 receipts of every key, folded to one row per key.  An insight is then a
 condition and a struct on that row, and the whole report is one ``explode``.
 """
@@ -63,9 +63,10 @@ ADVICE = {
 WHOLE, WEEKDAY, HOUR, HALF, MONTH, WEEK, CATEGORY = 63, 31, 47, 55, 59, 61, 62
 
 
-def profile(history: DataFrame, key: str = "user_id", newest_rows: int = 500) -> DataFrame:
-    """One row per key with everything the generators compare."""
-    page = newest(history, [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows, rank="_rank")
+def profile(history: DataFrame, key: str = "user_id", newest_rows: int | None = None) -> DataFrame:
+    """One row per key with everything the generators compare; ``newest_rows`` keeps one page per key."""
+    order = [F.col("date").desc(), F.col("receipt_id").desc()]
+    page = history if newest_rows is None else newest(history, [key], order, newest_rows)
     names = ["weekday", "hour", "half", "month", "week", "category"]
     rows = page.select(
         key,
@@ -76,7 +77,6 @@ def profile(history: DataFrame, key: str = "user_id", newest_rows: int = 500) ->
         F.weekofyear("date").alias("week"),
         "category",
         "total_amount",
-        "_rank",
     )
     k = F.col(key)
     sets = [[k]] + [[k, F.col(n)] for n in names]
@@ -85,8 +85,12 @@ def profile(history: DataFrame, key: str = "user_id", newest_rows: int = 500) ->
         F.grouping_id().alias("_g"),
         total().alias("_t"),
         F.count(F.lit(1)).alias("_n"),
-        F.sum(F.when(F.col("_rank") <= 30, amount)).alias("_last30"),
-        F.sum(F.when(F.col("_rank").between(31, 60), amount)).alias("_prior30"),
+    )
+    # Only sixty receipts of a key leave their task for the two bands.
+    latest = newest(page.select(key, "date", "receipt_id", "total_amount"), [key], order, 60, rank="_rank")
+    bands = latest.groupBy(key).agg(
+        num(F.sum(F.when(F.col("_rank") <= 30, amount))).alias("last30"),
+        num(F.sum(F.when(F.col("_rank") > 30, amount))).alias("prior30"),
     )
     g, t = F.col("_g"), num("_t")
 
@@ -99,11 +103,9 @@ def profile(history: DataFrame, key: str = "user_id", newest_rows: int = 500) ->
     def pick(facet: int, value: Column) -> Column:
         return F.max(F.when(g == facet, value))
 
-    return cells.groupBy(key).agg(
+    folded = cells.groupBy(key).agg(
         pick(WHOLE, F.col("_n")).alias("receipts"),
         pick(WHOLE, t).alias("total"),
-        pick(WHOLE, num("_last30")).alias("last30"),
-        pick(WHOLE, num("_prior30")).alias("prior30"),
         top(WEEKDAY, "weekday").alias("weekday"),
         average(WEEKDAY).alias("weekday_mean"),
         top(HOUR, "hour").alias("hour"),
@@ -117,6 +119,7 @@ def profile(history: DataFrame, key: str = "user_id", newest_rows: int = 500) ->
             F.collect_list(F.when(g == CATEGORY, F.struct("category", t.alias("total"), F.col("_n").alias("n"))))
         ).alias("categories"),
     )
+    return folded.join(bands, key, "left")
 
 
 def _insight(kind, category, impact, value, confidence, points, amount=None, context=True, note=None) -> Column:

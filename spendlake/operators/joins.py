@@ -12,7 +12,7 @@ from math import cos, radians
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spendlake.functions.core import newest
+from spendlake.functions.core import newest, num
 from spendlake.functions.geo import haversine
 
 NO_CATEGORY = "Sin categoría"
@@ -33,9 +33,13 @@ def category_history(receipts: DataFrame, categories: DataFrame, category: str)
     return receipts.drop("category").join(chosen, "receipt_id").select("user_id", "receipt_id", "category", "date", "total_amount")
 
 
-def user_history(receipts: DataFrame, categories: DataFrame, newest_rows: int = 500, key: str = "user_id") -> DataFrame:
-    """JOI3: the newest receipts per user with their first category, default ``Otros``."""
-    page = newest(receipts.drop("category"), [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows)
+def user_history(
+    receipts: DataFrame, categories: DataFrame, newest_rows: int | None = None, key: str = "user_id"
+) -> DataFrame:
+    """JOI3: every receipt with its first category, default ``Otros``; ``newest_rows`` keeps one page per user."""
+    page = receipts.drop("category")
+    if newest_rows is not None:
+        page = newest(page, [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows)
     first = categories.groupBy("receipt_id").agg(F.min_by("category", F.struct("created_at", "category")).alias("category"))
     rows = page.join(first, "receipt_id", "left")
     return rows.withColumn("category", F.coalesce("category", F.lit(OTHER)))
@@ -71,32 +75,42 @@ def limits_with_names(limits: DataFrame, users: DataFrame) -> DataFrame:
 
 
 def near_pairs(
-    receipts: DataFrame, newest_rows: int | None = 1000, hours: int = 24, key: str = "user_id"
+    receipts: DataFrame, newest_rows: int | None = None, hours: int = 24, key: str = "user_id", within_double: bool = False
 ) -> DataFrame:
     """JOI8: pairs of one user's receipts at most ``hours`` apart, the newer one first.
 
     The interval join becomes an equi join on ``(user, time bucket)``: buckets
     are as wide as the interval, so a partner sits in the same bucket or a
     neighbouring one.  The older side is sent to its own and the next bucket,
-    never to all.  ``newest_rows`` is the size of one user's window by definition of the measure
-    and is pruned before the shuffle; ``None`` compares everything.
+    never to all.  All receipts are compared; ``newest_rows`` keeps one page per
+    user instead.  ``within_double`` asks only for pairs of positive amounts less
+    than a factor of two apart and adds the amount's size class to the join key,
+    so that a busy day is not compared all against all.
     """
     fields = [key, "receipt_id", "date", "total_amount", "company_name", "description"]
     rows = receipts.select(*dict.fromkeys(fields))
     if newest_rows is not None:
         rows = newest(rows, [key], [F.col("date").desc(), F.col("receipt_id").desc()], newest_rows)
     bucket = F.floor(F.unix_timestamp("date") / (hours * 3600))
-    left = rows.select(F.col(key).alias("_k"), bucket.alias("_b"), F.struct(*rows.columns).alias("a"))
-    right = rows.select(
-        F.col(key).alias("_k"),
-        F.explode(F.array(bucket, bucket + 1)).alias("_b"),
-        F.struct(*rows.columns).alias("b"),
-    )
+    size_class, classes = F.lit(0), F.array(F.lit(0))
+    if within_double:
+        rows = rows.filter(F.col("total_amount") > 0)
+        # A little wider than a factor of two, so that rounding never parts neighbours.
+        size_class = F.floor(F.log2(num("total_amount")) / 1.01).cast("int")
+        classes = F.array(size_class - 1, size_class, size_class + 1)
+    record = F.struct(*rows.columns)
+    left = rows.select(F.col(key).alias("_k"), bucket.alias("_b"), size_class.alias("_s"), record.alias("a"))
+    right = rows.select(F.col(key).alias("_k"), F.array(bucket, bucket + 1).alias("_bs"), classes.alias("_ss"), record.alias("b"))
+    right = right.select("_k", F.explode("_bs").alias("_b"), "_ss", "b").select("_k", "_b", F.explode("_ss").alias("_s"), "b")
     older = (F.col("b.date") < F.col("a.date")) | (
         (F.col("b.date") == F.col("a.date")) & (F.col("b.receipt_id") < F.col("a.receipt_id"))
     )
     gap = F.unix_timestamp("a.date") - F.unix_timestamp("b.date")
-    return left.join(right, ["_k", "_b"]).filter(older & (gap <= hours * 3600)).select("a", "b", gap.alias("gap_seconds"))
+    near = older
+    if within_double:
+        one, two = num("a.total_amount"), num("b.total_amount")
+        near = older & (F.least(one, two) * 2 > F.greatest(one, two))
+    return left.join(right, ["_k", "_b", "_s"]).filter(near & (gap <= hours * 3600)).select("a", "b", gap.alias("gap_seconds"))
 
 
 def _cells(radius_km: float, top_lat: float, lat: str, lng: str) -> tuple[Column, Column]:

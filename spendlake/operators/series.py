@@ -218,17 +218,15 @@ def split_half_trend(
 ) -> DataFrame:
     """WIN12: mean of a category's first half of receipts against the rest.
 
-    ``history`` is the bounded newest page of every key, so the windows see a
-    few hundred rows each.
+    Positions come from the two-level running number and sizes from counts, so
+    no task sorts a whole key.
     """
-    cell = Window.partitionBy(key, "category")
-    rows = (
-        history.withColumn("_all", F.count(F.lit(1)).over(Window.partitionBy(key)))
-        .withColumn("_n", F.count(F.lit(1)).over(cell))
-        .withColumn("_r", F.row_number().over(cell.orderBy("date", "receipt_id")))
-        .filter((F.col("_all") >= per_key) & (F.col("_n") >= per_category))
-    )
-    early = F.col("_r") <= F.floor(F.col("_n") / 2)
+    sizes = history.groupBy(key, "category").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumn("_all", F.sum("_n").over(Window.partitionBy(key)))
+    large = sizes.filter((F.col("_all") >= per_key) & (F.col("_n") >= per_category))
+    narrow = history.select(key, "category", "date", "receipt_id", "total_amount")
+    rows = running(narrow, [key, "category"], "date", [F.col("date"), F.col("receipt_id")], grain="day").join(large, [key, "category"])
+    early = F.col("rn") <= F.floor(F.col("_n") / 2)
     amount = num("total_amount")
     means = rows.groupBy(key, "category").agg(
         F.count(F.lit(1)).alias("data_points"),

@@ -19,7 +19,7 @@ PAIR_SQL = """base AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER B
  + CASE WHEN lower(a.description) = lower(b.description) THEN 0.2 WHEN contains(lower(a.description), lower(b.description))
   OR contains(lower(b.description), lower(a.description)) THEN 0.1 ELSE 0 END
  + CASE WHEN a.date <= b.date + interval 1 hour THEN 0.1 WHEN a.date <= b.date + interval 6 hour THEN 0.05 ELSE 0 END) AS similarity
- FROM base a JOIN base b ON a.user_id = b.user_id AND a.rn < b.rn AND a.date <= b.date + interval 24 hour WHERE a.rn <= 1000 AND b.rn <= 1000)"""
+ FROM base a JOIN base b ON a.user_id = b.user_id AND a.rn < b.rn AND a.date <= b.date + interval 24 hour)"""
 
 
 @query("ano1_pair_similarity", "receipts_dup", f"""WITH {PAIR_SQL} SELECT user_id, receipt_id, related_receipt_id, {r('similarity')} AS similarity FROM pairs""")
@@ -41,7 +41,7 @@ def duplicates(t):
 
 def outlier_sql(key, source):
     return f"""page AS (SELECT {key}, receipt_id, date, coalesce(category, 'Sin categoría') AS category, total_amount::double AS amount
- FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY date DESC, receipt_id DESC) AS rn FROM {source}) WHERE rn <= 500),
+ FROM {source}),
  st AS (SELECT {key}, category, avg(amount) AS m, stddev_pop(amount) AS sd, quantile_cont(amount, 0.25) AS q1,
  quantile_cont(amount, 0.5) AS q2, quantile_cont(amount, 0.75) AS q3 FROM page GROUP BY ALL HAVING count(*) >= 5),
  found AS (SELECT p.*, sd > 0 AND abs(amount - m) / sd > 2.5 AS z, amount < q1 - 1.5 * (q3 - q1) OR amount > q3 + 1.5 * (q3 - q1) AS iqr, q2,
@@ -105,8 +105,7 @@ OFF_SQL = f"""recent AS (SELECT * FROM er WHERE date BETWEEN {NOW} - interval 60
  WHEN NOT hour(date) BETWEEN 10 AND 20 AND total_amount > 30000 THEN 'Gasto significativo fuera de horario comercial'
  WHEN hour(date) < 6 AND total_amount > 10000 THEN 'Gasto en madrugada'
  WHEN isodow(date) >= 6 AND hour(date) < 8 AND total_amount > 20000 THEN 'Gasto temprano en fin de semana' END AS reason
- FROM (SELECT *, row_number() OVER (PARTITION BY employer_id ORDER BY date DESC, receipt_id DESC) AS rn, count(*) OVER (PARTITION BY employer_id) AS n
- FROM recent) WHERE rn <= 30 AND n >= 10)"""
+ FROM (SELECT *, count(*) OVER (PARTITION BY employer_id) AS n FROM recent) WHERE n >= 10)"""
 
 
 @query("ano7_off_hours", "receipts users", f"""WITH {EMP}, {OFF_SQL} SELECT employer_id, 'unusual_time' AS type,
@@ -117,8 +116,7 @@ def off_hours(t):
 
 
 # The planted copies have fewer than five receipts per user and category rarely; the union is per user.
-ALL_SQL = f"""{PAIR_SQL}, {outlier_sql('user_id', 'receipts_dup')}, recent AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC,
- receipt_id DESC) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM receipts_dup WHERE date BETWEEN {NOW} - interval 60 day AND {NOW}),
+ALL_SQL = f"""{PAIR_SQL}, {outlier_sql('user_id', 'receipts_dup')}, recent AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS n FROM receipts_dup WHERE date BETWEEN {NOW} - interval 60 day AND {NOW}),
  anomalies AS (SELECT user_id, 'duplicate_receipt' AS type, CASE WHEN similarity > 0.95 THEN 'high' ELSE 'medium' END AS severity, receipt_id,
  amount::double AS amount FROM pairs WHERE similarity > 0.8
  UNION ALL SELECT user_id, 'unusual_amount', CASE WHEN dev > 200 THEN 'high' WHEN dev > 100 THEN 'medium' ELSE 'low' END, receipt_id, amount
@@ -127,7 +125,7 @@ ALL_SQL = f"""{PAIR_SQL}, {outlier_sql('user_id', 'receipts_dup')}, recent AS (S
  GROUP BY user_id, cast(date AS date) HAVING count(*) > 1 AND sum(total_amount) > 200000
  UNION ALL SELECT user_id, 'unusual_time', 'medium', receipt_id, total_amount::double FROM receipts_dup WHERE {LAST_30} AND hour(date) < 6 AND total_amount > 50000
  UNION ALL SELECT user_id, 'unusual_time', CASE WHEN total_amount > 50000 THEN 'medium' ELSE 'low' END, receipt_id, total_amount::double FROM recent
- WHERE rn <= 30 AND n >= 1 AND ((NOT hour(date) BETWEEN 10 AND 20 AND total_amount > 30000) OR (hour(date) < 6 AND total_amount > 10000)
+ WHERE n >= 1 AND ((NOT hour(date) BETWEEN 10 AND 20 AND total_amount > 30000) OR (hour(date) < 6 AND total_amount > 10000)
  OR (isodow(date) >= 6 AND hour(date) < 8 AND total_amount > 20000)))"""
 
 
@@ -146,10 +144,11 @@ RISK_SQL = f"""{ALL_SQL}, risk AS (SELECT user_id, count(*) AS n, sum(CASE sever
  scored AS (SELECT *, least(100, w / (n * 25) * 100) AS score FROM risk)"""
 
 
-@query("ano8_risk_scores", "receipts_dup", f"""WITH {RISK_SQL} SELECT user_id, n AS total_anomalies, {r('round_even(score, 1)')} AS risk_score,
- CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk_level FROM scored""")
+@query("ano8_risk_scores", "receipts_dup users", f"""WITH {RISK_SQL} SELECT user_id, coalesce(n, 0) AS total_anomalies,
+ {r('round_even(coalesce(score, 0), 1)')} AS risk_score,
+ CASE WHEN score >= 70 THEN 'high' WHEN score >= 40 THEN 'medium' ELSE 'low' END AS risk_level FROM users LEFT JOIN scored USING (user_id)""")
 def risk_scores(t):
-    return ops.risk_scores(everything(t)).drop("recommendations")
+    return ops.risk_scores(everything(t), everyone=t.users).drop("recommendations")
 
 
 @query("ano9_risk_advice", "receipts_dup", f"""WITH {RISK_SQL} SELECT user_id, array_to_string(list_filter([

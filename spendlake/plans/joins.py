@@ -22,8 +22,7 @@ def category_history(t):
 
 
 @query("joi3_user_history", "receipts categories", f"""SELECT r.user_id, r.receipt_id, coalesce(c.category, 'Otros') AS category,
- {d('date')} AS date, {r('total_amount')} AS total_amount FROM (SELECT *, row_number() OVER (PARTITION BY user_id
- ORDER BY date DESC, receipt_id DESC) AS rn FROM receipts) r LEFT JOIN categories c ON r.receipt_id = c.receipt_id WHERE rn <= 500""")
+ {d('date')} AS date, {r('total_amount')} AS total_amount FROM receipts r LEFT JOIN categories c ON r.receipt_id = c.receipt_id""")
 def user_history(t):
     rows = ops.user_history(t.receipts, t.categories)
     return rows.select("user_id", "receipt_id", "category", "date", "total_amount")
@@ -61,7 +60,7 @@ def limits_with_names(t):
  SELECT a.user_id, a.receipt_id, b.receipt_id AS related_receipt_id,
  cast(date_diff('second', b.date, a.date) AS bigint) AS gap_seconds
  FROM base a JOIN base b ON a.user_id = b.user_id AND a.rn < b.rn
- AND a.date <= b.date + interval 24 hour WHERE a.rn <= 1000 AND b.rn <= 1000""")
+ AND a.date <= b.date + interval 24 hour""")
 def near_pairs(t):
     return ops.near_pairs(t.receipts_with_copies).select(
         F.col("a.user_id").alias("user_id"),

@@ -133,9 +133,8 @@ def unusual_spending(t):
     return ops.unusual_spending(by_employer(t), AS_OF, key="employer_id")
 
 
-HISTORY_SQL = """history AS (SELECT r.user_id, r.receipt_id, r.date, r.total_amount, coalesce(c.category, 'Otros') AS category FROM
- (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY date DESC, receipt_id DESC) AS rn FROM receipts) r
- LEFT JOIN categories c ON r.receipt_id = c.receipt_id WHERE rn <= 500)"""
+HISTORY_SQL = """history AS (SELECT r.user_id, r.receipt_id, r.date, r.total_amount, coalesce(c.category, 'Otros') AS category
+ FROM receipts r LEFT JOIN categories c ON r.receipt_id = c.receipt_id)"""
 
 
 @query("win11_week_ends_trend", "receipts categories", f"""WITH {HISTORY_SQL}, w AS (SELECT user_id, week(date) AS week, sum(total_amount)::double AS s

@@ -98,7 +98,30 @@ def test_duplicates_cross_bucket_borders(spark):
     frame = receipts(spark, rows)
     pairs = {(r.a.receipt_id, r.b.receipt_id) for r in joins.near_pairs(frame).collect()}
     assert pairs == {(i + 1, i) for i in range(5)}
-    assert joins.near_pairs(frame, newest_rows=None).count() == 5
+    assert joins.near_pairs(frame, newest_rows=2).count() == 1
+
+
+def test_oldest_receipts_of_a_busy_user_count(spark):
+    rows = [(i, 1, "A", "x", "Comida", DAY - dt.timedelta(days=i), 100 + i % 5) for i in range(5000)]
+    rows += [(9000 + i, 1, "A", "x", "Comida", DAY - dt.timedelta(days=6000, minutes=i), 9000) for i in range(2)]
+    frame = receipts(spark, rows)
+    assert {9000, 9001} == {r.receipt_id for r in anomalies.outliers(frame).collect()}
+    assert (9000, 9001) in {(r.receipt_id, r.related_receipt_id) for r in anomalies.duplicates(frame).collect()}
+    assert insights.profile(joins.user_history(frame, frame.select("receipt_id", "category", F.col("date").alias("created_at")))).first().receipts == 5002
+
+
+def test_quartiles_match_percentile(spark):
+    amounts = [-7.0, 0.0, 0.5, 1.0, 1.0, 3.25, 8.0, 8.0, 64.0, 1e6, 2e6, 2e6 + 0.01]
+    rows = [("a", "x", v) for v in amounts] + [("b", "x", 5.0)] + [("c", "y", float(v)) for v in range(4)]
+    frame = spark.createDataFrame(rows + [("a", "x", None)], "k string, category string, amount double")
+    expected = {
+        r.k: r.q
+        for r in frame.groupBy("k").agg(F.percentile("amount", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).collect()
+    }
+    found = {r.k: [r._q1, r._q2, r._q3] for r in anomalies._quartiles(frame, ["k", "category"]).collect()}
+    assert found.keys() == expected.keys()
+    for k, values in found.items():
+        assert all(abs(x - y) < 1e-6 for x, y in zip(values, expected[k]))
 
 
 def test_z_score_branch(spark):
