@@ -240,12 +240,12 @@ def product_category(name: Column) -> Column:
     return result.otherwise("abarrotes")
 
 
-def train_classifier(rows: DataFrame, features: int = 5000, iterations: int = 20) -> PipelineModel:
+def train_classifier(rows: DataFrame, features: int = 5000, iterations: int = 1000) -> PipelineModel:
     """TXT8: words and word pairs, weighted by inverse document frequency, one logistic model per class.
 
     ``rows`` has ``text`` and ``category``.  The vocabulary kept on the driver
     is bounded by ``features``; counts, frequencies and gradients are
-    aggregated on the executors.
+    aggregated on the executors.  Each fit ends at its tolerance.
     """
     stages = [
         StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip"),

@@ -106,10 +106,7 @@ def user_feed(notifications: DataFrame, unread_only: bool = False, limit: int =
     """FIL6: the newest notifications of every user, with defaults for missing fields."""
     rows = notifications.filter(~F.coalesce("is_read", F.lit(False))) if unread_only else notifications
     order = [F.col("created_at").desc(), F.col("notification_id").desc()]
-    page = newest(rows, ["user_id"], order, limit + skip)
-    if skip:
-        first = newest(rows, ["user_id"], order, skip).select("notification_id")
-        page = page.join(first, "notification_id", "left_anti")
+    page = newest(rows, ["user_id"], order, limit + skip, rank="_r").filter(F.col("_r") > skip)
     return page.select(
         "notification_id",
         "user_id",

@@ -70,10 +70,13 @@ def _voted(texts: DataFrame, key: str) -> DataFrame:
         key, F.split(F.lower(letters), " ").alias("_w"), _script(letters).alias("_script"), (F.length(F.trim("text")) >= 10).alias("_ok")
     )
 
+    known = sorted({w for words in LANGUAGE_WORDS.values() for w in words})
+    voting = split.withColumn("_w", F.filter("_w", lambda w: w.isin(known)))
+
     def count(listed: list[str]) -> Column:
         return F.size(F.filter("_w", lambda w: w.isin(listed)))
 
-    return split.select(key, "_script", "_ok", *[count(ws).alias(name) for name, ws in LANGUAGE_WORDS.items()])
+    return voting.select(key, "_script", "_ok", *[count(ws).alias(name) for name, ws in LANGUAGE_WORDS.items()])
 
 
 def word_votes(texts: DataFrame, key: str = "doc_id") -> DataFrame:

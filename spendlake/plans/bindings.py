@@ -71,12 +71,13 @@ SELECT c_custkey AS invitation_id, cast(c_nationkey AS bigint) AS employer_id,
  timestamp '2001-07-20' + to_hours(cast(c_custkey % 300 AS int)) AS created_at,
  timestamp '2001-07-20' + to_hours(cast(c_custkey % 300 AS int)) + interval 7 day AS expires_at FROM customer"""),
     "fuel_expenses": ((), """
-SELECT l_orderkey AS expense_id, l_orderkey % 1000 AS user_id, l_quantity * 10 AS distance_km,
+SELECT (l_orderkey::bigint * 10 + l_linenumber) * 1000003 + (l_partkey::bigint * 31 + l_suppkey) % 1000003 AS expense_id,
+ l_orderkey % 1000 AS user_id, l_quantity * 10 AS distance_km,
  CASE l_partkey % 3 WHEN 0 THEN 'economico' WHEN 1 THEN 'intermedio' ELSE 'suv' END AS vehicle_type,
  CASE l_suppkey % 4 WHEN 0 THEN 'gasolina_93' WHEN 1 THEN 'gasolina_95' WHEN 2 THEN 'gasolina_97' ELSE 'diesel' END AS fuel_type,
  'City ' || (l_suppkey % 10) AS origin, 'City ' || (l_partkey % 10) AS destination,
  CASE WHEN l_linestatus = 'F' THEN 'approved' ELSE 'pending' END AS status, l_extendedprice AS noise,
- l_shipdate AS created_at FROM lineitem WHERE l_linenumber = 1"""),
+ l_shipdate AS created_at FROM lineitem"""),
     "processing_metrics": ((), """
 SELECT event_id, ts, user_id, CASE event_type WHEN 'view' THEN 'tesseract' WHEN 'click' THEN 'google_vision' ELSE 'hybrid' END AS engine,
  least(value / 100, 1.0) AS confidence, value / 20 AS processing_time, event_id % 4 = 0 AS cache_hit,

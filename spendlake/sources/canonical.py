@@ -297,11 +297,13 @@ class Tables:
     def fuel_expenses(self) -> DataFrame:
         vehicle = {0: "economico", 1: "intermedio", 2: "suv"}
         fuel = {0: "gasolina_93", 1: "gasolina_95", 2: "gasolina_97", 3: "diesel"}
+        # Order and line repeat, so part and supplier are part of the id.
+        line = F.col("l_orderkey").cast("bigint") * 10 + F.col("l_linenumber")
+        product = (F.col("l_partkey").cast("bigint") * 31 + F.col("l_suppkey")) % 1000003
         return (
             self.raw("lineitem")
-            .filter(F.col("l_linenumber") == 1)
             .select(
-                F.col("l_orderkey").alias("expense_id"),
+                (line * 1000003 + product).alias("expense_id"),
                 (F.col("l_orderkey") % 1000).alias("user_id"),
                 (F.col("l_quantity") * 10).alias("distance_km"),
                 lookup(F.col("l_partkey") % 3, vehicle).alias("vehicle_type"),
