@@ -89,14 +89,14 @@ def category_feedback(categories: DataFrame, corrections: DataFrame) -> DataFram
 def products_corrected(products: DataFrame, corrections: DataFrame) -> DataFrame:
     """UPD6: the last correction of every product replaces name and prices and marks the method."""
     fields = ["name", "quantity", "total_price"]
-    latest = corrections.groupBy("receipt_id", "line").agg(
+    keys = ["receipt_id", "line", "sku"]  # line numbers may repeat on a receipt
+    latest = corrections.groupBy(*keys).agg(
         F.max_by(F.struct(*fields), F.struct("corrected_at", "correction_id")).alias("_c")
     )
-    rows = products.join(latest, ["receipt_id", "line"], "left")
+    rows = products.join(latest, keys, "left")
     touched = F.col("_c").isNotNull()
     return rows.select(
-        "receipt_id",
-        "line",
+        *keys,
         *[F.coalesce(F.col(f"_c.{f}"), F.col(f)).alias(f) for f in fields],
         F.when(touched, "manual_correction").otherwise(F.col("extraction_method")).alias("extraction_method"),
     )

@@ -98,6 +98,7 @@ def product_corrections(t):
     return t.raw("lineitem").filter(F.col("l_discount") > 0.07).select(
         F.col("l_orderkey").alias("receipt_id"),
         F.col("l_linenumber").alias("line"),
+        F.col("l_partkey").alias("sku"),
         F.concat(F.lit("corrected "), F.col("l_partkey").cast("string")).alias("name"),
         F.lit(None).cast("double").alias("quantity"),
         (F.col("l_extendedprice").cast("decimal(18,2)") * F.lit("0.5").cast("decimal(2,1)")).cast("decimal(18,2)").alias("total_price"),
@@ -106,11 +107,11 @@ def product_corrections(t):
     )
 
 
-@query("upd6_products_corrected", "receipt_products", f"""WITH latest AS (SELECT l_orderkey, l_linenumber, 'corrected ' || l_partkey AS name,
- cast(cast(l_extendedprice AS decimal(14,2)) * 0.5::decimal(2,1) AS decimal(18,2)) AS price FROM lineitem WHERE l_discount > 0.07 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber
+@query("upd6_products_corrected", "receipt_products", f"""WITH latest AS (SELECT l_orderkey, l_linenumber, l_partkey, 'corrected ' || l_partkey AS name,
+ cast(cast(l_extendedprice AS decimal(14,2)) * 0.5::decimal(2,1) AS decimal(18,2)) AS price FROM lineitem WHERE l_discount > 0.07 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey
  ORDER BY l_shipdate DESC, l_suppkey DESC) = 1)
- SELECT receipt_id, line, coalesce(l.name, p.name) AS name, {r('quantity')} AS quantity, {r('coalesce(price, total_price)')} AS total_price,
+ SELECT receipt_id, line, sku, coalesce(l.name, p.name) AS name, {r('quantity')} AS quantity, {r('coalesce(price, total_price)')} AS total_price,
  CASE WHEN price IS NOT NULL THEN 'manual_correction' ELSE extraction_method END AS extraction_method
- FROM receipt_products p LEFT JOIN latest l ON receipt_id = l_orderkey AND line = l_linenumber""")
+ FROM receipt_products p LEFT JOIN latest l ON receipt_id = l_orderkey AND line = l_linenumber AND sku = l_partkey""")
 def products_corrected(t):
     return ops.products_corrected(t.receipt_products, product_corrections(t))
