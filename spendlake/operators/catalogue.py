@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -29,23 +30,23 @@ PRODUCTS = [
     ("aceite", "abarrotes", ["aceite", "aceite maravilla", "aceite oliva"], ["ace1te", "acelte", "ace ite"]),
     ("azucar", "abarrotes", ["azucar", "azúcar", "azucar blanca"], ["azuc ar", "azuc4r", "4zucar"]),
 ]
-# First price range of every product.
+# Price ranges of every product by size; the first one counts where the size is unknown.
 PRICE_RANGES = {
-    "coca_cola": (800, 1500),
-    "pepsi": (700, 1400),
-    "sprite": (800, 1500),
-    "leche_soprole": (800, 1500),
-    "yogurt": (400, 800),
-    "pan_hallulla": (150, 400),
-    "pan_marraqueta": (100, 300),
-    "pollo": (2500, 5000),
-    "carne_vacuno": (5000, 12000),
-    "tomate": (800, 2500),
-    "palta": (1500, 4000),
-    "platano": (800, 2000),
-    "arroz": (800, 1800),
-    "aceite": (1500, 3500),
-    "azucar": (600, 1500),
+    "coca_cola": {"350ml": (800, 1500), "500ml": (1000, 2000), "1.5L": (1500, 3000)},
+    "pepsi": {"350ml": (700, 1400), "500ml": (900, 1800), "1.5L": (1400, 2800)},
+    "sprite": {"350ml": (800, 1500), "500ml": (1000, 2000)},
+    "leche_soprole": {"1L": (800, 1500), "200ml": (300, 600)},
+    "yogurt": {"125g": (400, 800), "150g": (500, 900), "1kg": (2000, 4000)},
+    "pan_hallulla": {"unidad": (150, 400)},
+    "pan_marraqueta": {"unidad": (100, 300)},
+    "pollo": {"kg": (2500, 5000)},
+    "carne_vacuno": {"kg": (5000, 12000)},
+    "tomate": {"kg": (800, 2500)},
+    "palta": {"kg": (1500, 4000)},
+    "platano": {"kg": (800, 2000)},
+    "arroz": {"1kg": (800, 1800), "5kg": (3500, 8000)},
+    "aceite": {"1L": (1500, 3500), "900ml": (1300, 3000)},
+    "azucar": {"1kg": (600, 1500), "5kg": (2500, 6000)},
 }
 # Vendor spellings and known misreadings.
 VENDORS = [
@@ -106,7 +107,7 @@ def _entries() -> Column:
 
 
 def match_products(names: DataFrame, threshold: float = 0.6, learned: DataFrame | None = None) -> DataFrame:
-    """TXT24: the dictionary entry most like each name, at or above the threshold.
+    """TXT24: the dictionary entry most like each name, at or above the threshold; no product and confidence 0 without one.
 
     Each distinct name is compared once.  Entries that cannot reach the
     threshold by length are dropped before the pairs go to Python in Arrow
@@ -137,7 +138,14 @@ def match_products(names: DataFrame, threshold: float = 0.6, learned: DataFrame
     best = scored.groupBy("name").agg(
         F.max(F.struct("confidence", "place", "product", "corrected_name", "category", "was_variation")).alias("_m")
     )
-    return best.select("name", "_m.product", "_m.corrected_name", "_m.category", "_m.confidence", "_m.was_variation")
+    return unique.join(best, "name", "left").select(
+        "name",
+        "_m.product",
+        F.coalesce("_m.corrected_name", "name").alias("corrected_name"),
+        "_m.category",
+        F.coalesce("_m.confidence", F.lit(0.0)).alias("confidence"),
+        F.coalesce("_m.was_variation", F.lit(False)).alias("was_variation"),
+    )
 
 
 def correct_vendors(texts: DataFrame, over: float = 0.7) -> DataFrame:
@@ -159,35 +167,64 @@ def correct_vendors(texts: DataFrame, over: float = 0.7) -> DataFrame:
     )
 
 
+def _best_ratio(text: str) -> float:
+    """Similarity of a name to its most similar dictionary entry."""
+    plain = re.sub(r"\s+", " ", re.sub(r"[^\w\s]", "", text.lower())).strip()
+    matcher, best = SequenceMatcher(None), 0.0
+    for _, _, names, misread in PRODUCTS:
+        for entry in names + misread:
+            matcher.set_seqs(plain, entry)
+            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best:
+                best = max(best, matcher.ratio())
+    return best
+
+
+@F.pandas_udf(T.StructType([T.StructField("repaired", T.StringType()), T.StructField("confidence", T.DoubleType())]))
+def _repair(names: pd.Series) -> pd.DataFrame:
+    known: dict[str, float] = {}
+
+    def ratio(text: str) -> float:
+        if text not in known:
+            known[text] = _best_ratio(text)
+        return known[text]
+
+    rows = []
+    for text in names:
+        for right, wrongs in CONFUSIONS.items() if text is not None else ():
+            for wrong in wrongs:
+                if wrong in text and ratio(other := text.replace(wrong, right)) > ratio(text):
+                    text = other
+        rows.append((text, None if text is None else ratio(text)))
+    return pd.DataFrame(rows, columns=["repaired", "confidence"])
+
+
 def repair_characters(names: DataFrame) -> DataFrame:
-    """TXT26: the single confusion repair that most improves the dictionary match, kept only if it does."""
-    swaps = [(wrong, right) for right, wrongs in CONFUSIONS.items() for wrong in wrongs]
-    unique = names.select("name").distinct()
-    low = F.lower("name")
-    options = F.array_distinct(F.array(low, *[F.replace(low, F.lit(a), F.lit(b)) for a, b in swaps]))
-    tries = unique.select("name", F.explode(options).alias("_try"))
-    # The candidate texts repeat across names, so each is matched once.
-    matched = match_products(tries.select(F.col("_try").alias("name")), threshold=0.3).select(F.col("name").alias("_try"), "confidence")
-    scored = tries.join(matched, "_try", "left").withColumn("_c", F.coalesce("confidence", F.lit(0.0)))
-    picked = scored.groupBy("name").agg(
-        F.max(F.struct(F.col("_c"), F.length("_try").alias("_l"), F.col("_try"))).alias("_b"),
-        F.max(F.when(F.col("_try") == F.lower("name"), F.col("_c"))).alias("_own"),
-    )
-    better = F.col("_b._c") > F.col("_own")
-    return picked.select(
-        "name",
-        F.when(better, F.col("_b._try")).otherwise(F.col("name")).alias("repaired"),
-        F.when(better, F.col("_b._c")).otherwise(F.col("_own")).alias("confidence"),
-        better.alias("is_repaired"),
-    )
+    """TXT26: a name after every confusion repair that improves its dictionary match, each tried on what the ones before it left.
+
+    Repairs build on each other, so each distinct name takes them in table order
+    in an Arrow batch, where texts met before are not compared again.
+    """
+    unique = names.select("name").distinct().withColumn("_r", _repair(F.col("name")))
+    return unique.select("name", "_r.repaired", "_r.confidence", (~F.col("_r.repaired").eqNullSafe(F.col("name"))).alias("is_repaired"))
 
 
 def price_check(items: DataFrame, matches: DataFrame) -> DataFrame:
-    """TXT27: whether a price lies in the product's range, and a tenfold or mid-range suggestion if not."""
+    """TXT27: whether a price lies in the product's range, and a tenfold or mid-range suggestion if not.
+
+    A column ``size`` of ``items`` picks the range of that size; without one, or
+    for a size that the product lacks, its first range counts.
+    """
     sure = matches.filter(F.col("confidence") >= 0.7).select("name", "product")
     rows = items.join(sure, "name", "left")
-    low = lookup(F.col("product"), {k: v[0] for k, v in PRICE_RANGES.items()})
-    high = lookup(F.col("product"), {k: v[1] for k, v in PRICE_RANGES.items()})
+
+    def bound(end: int) -> Column:
+        general = lookup(F.col("product"), {k: next(iter(v.values()))[end] for k, v in PRICE_RANGES.items()})
+        if "size" not in items.columns:
+            return general
+        sized = lookup(F.concat_ws(" ", "product", "size"), {f"{k} {z}": x[end] for k, v in PRICE_RANGES.items() for z, x in v.items()})
+        return F.coalesce(sized, general)
+
+    low, high = bound(0), bound(1)
     price, middle = F.col("price"), (low + high) / 2
     valid = F.coalesce(price.between(low, high), F.lit(True))
     tenth, tenfold = price / 10, price * 10

@@ -265,31 +265,61 @@ def _day(year: Column, month: Column, day: Column) -> Column:
     return F.when(full.isNotNull() & month.isNotNull() & day.isNotNull(), F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"))
 
 
-def receipt_date(texts: DataFrame, as_of: AsOf) -> DataFrame:
-    """TXT20: the date of a receipt: numeric forms by clarity, then month names; within ten years back and a day ahead."""
-    text = clean(F.col("text"))
-    low = F.lower(text)
-
-    def numeric(pattern: str, order: tuple[int, int, int]) -> Column:
-        return _day(*[first(text, pattern, i) for i in order])
-
-    named = r"(?U)\b(\d{1,2})\s+(?:de\s+)?(\p{L}+)\s+(?:del?\s+)?(\d{2,4})\b"
-    month = None
-    word = first(low, named, 2)
-    for name, number in MONTHS.items():
-        hit = (word == name) | (word == name[:3])
-        month = F.when(hit, number) if month is None else month.when(hit, number)
-    candidates = [
-        ("numeric", 0.9, numeric(r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\b", (3, 2, 1))),
-        ("numeric", 0.9, numeric(r"\b(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\b", (1, 2, 3))),
-        ("numeric", 0.9, numeric(r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2})\b", (3, 2, 1))),
-        ("month_name", 0.85, _day(first(low, named, 3), month, first(low, named, 1))),
-        ("spaced", 0.7, numeric(r"\b(\d{1,2})\s+(\d{1,2})\s+(\d{4})\b", (3, 2, 1))),
-        ("compact", 0.5, numeric(r"\b(\d{2})(\d{2})(\d{4})\b", (3, 2, 1))),
-    ]
+# Date forms (method, confidence, pattern, groups of year, month and day; "local" is day and month in the language's order).
+DATE_FORMS = [
+    ("numeric", 0.9, r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{4})\b", "local"),
+    ("numeric", 0.9, r"\b(\d{4})[/\-.](\d{1,2})[/\-.](\d{1,2})\b", (1, 2, 3)),
+    ("numeric", 0.9, r"\b(\d{1,2})[/\-.](\d{1,2})[/\-.](\d{2})\b", "local"),
+    ("month_name", 0.85, r"(?U)\b(\d{1,2})\s+(?:de\s+)?(\p{L}+)\s+(?:del?\s+)?(\d{2,4})\b", (3, 2, 1)),
+    ("month_name", 0.85, r"(?U)\b(\p{L}+)\s+(\d{1,2}),?\s+(\d{2,4})\b", (3, 1, 2)),
+    ("month_name", 0.85, r"(?U)\b(\d{1,2})[/\-.](\p{L}+)[/\-.](\d{2,4})\b", (3, 2, 1)),
+    ("spaced", 0.7, r"\b(\d{1,2})\s+(\d{1,2})\s+(\d{4})\b", "local"),
+    ("spaced", 0.7, r"\b(\d{4})\s+(\d{1,2})\s+(\d{1,2})\b", (1, 2, 3)),
+    ("compact", 0.5, r"\b(\d{2})(\d{2})(\d{4})\b", "local"),
+    ("compact", 0.5, r"\b(\d{4})(\d{2})(\d{2})\b", (1, 2, 3)),
+]
+# First three letters of the months, and the languages that write the month before the day.
+MONTH_STARTS = {
+    "spa": "ene feb mar abr may jun jul ago sep oct nov dic",
+    "eng": "jan feb mar apr may jun jul aug sep oct nov dec",
+    "por": "jan fev mar abr mai jun jul ago set out nov dez",
+}
+MONTH_FIRST = ["eng"]
+#: Confidence of day and month in the other order, against that of the language's own.
+SWAPPED = 2 / 3
+
+
+def receipt_date(texts: DataFrame, as_of: AsOf, language: str = "spa") -> DataFrame:
+    """TXT20: the surest date of a receipt, within ten years back and a day ahead.
+
+    Every match of every form is a candidate, so an invalid one does not hide a
+    later one; of equally sure ones the form listed first wins, then the match
+    read first.  Day and month are also tried in the other order, less surely.
+    """
+    low = F.lower(clean(F.col("text")))
+    starts = F.array(*[F.lit(start) for start in MONTH_STARTS[language].split()])
+
+    def month(word: Column, how: str) -> Column:
+        return F.array_position(starts, F.substring(word, 1, 3)).cast("string") if how == "month_name" else word
+
+    def found(place: int, how: str, sure: float, pattern: str, order: tuple[int, int, int]) -> Column:
+        def record(match: Column, i: Column) -> Column:
+            year, mid, day = [first(match, pattern, g) for g in order]
+            return F.struct(F.lit(sure).alias("confidence"), F.lit(-place).alias("place"), (-i).alias("i"), _day(year, month(mid, how), day).alias("date"), F.lit(how).alias("method"))
+
+        # The text is searched once per form; the groups come from the short match.
+        return F.transform(every(low, pattern, 0), record)
+
+    options = []
+    for how, sure, pattern, order in DATE_FORMS:
+        orders = [(order, sure)]
+        if order == "local":
+            pair = [(3, 2, 1), (3, 1, 2)]
+            own, other = reversed(pair) if language in MONTH_FIRST else pair
+            orders = [(own, sure), (other, round(sure * SWAPPED, 2))]
+        options += [found(len(options) + k, how, c, pattern, o) for k, (o, c) in enumerate(orders)]
     earliest, latest = F.to_date(ts(as_of, -3650)), F.to_date(ts(as_of, 1))
-    options = [F.when(day.between(earliest, latest), F.struct(day.alias("date"), F.lit(how).alias("method"), F.lit(c).alias("confidence"))) for how, c, day in candidates]
-    best = F.coalesce(*options)
+    best = F.array_max(F.filter(F.concat(*options), lambda d: d["date"].between(earliest, latest)))
     return texts.select("receipt_id", best.alias("_b")).select(
         "receipt_id",
         F.col("_b.date").alias("date"),

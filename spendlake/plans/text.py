@@ -360,10 +360,12 @@ def dated(t):
     return t.raw("orders").select(F.col("o_orderkey").alias("receipt_id"), text.alias("text"))
 
 
-@query("txt20_receipt_dates", "", f"""SELECT o_orderkey AS receipt_id, CASE WHEN ok THEN strftime(o_orderdate, '%Y-%m-%d') END AS date,
- CASE WHEN NOT ok THEN 'no_date_found' WHEN o_orderkey % 6 < 3 THEN 'numeric' WHEN o_orderkey % 6 = 3 THEN 'month_name' ELSE 'spaced' END AS method,
- {r('CASE WHEN NOT ok THEN 0 WHEN o_orderkey % 6 < 3 THEN 0.9 WHEN o_orderkey % 6 = 3 THEN 0.85 ELSE 0.7 END')} AS confidence
- FROM (SELECT *, o_orderkey % 6 < 5 AND o_orderdate BETWEEN date '2005-06-01' - 3650 AND date '2005-06-02' AS ok FROM orders)""")
+@query("txt20_receipt_dates", "", f"""SELECT o_orderkey AS receipt_id, CASE WHEN ok THEN strftime(o_orderdate, '%Y-%m-%d') WHEN turned THEN strftime(swapped, '%Y-%m-%d') END AS date,
+ CASE WHEN NOT ok AND NOT turned THEN 'no_date_found' WHEN o_orderkey % 6 < 3 THEN 'numeric' WHEN o_orderkey % 6 = 3 THEN 'month_name' ELSE 'spaced' END AS method,
+ {r('CASE WHEN NOT ok AND NOT turned THEN 0 WHEN turned AND o_orderkey % 6 < 3 THEN 0.6 WHEN turned THEN 0.47 WHEN o_orderkey % 6 < 3 THEN 0.9 WHEN o_orderkey % 6 = 3 THEN 0.85 ELSE 0.7 END')} AS confidence
+ FROM (SELECT *, NOT ok AND o_orderkey % 6 IN (0, 2, 4) AND coalesce(swapped BETWEEN date '2005-06-01' - 3650 AND date '2005-06-02', false) AS turned
+ FROM (SELECT *, o_orderkey % 6 < 5 AND o_orderdate BETWEEN date '2005-06-01' - 3650 AND date '2005-06-02' AS ok,
+ CASE WHEN day(o_orderdate) <= 12 THEN make_date(year(o_orderdate), day(o_orderdate), month(o_orderdate)) END AS swapped FROM orders))""")
 def receipt_dates(t):
     return textfields.receipt_date(dated(t), "2005-06-01")
 
