@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -265,12 +266,24 @@ def in_training(key: Column, share: int = 80) -> Column:
 
 
 def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
-    """TXT8: the predicted category of every text."""
+    """TXT8: the predicted category of every text, the probability of each class and that of the predicted one.
+
+    Each class has a logistic model of its own; their probabilities are scaled to sum to one.
+    """
     scorer = PipelineModel(stages=model.stages[1:])
     labels = model.stages[0].labels
     scored = scorer.transform(rows)
     names = F.array(*[F.lit(x) for x in labels])
-    return scored.withColumn("predicted_category", F.get(names, F.col("prediction").cast("int")))
+    one = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
+    total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
+    shares = let(one, lambda raw: F.transform(raw, lambda x: x / total(raw)))
+    place = F.col("prediction").cast("int")
+    return scored.withColumn("_shares", shares).select(
+        *rows.columns,
+        F.get(names, place).alias("predicted_category"),
+        F.get("_shares", place).alias("confidence"),
+        F.map_from_arrays(names, "_shares").alias("probabilities"),
+    )
 
 
 def retrain(base: DataFrame, feedback: DataFrame, features: int = 5000) -> PipelineModel:

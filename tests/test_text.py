@@ -110,8 +110,7 @@ def test_matches_equal_brute_force(spark):
     brute = {}
     for name in names:
         score, key = max(((SequenceMatcher(None, name.lower(), e).ratio(), -i) for i, (_, e) in enumerate(entries)))
-        if score >= 0.6:
-            brute[name] = (entries[-key][0], round(score, 9))
+        brute[name] = (entries[-key][0], round(score, 9)) if score >= 0.6 else (None, 0.0)
     frame = spark.createDataFrame([(n,) for n in names], "name string")
     assert {r.name: (r.product, round(r.confidence, 9)) for r in catalogue.match_products(frame).collect()} == brute
     learned = spark.createDataFrame([("martillo", "Martillo Grande", "ferreteria")], "learned_name string, corrected_name string, category string")
@@ -126,9 +125,64 @@ def test_vendor_corrections(spark):
 
 
 def test_character_repair_only_improves(spark):
-    frame = spark.createDataFrame([("c0ca c0la",), ("pollo",)], "name string")
+    frame = spark.createDataFrame([("c0ca c0la",), ("c0c4 c0l4",), ("pollo",), ("",), (None,)], "name string")
     got = {r.name: (r.repaired, r.is_repaired) for r in catalogue.repair_characters(frame).collect()}
-    assert got == {"c0ca c0la": ("coca cola", True), "pollo": ("pollo", False)}
+    want = {"c0ca c0la": ("coca cola", True), "c0c4 c0l4": ("coca cola", True), "pollo": ("pollo", False), "": ("", False), None: (None, False)}
+    assert got == want
+
+
+def test_names_without_a_product_stay(spark):
+    frame = spark.createDataFrame([("zzzzqqqq",), ("pollo",)], "name string")
+    got = {r.name: (r.product, r.corrected_name, r.confidence, r.was_variation) for r in catalogue.match_products(frame).collect()}
+    assert got == {"zzzzqqqq": (None, "zzzzqqqq", 0.0, False), "pollo": ("pollo", "pollo", 1.0, False)}
+
+
+def test_price_range_by_size(spark):
+    rows = [("arroz", 5000.0, "5kg"), ("arroz", 5000.0, "1kg"), ("arroz", 1000.0, "9kg"), ("arroz", 10000.0, None), ("zzzzqqqq", 1.0, "1kg")]
+    frame = spark.createDataFrame(rows, "name string, price double, size string")
+    got = [(r.price, r["size"], r.is_valid, r.suggested_price) for r in catalogue.price_check(frame, catalogue.match_products(frame.select("name"))).collect()]
+    assert sorted(got, key=str) == sorted(
+        [(5000.0, "5kg", True, None), (5000.0, "1kg", False, 1300.0), (1000.0, "9kg", True, None), (10000.0, None, False, 1000.0), (1.0, "1kg", True, None)], key=str
+    )
+
+
+@pytest.mark.parametrize(
+    "language, text, date, method, confidence",
+    [
+        ("spa", "99/99/2024 y luego 05/03/2024", "2024-03-05", "numeric", 0.9),
+        ("eng", "05/03/2024", "2024-05-03", "numeric", 0.9),
+        ("spa", "05/13/2024", "2024-05-13", "numeric", 0.6),
+        ("spa", "15-may-2024", "2024-05-15", "month_name", 0.85),
+        ("spa", "septiembre 3, 2023", "2023-09-03", "month_name", 0.85),
+        ("eng", "Date: December 24, 2023", "2023-12-24", "month_name", 0.85),
+        ("por", "7 de fevereiro de 2024", "2024-02-07", "month_name", 0.85),
+        ("spa", "2024 02 29", "2024-02-29", "spaced", 0.7),
+        ("spa", "folio 20240131", "2024-01-31", "compact", 0.5),
+        ("spa", "31/12/1999", None, "no_date_found", 0.0),
+        ("spa", None, None, "no_date_found", 0.0),
+    ],
+)
+def test_receipt_dates(spark, language, text, date, method, confidence):
+    frame = spark.createDataFrame([(1, text)], "receipt_id long, text string")
+    got = textfields.receipt_date(frame, "2024-06-01", language).first()
+    assert (got.date and got.date.isoformat(), got.method, got.confidence) == (date, method, confidence)
+
+
+def test_classifiers_beat_the_majority_on_held_out_texts(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("lang IS NOT NULL")
+    rows = docs.select("doc_id", "text", F.col("lang").alias("category")).na.fill("", ["text"])
+    inside = categorise.in_training(F.col("doc_id"))
+    train, test = rows.filter(inside), rows.filter(~inside).cache()
+    majority = test.groupBy("category").count().agg(F.max("count")).first()[0] / test.count()
+    half = categorise.in_training(F.col("doc_id"), 40)
+    models = [categorise.train_classifier(train), categorise.retrain(train.filter(half), train.filter(~half))]
+    for model in models:
+        scored = categorise.classify(model, test).collect()
+        right = sum(r.category == r.predicted_category for r in scored) / len(scored)
+        assert right > majority + 0.3
+        for r in scored:
+            assert sum(r.probabilities.values()) == pytest.approx(1.0)
+            assert r.confidence == max(r.probabilities.values())
 
 
 def test_merged_items_follow_the_fold(spark):
