@@ -21,10 +21,10 @@ def alert_stream(t):
 
 @query("str2_daily_stream", "processing_metrics", f"""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS total_requests, count(*) FILTER (engine = 'tesseract') AS tesseract_requests,
  count(*) FILTER (paid_call) AS google_vision_requests, count(*) FILTER (cache_hit) AS cache_hits, {r('avg(confidence)')} AS average_confidence,
- {r('avg(processing_time)')} AS average_processing_time, count(*) FILTER (error) AS error_count FROM processing_metrics GROUP BY 1
+ {r('avg(processing_time)')} AS average_processing_time, count(*) FILTER (error) AS error_count, count(DISTINCT user_id) AS unique_users FROM processing_metrics GROUP BY 1
  HAVING strftime(ts, '%Y-%m-%d')::timestamp + interval 1 day <= (SELECT max(ts) - interval 1 hour FROM processing_metrics)""")
 def daily_stream(t):
-    return jobs.run_available(jobs.daily_stream(streaming(t, "events").processing_metrics)).drop("unique_users")
+    return jobs.run_available(jobs.daily_stream(streaming(t, "events").processing_metrics))
 
 
 @query("str3_approval_stream", "receipts", """SELECT receipt_id AS instance_id, receipt_id, CASE WHEN total_amount <= 50000 THEN 'basic_small' WHEN total_amount <= 500000 THEN 'basic_medium' ELSE 'basic_large' END AS applied_rule_id,
