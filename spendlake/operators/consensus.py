@@ -311,6 +311,34 @@ def corrected_totals(amount: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
+def corrected_dates(dates: DataFrame) -> DataFrame:
+    """CON6: dates in the normal form, and which of them that changed."""
+    normal = normal_date(F.col("date"))
+    return dates.withColumn("_d", normal).select(
+        *[c for c in dates.columns if c != "date"], F.col("_d").alias("date"), F.coalesce(F.col("_d") != F.col("date"), F.lit(False)).alias("is_corrected")
+    )
+
+
+def applied_corrections(items: DataFrame, totals: DataFrame, dates: DataFrame) -> DataFrame:
+    """CON6: the corrections that a receipt took, from the results of the three operators above.
+
+    One entry for each corrected line, then the total, then the date; receipts
+    without any do not appear.
+    """
+    parts = [("line_total_calculation", items), ("total_amount_reconciliation", totals), ("date_normalization", dates)]
+    counts = [
+        rows.filter("is_corrected").groupBy("receipt_id").agg(F.count(F.lit(1)).cast("int").alias("n")).withColumn("kind", F.lit(kind)).withColumn("place", F.lit(i))
+        for i, (kind, rows) in enumerate(parts)
+    ]
+    # three rows of a receipt at most
+    gathered = counts[0].unionByName(counts[1]).unionByName(counts[2]).groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("place", "kind", "n"))).alias("k"))
+    return gathered.select(
+        "receipt_id",
+        F.array_join(F.flatten(F.transform("k", lambda k: F.array_repeat(k["kind"], k["n"]))), "|").alias("corrections"),
+        F.aggregate("k", F.lit(0), lambda n, k: n + k["n"]).alias("corrections_applied"),
+    )
+
+
 def disagreements(readings: DataFrame, confidences: DataFrame) -> DataFrame:
     """CON7: where engines differ in vendor or amount (above 10 %), and which fields are below .5."""
     spread = readings.groupBy("receipt_id").agg(

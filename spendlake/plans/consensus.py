@@ -115,6 +115,28 @@ def corrected_totals(t):
     return ops.corrected_totals(amounts, lines)
 
 
+def corrected_parts(t):
+    """Lines, totals and the dates of one engine after correction."""
+    amounts = t.receipts.select("receipt_id", F.col("total_amount").cast("double").alias("amount"))
+    items = ops.corrected_items(merged_lines(t))
+    read = t.engine_results.filter(F.col("engine") == "tesseract").select("receipt_id", "date")
+    return items, ops.corrected_totals(amounts, items), ops.corrected_dates(read)
+
+
+@query("con6_corrected_dates", "engine_results", """SELECT receipt_id, engine, CASE WHEN date LIKE '____-__-__' THEN strftime(strptime(date, '%Y-%m-%d'), '%d/%m/%Y') ELSE date END AS date,
+ date LIKE '____-__-__' AS is_corrected FROM engine_results""")
+def corrected_dates(t):
+    return ops.corrected_dates(t.engine_results.select("receipt_id", "engine", "date"))
+
+
+@query("con6_applied_corrections", "receipts", """WITH l AS (SELECT l_orderkey AS k, count(*) FILTER (off) AS n, sum(CASE WHEN off THEN round_even(l_extendedprice, 2) WHEN k4 THEN l_extendedprice * 2 ELSE l_extendedprice END) AS s
+ FROM (SELECT *, l_orderkey % 4 = 0 AS k4, l_orderkey % 4 = 0 AND l_extendedprice > greatest(l_extendedprice * 0.05, 10) AS off FROM lineitem) GROUP BY 1),
+ j AS (SELECT receipt_id, coalesce(n, 0) AS n, coalesce(abs(s - total_amount::double) > greatest(total_amount::double * 0.1, 50), false) AS t FROM receipts LEFT JOIN l ON k = receipt_id)
+ SELECT receipt_id, repeat('line_total_calculation|', n) || CASE WHEN t THEN 'total_amount_reconciliation|' ELSE '' END || 'date_normalization' AS corrections, cast(n + t::int + 1 AS int) AS corrections_applied FROM j""")
+def applied_corrections(t):
+    return ops.applied_corrections(*corrected_parts(t))
+
+
 @query("con7_disagreements", "engine_results", """WITH s AS (SELECT receipt_id, count(DISTINCT vendor) AS v, max(total_amount)::double AS hi, min(total_amount)::double AS lo FROM engine_results GROUP BY 1)
  SELECT receipt_id, array_to_string(list_filter([CASE WHEN v > 1 THEN 'vendor_disagreement' END, CASE WHEN (hi - lo) / hi > 0.1 THEN 'total_amount_disagreement' END], lambda x: x IS NOT NULL), '|') AS disagreements,
  CASE WHEN receipt_id % 5 < 2 THEN 'low_vendor_confidence' ELSE '' END AS low_confidence FROM s""")
