@@ -325,13 +325,14 @@ NO_DATA = {
 }
 
 
-def no_data(users: DataFrame, receipts: DataFrame) -> DataFrame:
-    """INS10: the default record of every user without receipts."""
-    empty = users.select("user_id").join(receipts.select("user_id"), "user_id", "left_anti")
+def no_data(users: DataFrame, receipts: DataFrame, by_category: bool = False) -> DataFrame:
+    """INS10: the default record of every user without receipts, or of every user and ``category`` of ``users`` without any."""
+    keys = ["user_id", "category"] if by_category else ["user_id"]
+    empty = users.select(*keys).join(receipts.select(*keys), keys, "left_anti")
     return empty.select(
         "user_id",
         F.lit("budget_recommendation").alias("type"),
-        F.lit("general").alias("category"),
+        (F.col("category") if by_category else F.lit("general")).alias("category"),
         F.lit("low").alias("impact"),
         *[F.lit(text).alias(name) for name, text in NO_DATA.items()],
     )

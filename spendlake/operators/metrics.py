@@ -128,10 +128,10 @@ def status(critical: Column, total: Column) -> Column:
     return F.when(critical > 0, "critical").when(total > 0, "warning").otherwise("healthy")
 
 
-def alert_summary(active: DataFrame) -> DataFrame:
-    """MET5: active alerts by severity and the system status."""
+def alert_summary(active: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """MET5: active alerts by severity and the system status, in all or by ``keys``."""
     levels = ["critical", "high", "medium", "low"]
-    counts = active.agg(
+    counts = active.groupBy(*(keys or [])).agg(
         F.count(F.lit(1)).alias("total_count"), *[F.count_if(F.col("severity") == s).alias(s) for s in levels]
     )
     return counts.withColumn("system_status", status(F.col("critical"), F.col("total_count")))
@@ -165,11 +165,11 @@ def kpis(events: DataFrame, as_of: AsOf) -> DataFrame:
     )
 
 
-def health(active: DataFrame) -> DataFrame:
-    """MET7: a score of 100 less 30 per critical alert and 10 per alert."""
-    rows = alert_summary(active)
+def health(active: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """MET7: a score of 100 less 30 per critical alert and 10 per alert, in all or by ``keys``."""
+    rows = alert_summary(active, keys)
     score = F.greatest(F.lit(0), 100 - F.col("critical") * 30 - F.col("total_count") * 10)
-    return rows.select(F.col("total_count").alias("total_alerts"), F.col("critical").alias("critical_alerts"), "system_status", score.alias("score"))
+    return rows.select(*(keys or []), F.col("total_count").alias("total_alerts"), F.col("critical").alias("critical_alerts"), "system_status", score.alias("score"))
 
 
 def recommendations(events: DataFrame, as_of: AsOf) -> DataFrame:

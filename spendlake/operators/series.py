@@ -62,16 +62,18 @@ def _direction(change: Column) -> Column:
 
 
 def forecast(
-    receipts: DataFrame, as_of: AsOf, days: int = 30, keys: list[str] | None = None, minimum: int = 30
+    receipts: DataFrame, as_of: AsOf, days: int = 30, keys: list[str] | None = None, minimum: int = 30, users: DataFrame | None = None
 ) -> DataFrame:
     """WIN2, WIN3 and WIN4: statistical forecast, its trend, and the base-rate fallback.
 
     Keys with fewer than ``minimum`` receipts get the fixed daily rate of their
-    category (or the general one) instead.
+    category (or the general one) instead; so do keys of ``users`` that have none.
     """
     keys = keys or ["user_id"]
     factor = _factor(as_of)
     stats = _recent_stats(receipts, keys, minimum)
+    if users is not None:
+        stats = users.select(*keys).distinct().join(stats, keys, "left")
     enough = F.col("_n") >= minimum
     rate = F.lit(GENERAL_RATE)
     if "category" in keys:

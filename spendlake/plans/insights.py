@@ -135,7 +135,15 @@ def insight_counts(t):
 
 @query("ins10_no_data", "users receipts", """SELECT user_id, 'budget_recommendation' AS type, 'general' AS category, 'low' AS impact,
  'Sube más recibos para obtener insights personalizados' AS message, 'Registra al menos 10 gastos para comenzar a ver patrones' AS recommendation
- FROM users WHERE user_id NOT IN (SELECT user_id FROM receipts WHERE date >= timestamp '2001-01-01')""")
+ FROM users WHERE user_id NOT IN (SELECT user_id FROM receipts)""")
 def no_data(t):
-    recent = t.receipts_between(since="2001-01-01")
-    return ops.no_data(t.users, recent)
+    return ops.no_data(t.users, t.receipts)
+
+
+@query("ins10_no_category_data", "users receipts", """SELECT user_id, 'budget_recommendation' AS type, category, 'low' AS impact,
+ 'Sube más recibos para obtener insights personalizados' AS message, 'Registra al menos 10 gastos para comenzar a ver patrones' AS recommendation
+ FROM users CROSS JOIN (VALUES ('Combustible'), ('Supermercado'), ('Comida'), ('Retail')) c(category)
+ WHERE NOT EXISTS (SELECT 1 FROM receipts r WHERE r.user_id = users.user_id AND r.category = c.category)""")
+def no_category_data(t):
+    categories = F.array(*[F.lit(c) for c in ("Combustible", "Supermercado", "Comida", "Retail")])
+    return ops.no_data(t.users.withColumn("category", F.explode(categories)), t.receipts, by_category=True)

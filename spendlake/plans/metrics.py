@@ -84,16 +84,12 @@ def kpis(t):
     return ops.kpis(t.processing_metrics, AS_OF)
 
 
-def serious(t):
-    """Alerts of the slowest events, a handful as in a live system."""
-    return ops.alerts(t.processing_metrics.filter(F.col("processing_time") > 17.5))
-
-
-@query("met7_health", M, """WITH a AS (SELECT 1 FROM processing_metrics WHERE processing_time > 17.5 AND confidence < 0.7 UNION ALL
- SELECT 1 FROM processing_metrics WHERE processing_time > 17.5) SELECT count(*) AS total_alerts, 0 AS critical_alerts,
- CASE WHEN count(*) > 0 THEN 'warning' ELSE 'healthy' END AS system_status, greatest(0, 100 - count(*) * 10) AS score FROM a""")
+@query("met7_health", M, f"""WITH {ALERTS} SELECT strftime(date_trunc('hour', ev.ts), '%Y-%m-%d %H') AS hour, engine, count(*) AS total_alerts, 0 AS critical_alerts, 'warning' AS system_status,
+ greatest(0, 100 - count(*) * 10) AS score FROM ev GROUP BY 1, 2""")
 def health(t):
-    return ops.health(serious(t))
+    """Health of every engine, hour by hour."""
+    rows = ops.alerts(t.processing_metrics).withColumn("hour", F.date_format("ts", "yyyy-MM-dd HH"))
+    return ops.health(rows, ["hour", "engine"])
 
 
 @query("met8_recommendations", M, f"""WITH m AS ({usage_sql(30)}), w AS ({usage_sql(7)}) SELECT * FROM (

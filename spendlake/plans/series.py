@@ -55,9 +55,10 @@ def category_trend(t):
     return ops.forecast(rows, AS_OF, 30, ["employer_id", "category"])
 
 
-@query("win4_fallback_forecast", "receipts", forecast_sql("user_id", "src AS (SELECT * FROM receipts)"))
+@query("win4_fallback_forecast", "receipts users", forecast_sql("user_id", "src AS (SELECT * FROM receipts)") + f"""
+ UNION ALL SELECT user_id, {r('600000.0')}, {r('0.6')}, {r('2.5')}, 'stable', {r('1.0')}, 'mock' FROM users WHERE user_id NOT IN (SELECT user_id FROM receipts)""")
 def fallback_forecast(t):
-    return ops.forecast(t.receipts, AS_OF, 30)
+    return ops.forecast(t.receipts, AS_OF, 30, users=t.users)
 
 
 @query("win5_forecast_fanout", "receipts users", f"""WITH {EMP}, a AS (

@@ -7,6 +7,8 @@ from tests.conftest import SMALL
 from tests.oracle import compare, connect
 
 PLANS = callables()
+#: Every user of the smallest tables has a receipt.
+EMPTY = {"ins10_no_data"}
 
 
 @pytest.fixture(scope="module")
@@ -17,7 +19,7 @@ def con():
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_matches_sql(spark, con, name):
     problem = compare(PLANS[name](spark, SMALL), con, ORACLES[name])
-    assert problem in (None, "no rows on either side")
+    assert problem == ("no rows on either side" if name in EMPTY else None)
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
