@@ -103,7 +103,7 @@ def rewrite(rows: DataFrame, root: str, version: str) -> list[int]:
     affected = sorted(r[0] for r in moved.collect())  # shard numbers
     kept = rows.filter(F.col("shard").isin(affected)) if affected else rows.limit(0)
     # several tasks write one shard, so no task holds a whole one
-    kept.repartition("shard", F.pmod(F.col("slot"), F.lit(16)) if "slot" in rows.columns else F.rand(7)).write.partitionBy("shard").parquet(f"{root}/{version}")
+    kept.repartition("shard", F.pmod(F.col("slot"), F.lit(16)) if "slot" in rows.columns else F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.partitionBy("shard").parquet(f"{root}/{version}")
     return affected
 
 
