@@ -23,6 +23,8 @@ from spendlake.llm.common import documents, held_out
 UNDETERMINED = "und"
 #: Bits of the mask, thus languages at most.
 MAX_LANGUAGES = 64
+#: Leading bits of the id hash by which the learning sample is counted.
+RANGE_BITS = 10
 #: Folds by crc32 of the id; fold 1 of 3 is held out.
 FOLD, FOLDS = 1, 3
 
@@ -106,6 +108,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
+def _smallest(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` rows of smallest id hash of every language.
+
+    Counts by the hash's leading bits say which ranges hold them; only those rows
+    are ranked, range by range, so a language with most rows is in no single task.
+    """
+    held = rows.withColumn("_range", F.shiftright(F.xxhash64("id"), 64 - RANGE_BITS))
+    counts = held.groupBy("lang", "_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.partitionBy("lang").orderBy("_range")) - F.col("_n")
+    needed = counts.select("lang", "_range", (F.lit(n) - before).alias("_room")).filter("_room > 0")
+    near = held.join(F.broadcast(needed), ["lang", "_range"])  # languages x ranges rows at most
+    rank = F.row_number().over(Window.partitionBy("lang", "_range").orderBy(F.xxhash64("id"), "id"))
+    return near.withColumn("_rank", rank).filter("_rank <= _room").select("lang", "id")
+
+
 def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "lang") -> Model:
     """Learn from the rows of ``docs`` that have a label.
 
@@ -115,11 +132,10 @@ def fit(docs: DataFrame, settings: Settings = Settings(), id_col: str = "doc_id"
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(label_col).cast("string").alias("lang")).filter("lang IS NOT NULL")
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id"))
     languages = sorted(r[0] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    chosen = rows.select("lang", "id").withColumn("_rank", rank).filter(F.col("_rank") <= settings.per_language).select("lang", F.col("id").alias("_id")).distinct()
+    chosen = _smallest(rows.select("lang", "id"), settings.per_language).select("lang", F.col("id").alias("_id")).distinct()
     sample = rows.join(F.broadcast(chosen.withColumnRenamed("lang", "_lang")), (F.col("lang") == F.col("_lang")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
     counts = sample.select("lang", "text").mapInArrow(_count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     share = counts.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("lang")))
