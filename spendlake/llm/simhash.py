@@ -140,12 +140,6 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     )
 
 
-def near_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of each near-duplicate group, that with the smallest id."""
-    kept = near_duplicates(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(F.col("_id")), "left_semi").select(*docs.columns)
-
-
 def op8_popcount_simhash(spark: SparkSession, folder: str) -> DataFrame:
     """Near-duplicates among all documents by SimHash of four-word shingles."""
     return near_duplicates(documents(spark, folder))
