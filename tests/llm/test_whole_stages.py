@@ -80,3 +80,12 @@ def test_similar_sets_share_a_signature():
             b = c
         left, right = (nearsets.signatures(np.array(sorted(x), dtype=np.uint64)) for x in (a, b))
         assert np.isin(left, right).any()
+
+
+def test_null_and_repeated_ids_keep_one_row_of_a_group(spark):
+    rng = random.Random(6)
+    base, other, alone = words(rng, 200, 10**6), words(rng, 200, 10**6), words(rng, 200, 10**6)
+    texts = [(None, base), (None, base + " end"), (None, base + " another end"), (7, other), (7, other + " end"), (7, other + " end"), (8, other + " last"), (7, alone)]
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA).repartition(3)
+    kept = [(r["doc_id"], r["text"].split()[0]) for r in nearsets.near_stage(spark, frame, SMALL).collect()]
+    assert sorted(kept, key=str) == sorted([(None, base.split()[0]), (7, other.split()[0]), (7, alone.split()[0])], key=str)
