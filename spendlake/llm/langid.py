@@ -208,9 +208,20 @@ def identified(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
 KNOWN_SHARE = 0.1
 
 
+def _lettered(texts: pd.Series) -> pd.Series:
+    return pd.Series([any(map(str.isalpha, t or "")) for t in texts], dtype=bool)
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents with a language; texts without letters, and those hardly any of whose n-grams a language knows, go."""
-    found = identified(docs)
+    """Documents with a language; texts without letters, and those hardly any of whose n-grams a language knows, go.
+
+    Where no n-gram could be learnt (no row outside the held-out fold has a label
+    and a text with letters), only texts without letters go.
+    """
+    model = fit(docs.filter(~held_out(FOLD, FOLDS)))
+    if not model.table.any():
+        return docs.filter(F.pandas_udf(_lettered, "boolean")(F.col("text")))
+    found = predict(docs, model)
     return found.filter((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= KNOWN_SHARE)).select(*docs.columns)
 
 

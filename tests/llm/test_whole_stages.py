@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from spendlake.llm import nearsets
+from spendlake.llm.langid import language_stage
 from tests.conftest import SMALL
 from tests.llm.conftest import SCHEMA, words
 
@@ -89,3 +90,11 @@ def test_null_and_repeated_ids_keep_one_row_of_a_group(spark):
     frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts], SCHEMA).repartition(3)
     kept = [(r["doc_id"], r["text"].split()[0]) for r in nearsets.near_stage(spark, frame, SMALL).collect()]
     assert sorted(kept, key=str) == sorted([(None, base.split()[0]), (7, other.split()[0]), (7, alone.split()[0])], key=str)
+
+
+def test_language_stage_without_labels_drops_only_texts_without_letters(spark):
+    texts = ["some words", None, "", "12 -- 34", "été", "漢字"]
+    for lang in (None, "en"):
+        frame = spark.createDataFrame([(i, t if lang is None else f"{i} --", lang, "s", 1) for i, t in enumerate(texts)], SCHEMA)
+        want = [0, 4, 5] if lang is None else []
+        assert sorted(r["doc_id"] for r in language_stage(spark, frame, SMALL).collect()) == want
