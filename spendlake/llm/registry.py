@@ -6,6 +6,7 @@ from spendlake.llm.bpe import op6_bpe_batched
 from spendlake.llm.covertree import op9_covertree_embeddings
 from spendlake.llm.exact import OP3_SQL, op3_grace_exact
 from spendlake.llm.langid import op1_bloom_language
+from spendlake.llm.lexical import OP12_SQL, op12_stratified_search
 from spendlake.llm.lattice import op4_lattice_likelihood
 from spendlake.llm.mixing import op5_flow_mixing
 from spendlake.llm.sharding import op10_flow_resharding
@@ -26,6 +27,7 @@ QUERIES = {
         op8_popcount_simhash,
         op9_covertree_embeddings,
         op10_flow_resharding,
+        op12_stratified_search,
     )
 }
-ORACLES = {"op3_grace_exact": OP3_SQL}
+ORACLES = {"op3_grace_exact": OP3_SQL, "op12_stratified_search": OP12_SQL}
