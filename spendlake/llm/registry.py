@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from spendlake.llm.audit import op11_persistent_audit
 from spendlake.llm.bpe import op6_bpe_batched
 from spendlake.llm.covertree import op9_covertree_embeddings
 from spendlake.llm.exact import OP3_SQL, op3_grace_exact
@@ -27,6 +28,7 @@ QUERIES = {
         op8_popcount_simhash,
         op9_covertree_embeddings,
         op10_flow_resharding,
+        op11_persistent_audit,
         op12_stratified_search,
     )
 }
