@@ -14,6 +14,7 @@ from spendlake.llm.sharding import op10_flow_resharding
 from spendlake.llm.simhash import op8_popcount_simhash
 from spendlake.llm.suffixes import op7_refined_suffixes
 from spendlake.llm.superkmers import op2_superkmer_substrings
+from spendlake.llm.toxicity import op13_levenshtein_toxicity
 
 QUERIES = {
     f.__name__: f
@@ -30,6 +31,7 @@ QUERIES = {
         op10_flow_resharding,
         op11_persistent_audit,
         op12_stratified_search,
+        op13_levenshtein_toxicity,
     )
 }
 ORACLES = {"op3_grace_exact": OP3_SQL, "op12_stratified_search": OP12_SQL}
