@@ -31,6 +31,43 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written for one computation, dropped as soon as nothing reads them any more."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, {}
+
+    def write(self, df: DataFrame, name: str) -> DataFrame:
+        """As :func:`materialise`."""
+        out = materialise(df, name)
+        self.paths[id(out)] = (out, out.inputFiles()[:1])
+        return out
+
+    def drop(self, *frames: DataFrame) -> None:
+        """Delete the files of frames that :meth:`write` returned."""
+        for frame in frames:
+            _, files = self.paths.pop(id(frame), (None, []))
+            if files:
+                delete(self.spark, files[0].rsplit("/", 1)[0])
+
+    def clear(self) -> None:
+        self.drop(*(frame for frame, _ in list(self.paths.values())))
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
+    jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
+
+
+def free_name(columns: list[str], wish: str) -> str:
+    """``wish`` with as many underscores before it as make it none of ``columns``, whose case doesn't count."""
+    taken = {c.lower() for c in columns}
+    while wish.lower() in taken:
+        wish = f"_{wish}"
+    return wish
+
+
 def documents(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/documents.parquet")
 
@@ -76,10 +113,11 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large and small stars: every round connects a node's larger
     neighbours, then its smaller ones, to the smallest of them.  A node with
     very many neighbours is only ever aggregated and joined, never gathered,
-    and each round is written to the shared folder.  Nodes without an edge to
-    another node do not appear.
+    and each round is written to the shared folder, where the one before it goes.
+    Nodes without an edge to another node do not appear.
     """
-    current = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
+    scratch = Scratch(edges.sparkSession)
+    current = scratch.write(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "stars")
     seen = None
     while True:
         both = current.unionAll(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -88,7 +126,8 @@ def components(edges: DataFrame) -> DataFrame:
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(smallest, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         following = small.unionAll(smallest.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        current = materialise(following, "stars")
+        old, current = current, scratch.write(following, "stars")
+        scratch.drop(old)
         state = current.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
         if state == seen:
             return current.select(F.col("u").alias("node"), F.col("v").alias("root"))
