@@ -231,7 +231,7 @@ def encode(docs: DataFrame, path: str | None = None, digest: bool = False, id_co
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Digests of the token ids and of the text decoded from them, for each document."""
+    """Digests of the token ids and of the text decoded from them, for each document; nulls and repeats as in :func:`encode`, an empty table gives no rows."""
     return encode(docs, digest=True)
 
 

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import NO_ID, documents, id_back, id_key, materialise
+from spendlake.llm.common import NO_ID, documents, free_name, id_back, id_key, materialise
 
 FANOUT_BITS = 4
 HASH_BITS = 64
@@ -208,16 +208,22 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents without exact copies; the copy with the largest id stays."""
-    kept = exact_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_key"), F.col("text_sha256").alias("_digest"))
+    """Documents without exact copies; the copy with the largest id stays, null below all others.
+
+    Null counts as empty text, and of rows that share id and text one stays.
+    Further columns come back unchanged, whatever their names; an empty table
+    gives an empty one.
+    """
+    key, print_ = (free_name(docs.columns, n) for n in ("_key", "_digest"))
+    kept = exact_duplicates(docs).filter("kept").select(F.coalesce("doc_id", F.lit(NO_ID)).alias(key), F.col("text_sha256").alias(print_))
     digest = F.sha2(F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), 256)
-    named = docs.withColumn("_key", id_key("doc_id")).withColumn("_digest", digest)
+    named = docs.withColumn(key, id_key("doc_id")).withColumn(print_, digest)
     # repeated rows fall together on the keys of the join, so the texts move once
-    return named.join(kept, ["_key", "_digest"], "left_semi").dropDuplicates(["_key", "_digest"]).select(*docs.columns)
+    return named.join(kept, [key, print_], "left_semi").dropDuplicates([key, print_]).select(*docs.columns)
 
 
 def op3_grace_exact(spark: SparkSession, folder: str) -> DataFrame:
-    """Copies among all documents, dropped ones included."""
+    """Copies among all documents, dropped ones included; see :func:`exact_duplicates` for nulls and repeats.  An empty table gives no rows."""
     return exact_duplicates(documents(spark, folder))
 
 

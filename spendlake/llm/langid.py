@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import documents, held_out
+from spendlake.llm.common import documents, free_name, held_out
 
 UNDETERMINED = "und"
 #: Bits of the mask, thus languages at most.
@@ -216,16 +216,24 @@ def language_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFra
     """Documents with a language; texts without letters, and those hardly any of whose n-grams a language knows, go.
 
     Where no n-gram could be learnt (no row outside the held-out fold has a label
-    and a text with letters), only texts without letters go.
+    and a text with letters), only texts without letters go.  A null text has no
+    letters; repeated rows share their lot, further columns come back unchanged,
+    an empty table gives an empty one.
     """
     model = fit(docs.filter(~held_out(FOLD, FOLDS)))
     if not model.table.any():
         return docs.filter(F.pandas_udf(_lettered, "boolean")(F.col("text")))
-    found = predict(docs, model)
-    return found.filter((F.col("_language.lang_pred") != UNDETERMINED) & (F.col("_language.score") >= KNOWN_SHARE)).select(*docs.columns)
+    name = free_name(docs.columns, "_language")
+    found = predict(docs, model, name=name)
+    return found.filter((F.col(f"{name}.lang_pred") != UNDETERMINED) & (F.col(f"{name}.score") >= KNOWN_SHARE)).select(*docs.columns)
 
 
 def op1_bloom_language(spark: SparkSession, folder: str) -> DataFrame:
-    """Language of every document, learnt from the documents that are not held out."""
+    """Language of every document, learnt from the documents that are not held out.
+
+    A null text, or one without a letter, is ``und`` with score 0.  Repeated rows
+    have a row each, a null id counts as empty text for the fold; an empty table
+    gives no rows.
+    """
     rows = documents(spark, folder).select("doc_id", "text", "lang")
     return identified(rows).select("doc_id", held_out(FOLD, FOLDS).alias("held_out"), "_language.lang_pred", "_language.score")

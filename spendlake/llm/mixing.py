@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import documents
+from spendlake.llm.common import documents, free_name, materialise
 from spendlake.llm.flow import Network
 
 #: Words: runs of anything but ASCII white space.
@@ -106,9 +106,9 @@ def mix(rows: DataFrame, order: list, weight: Callable[[int], float] = cyclic_we
     return done.drop("_pattern", "_block", "_before", "_whole", "_rest")
 
 
-def sized(docs: DataFrame) -> DataFrame:
+def sized(docs: DataFrame, *more) -> DataFrame:
     words = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD))
-    return docs.select("doc_id", "source", words.cast("long").alias("size"))
+    return docs.select("doc_id", "source", words.cast("long").alias("size"), *more)
 
 
 def mixed(docs: DataFrame) -> DataFrame:
@@ -118,11 +118,19 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Documents as often as the mix takes them; those it does not take go."""
-    chosen = mixed(docs).filter("copies > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), "copies")
-    chosen = chosen.groupBy("_id", "_source").agg(F.max("copies").alias("copies"))
-    joined = docs.join(chosen, docs.doc_id.eqNullSafe(F.col("_id")) & docs.source.eqNullSafe(F.col("_source")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """Documents as often as the mix takes them; those it does not take go.
+
+    Rows are told apart by a number written with them, so rows that share id and
+    source are taken one by one.  A null text has size 0, a null source is a
+    source of its own.  Further columns come back unchanged, whatever their
+    names; an empty table gives an empty one.
+    """
+    number, times = (free_name(docs.columns, n) for n in ("_row", "_copies"))
+    rows = materialise(docs.withColumn(number, F.monotonically_increasing_id()), "rows")
+    sizes = sized(rows, F.col(number).alias("row")).withColumn("sources", F.array("source"))
+    chosen = mix(sizes, ["doc_id", "source", "size"]).filter("copies > 0").select(F.col("row").alias(number), F.col("copies").cast("int").alias(times))
+    joined = rows.join(chosen, number)
+    return joined.withColumn(times, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*docs.columns)
 
 
 def op5_flow_mixing(spark: SparkSession, folder: str) -> DataFrame:
