@@ -95,19 +95,31 @@ def notification_stream(receipts: DataFrame, users: DataFrame) -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
-    """Drives a stream over all input there is and returns what it appended to files."""
+def run_available(stream: DataFrame, folder: str | None = None, state_store: str | None = None) -> DataFrame:
+    """Drives a stream over all input there is and returns what it appended to files.
+
+    With the ``folder`` of an earlier run it goes on from that run's checkpoint.
+    ``state_store`` is the provider class that custom state needs.
+    """
     spark = stream.sparkSession
     folder = folder or f"{checkpoint_dir(spark)}/streams/{uuid.uuid4().hex}"
-    query = (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider, None)
+    if state_store:
+        spark.conf.set(provider, state_store)
+    try:
+        query = (
+            stream.writeStream.format("parquet")
+            .outputMode("append")
+            .option("path", f"{folder}/out")
+            .option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True)
+            .start()
+        )
+        query.awaitTermination()
+    finally:
+        if state_store:
+            spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
