@@ -6,6 +6,8 @@ whole-stage code generation.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from collections.abc import Callable
 from datetime import date, datetime, timedelta
 
@@ -125,6 +127,21 @@ def fixed_table(spark: SparkSession, columns: str, rows: list[tuple]) -> DataFra
     return F.broadcast(frame.select(*[F.col(n).cast(t).alias(n) for n, t in fields]))
 
 
+def _cut_buckets(base: DataFrame, keys: list[str], time: str, limit: int) -> DataFrame:
+    """``base`` with ``_bucket`` moved to the last second at which its bucket was cut."""
+    second = F.date_trunc("second", F.col(time))
+    cells = base.groupBy(*keys, "_bucket", second.alias("_second")).agg(F.count(F.lit(1)).alias("_n"))
+    line = Window.partitionBy(*keys, "_bucket").orderBy("_second").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = cells.withColumn("_upto", F.sum("_n").over(line))
+    cut = F.floor((F.col("_upto") - F.col("_n")) / limit) > F.floor((F.col("_upto") - F.col("_n") - F.lag("_n").over(Window.partitionBy(*keys, "_bucket").orderBy("_second"))) / limit)
+    # as many cuts as the rows fill buckets
+    cuts = upto.withColumn("_cut", cut).filter("_cut").groupBy(*[F.col(k).alias(f"_c_{k}") for k in keys], F.col("_bucket").alias("_c_bucket")).agg(F.array_sort(F.collect_list("_second")).alias("_cuts"))
+    same = [F.col(k).eqNullSafe(F.col(f"_c_{k}")) for k in keys] + [F.col("_bucket").eqNullSafe(F.col("_c_bucket"))]
+    joined = base.join(cuts, reduce(lambda a, b: a & b, same), "left")
+    last = F.array_max(F.filter("_cuts", lambda c: c <= F.col(time)))
+    return joined.withColumn("_bucket", F.coalesce(last, F.col("_bucket"))).drop("_cuts", "_c_bucket", *[f"_c_{k}" for k in keys])
+
+
 def running(
     df: DataFrame,
     keys: list[str],
@@ -132,6 +149,7 @@ def running(
     order: list[Column],
     sums: dict[str, Column] | None = None,
     grain: str = "hour",
+    rows_per_bucket: int | None = None,
 ) -> DataFrame:
     """Exact running row number and sums per key, in two levels.
 
@@ -140,9 +158,15 @@ def running(
     of the earlier buckets, which are computed on pre-aggregated rows.  Adds
     ``rn`` and one column per entry of ``sums``.  ``order`` must start with
     the ascending time column and end in a unique column.
+
+    With ``rows_per_bucket`` a bucket with more rows is cut again at the seconds
+    where its count passes a multiple of that, so a rush hour is as many tasks as
+    it has rows to fill; the cuts are exact, from counts by second.
     """
     sums = sums or {}
     base = df.withColumn("_bucket", F.date_trunc(grain, F.col(time)))
+    if rows_per_bucket:
+        base = _cut_buckets(base, keys, time, rows_per_bucket)
     for name, column in sums.items():
         base = base.withColumn(f"_v_{name}", column)
     cells = base.groupBy(*keys, "_bucket").agg(

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spendlake.functions.blocks import connected_blocks
 from spendlake.functions.core import newest, num, ratio, total
 from spendlake.functions.geo import EARTH_KM, haversine, place_key
 
@@ -84,11 +85,11 @@ def heat_grid(locations: DataFrame, keys: tuple[str, ...] = (), cell_km: float =
     return _heat(points)
 
 
-def _leaders(key: str, radius_km: float, top_lat: float):
-    """Streams points sorted by key and first visit; each goes to the first leader in reach, else becomes one.
+def _leaders(radius_km: float, top_lat: float):
+    """Streams points sorted by block and first visit; each goes to the first leader in reach, else becomes one.
 
-    Only the leaders of the key at hand are held, in a grid, so memory does not
-    grow with the points of a key.
+    Only the leaders of the block at hand are held, in a grid, so memory does not
+    grow with the points of a block.
     """
     lat_step = radius_km / 111.0
     lng_step = radius_km / (111.0 * cos(radians(top_lat)))
@@ -102,9 +103,9 @@ def _leaders(key: str, radius_km: float, top_lat: float):
         current, leaders, grid = None, [], {}
         for batch in batches:
             lats, lngs = [], []
-            for owner, lat, lng in zip(batch[key], batch["lat"], batch["lng"]):
-                if owner != current:
-                    current, leaders, grid = owner, [], {}
+            for *block, lat, lng in zip(batch["_k"], batch["block_y"], batch["block_x"], batch["lat"], batch["lng"]):
+                if block != current:
+                    current, leaders, grid = block, [], {}
                 y, x = floor(lat / lat_step), floor(lng / lng_step)
                 near = [j for dy in (-1, 0, 1) for dx in (-1, 0, 1) for j in grid.get((y + dy, x + dx), ())]
                 hit = next((j for j in sorted(near) if reach(*leaders[j], lat, lng)), None)
@@ -114,7 +115,7 @@ def _leaders(key: str, radius_km: float, top_lat: float):
                     grid.setdefault((y, x), []).append(hit)
                 lats.append(leaders[hit][0])
                 lngs.append(leaders[hit][1])
-            yield batch[[key, "value", "count"]].assign(center_lat=lats, center_lng=lngs)
+            yield batch[["_k", "value", "count"]].assign(center_lat=lats, center_lng=lngs)
 
     return assign
 
@@ -125,21 +126,29 @@ def heat_clusters(
     """GEO4, exact form: a receipt joins the first earlier cluster centre in reach, else opens one.
 
     Receipts at one coordinate always share a cluster, so the sequential part
-    sees only the distinct coordinates of a key, already summed.
+    sees only the distinct coordinates of a key, already summed.  A centre
+    reaches no further than the neighbouring cells of a grid as wide as the
+    radius, so blocks of connected occupied cells are independent, and the rule
+    runs block by block: a key with most rows is as many tasks as it has blocks.
     """
+    lat_step, lng_step = radius_km / 111.0, radius_km / (111.0 * cos(radians(top_lat)))
     points = locations.groupBy(key, "lat", "lng").agg(
         num(F.sum("total_amount")).alias("value"),
         F.count(F.lit(1)).alias("count"),
         F.min(F.struct("date", "receipt_id")).alias("_first"),
     )
-    ordered = points.repartition(key).sortWithinPartitions(key, "_first", "lat", "lng").drop("_first")
-    kind = points.schema[key].dataType.simpleString()
-    schema = f"{key} {kind}, value double, count long, center_lat double, center_lng double"
-    assigned = ordered.mapInPandas(_leaders(key, radius_km, top_lat), schema)
-    clusters = assigned.groupBy(key, "center_lat", "center_lng").agg(
+    # the key as text, which a null key has too
+    points = points.filter("lat IS NOT NULL AND lng IS NOT NULL").withColumn("_k", F.to_json(F.struct(key)))
+    points = points.withColumn("cy", F.floor(F.col("lat") / lat_step)).withColumn("cx", F.floor(F.col("lng") / lng_step))
+    placed = points.join(connected_blocks(points, "_k"), ["_k", "cy", "cx"])
+    block = ["_k", "block_y", "block_x"]
+    ordered = placed.repartition(*block).sortWithinPartitions(*block, "_first", "lat", "lng").select(*block, "lat", "lng", "value", "count")
+    assigned = ordered.mapInPandas(_leaders(radius_km, top_lat), "_k string, value double, count long, center_lat double, center_lng double")
+    clusters = assigned.groupBy("_k", "center_lat", "center_lng").agg(
         F.sum("value").alias("value"), F.sum("count").alias("count")
     )
-    return _heat(clusters)
+    named = clusters.withColumn(key, F.from_json("_k", points.select(key).schema)[key])
+    return _heat(named.select(key, "center_lat", "center_lng", "value", "count"))
 
 
 def bounds(points: DataFrame, keys: tuple[str, ...] = (), padding: bool = False) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from math import cos, radians
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from spendlake.functions.core import newest, num
@@ -205,25 +205,50 @@ def applicable_limits(transactions: DataFrame, limits: DataFrame) -> DataFrame:
     return transactions.join(active, "user_id").filter(limit_applies(F.col("category_restrictions"), F.col("category")))
 
 
+#: Grids of the nearest-places join, each half as wide as the one before.
+LEVELS = 9
+
+
 def nearby(
-    origins: DataFrame, places: DataFrame, radius_km: float = 1.0, category: str | None = None, top_lat: float = 60.0
+    origins: DataFrame, places: DataFrame, radius_km: float = 1.0, category: str | None = None, top_lat: float = 60.0, nearest: int | None = None, origin: str = "user_id"
 ) -> DataFrame:
-    """JOI12: places within ``radius_km`` of each origin.
+    """JOI12: places within ``radius_km`` of each origin, with ``nearest`` only so many of them, equally far ones by id.
 
     Both sides get a grid cell at least one radius wide; an origin looks into
     its own cell and the eight around it, then the exact distance decides.
     ``top_lat`` is the greatest absolute latitude in the data and sizes the
-    longitude cells.
+    longitude cells; at ``top_lat`` of 60 cells are up to twice as wide as high.
+
+    With ``nearest``, cells split where places are dense: an origin whose own
+    cell of a grid four times finer holds enough places has them all within one
+    finer cell width, and looks no further than that.  ``origin`` names an
+    origin; rows that share it are one.
     """
-    seekers = _around(origins, _cells(radius_km, top_lat, "lat", "lng"))
     targets = places if category is None else places.filter(F.col("category") == category)
-    cell = _cells(radius_km, top_lat, "lat", "lng")
-    targets = targets.select(
-        F.col("place_id"),
-        F.col("lat").alias("place_lat"),
-        F.col("lng").alias("place_lng"),
-        cell[0].alias("_cy"),
-        cell[1].alias("_cx"),
-    )
+    targets = targets.select("place_id", F.col("lat").alias("place_lat"), F.col("lng").alias("place_lng"))
     distance = haversine(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
-    return seekers.join(targets, ["_cy", "_cx"]).withColumn("km", distance).filter(F.col("km") <= radius_km).drop("_cy", "_cx")
+    if nearest is None:
+        cell = _cells(radius_km, top_lat, "place_lat", "place_lng")
+        targets = targets.withColumn("_cy", cell[0]).withColumn("_cx", cell[1])
+        seekers = _around(origins, _cells(radius_km, top_lat, "lat", "lng"))
+        return seekers.join(targets, ["_cy", "_cx"]).withColumn("km", distance).filter(F.col("km") <= radius_km).drop("_cy", "_cx")
+    # of places at one point only the first can be among the nearest
+    same = Window.partitionBy("place_lat", "place_lng").orderBy("place_id")
+    targets = targets.withColumn("_r", F.row_number().over(same)).filter(F.col("_r") <= nearest).drop("_r")
+
+    def celled(rows: DataFrame, lat: str, lng: str, levels: list[int]) -> DataFrame:
+        cells = [F.struct(F.lit(i).alias("_level"), *(c.alias(n) for c, n in zip(_cells(radius_km / 2**i, top_lat, lat, lng), ("_cy", "_cx")))) for i in levels]
+        return rows.withColumn("_cell", F.explode(F.array(*cells))).select(*rows.columns, "_cell.*")
+
+    grids = celled(targets, "place_lat", "place_lng", list(range(LEVELS)))
+    dense = grids.filter("_level >= 2").groupBy("_level", "_cy", "_cx").agg(F.count("*").alias("_n")).filter(F.col("_n") >= nearest)
+    rows = origins.dropDuplicates([origin])
+    # the finest grid that is enough
+    own = celled(rows.select(origin, "lat", "lng"), "lat", "lng", list(range(2, LEVELS))).join(dense, ["_level", "_cy", "_cx"])
+    chosen = own.groupBy(origin).agg((F.max("_level") - 2).alias("_level"))
+    rows = rows.join(chosen, rows[origin].eqNullSafe(chosen[origin]), "left").select(rows["*"], F.coalesce("_level", F.lit(0)).alias("_level"))
+    sizes = [_cells(radius_km / 2**i, top_lat, "lat", "lng") for i in range(LEVELS - 2)]
+    at = [F.element_at(F.array(*(size[axis] for size in sizes)), (F.col("_level") + 1).cast("int")) for axis in (0, 1)]
+    met = _around(rows, (at[0], at[1])).join(grids, ["_level", "_cy", "_cx"]).withColumn("km", distance).filter(F.col("km") <= radius_km)
+    line = Window.partitionBy(origin).orderBy("km", "place_id")
+    return met.withColumn("_r", F.row_number().over(line)).filter(F.col("_r") <= nearest).drop("_r", "_level", "_cy", "_cx")

@@ -269,8 +269,8 @@ def inflation_excess(receipts: DataFrame, key: str = "user_id", band: int = 30)
     )
 
 
-def running_quality(events: DataFrame, key: str = "engine") -> DataFrame:
-    """WIN14: running mean of confidence and time, and successes and failures so far."""
+def running_quality(events: DataFrame, key: str = "engine", rows_per_bucket: int = 1_000_000) -> DataFrame:
+    """WIN14: running mean of confidence and time, and successes and failures so far; an hour of more than ``rows_per_bucket`` rows is cut."""
     order = [F.col("ts"), F.col("event_id")]
     failed = F.when(F.col("error"), 1).otherwise(0)
     rows = running(
@@ -279,6 +279,7 @@ def running_quality(events: DataFrame, key: str = "engine") -> DataFrame:
         "ts",
         order,
         {"_conf": F.col("confidence"), "_time": F.col("processing_time"), "failed": failed},
+        rows_per_bucket=rows_per_bucket,
     )
     return rows.select(
         "event_id",

@@ -151,3 +151,15 @@ def nearby_places(t):
     places = t.locations.groupBy(place.alias("place_id")).agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
     homes = t.locations.groupBy("user_id").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
     return ops.nearby(homes, places, 1.0).select("user_id", "place_id", "km")
+
+
+@query("joi12_nearest_places", "locations", f"""WITH places AS (SELECT company_name || '@' || printf('%.3f,%.3f', lat, lng) AS place_id,
+min(lat) AS plat, min(lng) AS plng FROM locations GROUP BY 1),
+homes AS (SELECT user_id, min(lat) AS lat, min(lng) AS lng FROM locations GROUP BY 1),
+near AS (SELECT user_id, place_id, {km('lat', 'lng', 'plat', 'plng')} AS km FROM homes JOIN places ON abs(plat - lat) < 0.1 AND {km('lat', 'lng', 'plat', 'plng')} <= 5.0)
+SELECT user_id, place_id, {r('km')} AS km FROM near QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY km, place_id) <= 3""")
+def nearest_places(t):
+    place = F.concat_ws("@", "company_name", F.format_string("%.3f,%.3f", "lat", "lng"))
+    places = t.locations.groupBy(place.alias("place_id")).agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
+    homes = t.locations.groupBy("user_id").agg(F.min("lat").alias("lat"), F.min("lng").alias("lng"))
+    return ops.nearby(homes, places, 5.0, nearest=3).select("user_id", "place_id", "km")

@@ -1,12 +1,14 @@
 """Places, heat maps and trips with answers worked out by hand or by brute force."""
 
 import datetime as dt
+import random
 from math import asin, cos, radians, sin, sqrt
 
 import pytest
 from pyspark.sql import functions as F
 
 from spendlake.operators import geo, joins
+from spendlake.sources.canonical import Tables
 
 SCHEMA = "receipt_id long, user_id long, category string, date timestamp, total_amount double, lat double, lng double, address string"
 DAY = dt.datetime(2024, 5, 10, 12, 0)
@@ -52,6 +54,42 @@ def test_clusters_match_the_sequential_rule(spark):
     assert got == {(round(c["at"][0], 9), round(c["at"][1], 9)): (c["sum"], c["n"]) for c in centres}
 
 
+def test_clusters_of_all_users_match_the_sequential_rule(spark):
+    """Every user of the table, block by block, and a chain of cells longer than any jump."""
+    located = Tables(spark, "/root/testdata/sf0.01").locations
+    chain = [(i, 1, -33.0 + i * 0.004, -70.0) for i in range(150)] + [(900 + i, None, 10.0, 20.0 + 0.001 * i) for i in range(20)]
+    frame = spark.createDataFrame([(i, u, DAY + dt.timedelta(minutes=i * 37 % 151), 1.0, lat, lng) for i, u, lat, lng in chain], "receipt_id long, user_id long, date timestamp, total_amount double, lat double, lng double")
+    for rows in (located, frame):
+        centres = {}
+        for row in rows.select("user_id", "lat", "lng", "date", "receipt_id", F.col("total_amount").cast("double").alias("amount")).orderBy("date", "receipt_id").collect():
+            mine = centres.setdefault(row.user_id, [])
+            hit = next((c for c in mine if km(c[0], (row.lat, row.lng)) <= 0.5), None)
+            if hit is None:
+                hit = [(row.lat, row.lng), 0.0, 0]
+                mine.append(hit)
+            hit[1] += row.amount
+            hit[2] += 1
+        want = sorted((str(u), round(c[0][0], 9), round(c[0][1], 9), round(c[1], 2), c[2]) for u, cs in centres.items() for c in cs)
+        got = sorted((str(r.user_id), round(r.center_lat, 9), round(r.center_lng, 9), round(r.value, 2), r["count"]) for r in geo.heat_clusters(rows).collect())
+        assert got == want
+
+
+def test_nearest_places_match_brute_force(spark):
+    rng = random.Random(4)
+    spots = [(f"p{i}", -33.4 + rng.gauss(0, 0.001), -70.6 + rng.gauss(0, 0.001)) for i in range(500)]  # a dense core
+    spots += [(f"q{i}", -33.4 + rng.uniform(-0.05, 0.05), -70.6 + rng.uniform(-0.05, 0.05)) for i in range(150)]
+    spots += [(f"r{i}", -33.41, -70.61) for i in range(60)]  # many at one point
+    origins = [(i, -33.4 + rng.uniform(-0.04, 0.04), -70.6 + rng.uniform(-0.04, 0.04)) for i in range(60)] + [(100 + i, *spots[i][1:]) for i in range(30)] + [(999, 0.0, 0.0)]
+    one, two = spark.createDataFrame(origins, "user_id long, lat double, lng double"), spark.createDataFrame(spots, "place_id string, lat double, lng double")
+    for n in (1, 4, 25):
+        want = set()
+        for i, *at in origins:
+            near = sorted((km(tuple(at), p[1:]), p[0]) for p in spots)
+            want |= {(i, name, round(d, 9)) for d, name in near[:n] if d <= 2.0}
+        found = joins.nearby(one, two, 2.0, nearest=n).collect()
+        assert {(r.user_id, r.place_id, round(r.km, 9)) for r in found} == want and len(found) == len(want)
+
+
 def test_one_trip(spark):
     frame = places(
         spark,
