@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import unicodedata
 
 import pandas as pd
@@ -99,3 +101,34 @@ def contains_any(text: Column, words: list[str]) -> Column:
     for word in words:
         hit = hit | text.contains(word)
     return hit
+
+
+def _trie_pattern(words: list[str]) -> str:
+    """A pattern that matches the longest of ``words`` at a place, branching letter by letter."""
+    ends = "" in words
+    branches = []
+    for letter in dict.fromkeys(w[0] for w in words if w):
+        branches.append(re.escape(letter) + _trie_pattern([w[1:] for w in words if w and w[0] == letter]))
+    if not branches:
+        return ""
+    body = branches[0] if len(branches) == 1 and not ends else f"(?:{'|'.join(branches)})"
+    return f"{body}?" if ends else body
+
+
+def words_found(text: Column, words: list[str]) -> Column:
+    """The distinct longest words at every place of ``text`` as an array, overlapping ones included.
+
+    All other words at a place are beginnings of the one found there, see
+    :func:`beginnings`, so one pass over the text finds every word.
+    """
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie_pattern(sorted(set(words)))}))"), 1))
+
+
+def beginnings(word: str, words: list[str]) -> list[str]:
+    """The words that ``word`` begins with, itself included, in their order."""
+    return [w for w in words if word.startswith(w)]
+
+
+def literal_map(entries: dict) -> Column:
+    """A map of fixed strings to fixed values."""
+    return F.create_map(*[F.lit(x) if not isinstance(x, list) else F.array(*map(F.lit, x)) for pair in entries.items() for x in pair])

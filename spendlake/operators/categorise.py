@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.core import let
-from spendlake.functions.text import first
+from spendlake.functions.text import beginnings, first, literal_map, words_found
 
 # Document patterns and the brands and words of each category, in order of precedence.
 TAX_ID = r"\b(\d{1,2}(?:\.\d{3}){2}-[\dkK])\b"
@@ -90,28 +90,30 @@ PRODUCT_WORDS = [
 ]
 
 
-def _table(words: dict[str, list[str]]) -> Column:
-    """Fixed words as one literal array, in order."""
-    return F.array(*[F.struct(F.lit(c).alias("category"), F.lit(w).alias("word")) for c, ws in words.items() for w in ws])
+def first_place(low: Column, words: list[str]) -> Column:
+    """Place of the first of ``words`` that is in the text, null without one."""
+    places = literal_map({w: min(words.index(b) for b in beginnings(w, words)) for w in dict.fromkeys(words)})
+    return F.array_min(F.transform(words_found(low, words), lambda w: F.element_at(places, w)))
 
 
 def flags(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
-    """TXT4: tax id, document type, VAT mention and the first known brand."""
+    """TXT4: tax id, document type, VAT mention and the first known brand.
 
-    def look(low: Column) -> Column:
-        brand = F.get(F.filter(_table(CATEGORY_WORDS), lambda b: low.contains(b["word"])), F.lit(0))
-        return F.struct(brand.alias("brand"), first(low, DOCUMENT).alias("kind"), low.rlike(VAT_MENTION).alias("vat"))
-
-    # Exploding a one-element array fixes the value: nothing is pushed into or copied out of it.
-    rows = texts.select(key, first(F.col("text"), TAX_ID).alias("tax_id"), F.explode(F.transform(F.array(F.lower("text")), look)).alias("_f"))
-    kind = F.col("_f.kind")
+    Every flag is a column of its own, so that one that nobody reads is not looked for.
+    """
+    entries = [(c, w) for c, ws in CATEGORY_WORDS.items() for w in ws]
+    low, text = F.lower("text"), F.col("text")
+    # Exploding a one-element array fixes the value: it is not computed again where it is used.
+    rows = texts.select(key, "text", F.explode(F.array(first_place(low, [w for _, w in entries]))).alias("_place"))
+    kind = first(low, DOCUMENT)
+    names, words = (F.get(F.array(*[F.lit(e[i]) for e in entries]), F.col("_place")) for i in (0, 1))
     return rows.select(
         key,
-        "tax_id",
+        first(text, TAX_ID).alias("tax_id"),
         F.when(kind.contains("factura"), "factura").when(kind.isNotNull(), "boleta").alias("document_type"),
-        F.col("_f.vat").alias("vat_mentioned"),
-        F.col("_f.brand.word").alias("known_brand"),
-        F.col("_f.brand.category").alias("brand_category"),
+        low.rlike(VAT_MENTION).alias("vat_mentioned"),
+        words.alias("known_brand"),
+        names.alias("brand_category"),
     )
 
 
@@ -135,15 +137,15 @@ def votes(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
 
     entries = [(c, w, s, 1, 2) for c, ws in VOTE_BRANDS.items() for w in ws for s in spellings(w)]
     entries += [(c, w, w, 0, 1) for c, ws in VOTE_WORDS.items() for w in ws]
-    names = ["category", "word", "spelling", "brand", "score"]
-    table = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(names, e)]) for e in entries])
-    found = let(F.lower("text"), lambda low: F.filter(table, lambda e: low.contains(e["spelling"])))
     # Several spellings of one brand are one hit.
-    hit = lambda e: F.struct(e["category"].alias("category"), e["word"].alias("word"), e["brand"].alias("brand"), e["score"].alias("score"))
-    rows = texts.select(key, F.explode(F.array_distinct(F.transform(found, hit))).alias("v"))
-    return rows.groupBy(key, F.col("v.category").alias("category")).agg(
-        F.sum("v.brand").alias("brands"), F.sum("v.score").alias("score")
-    )
+    hits = list(dict.fromkeys((c, w, b, n) for c, w, _, b, n in entries))
+    words = list(dict.fromkeys(e[2] for e in entries))
+    places = {w: sorted({hits.index((c, x, b, n)) for c, x, s, b, n in entries if w.startswith(s)}) for w in words}
+    found = F.array_distinct(F.flatten(F.transform(words_found(F.lower("text"), words), lambda w: F.element_at(literal_map(places), w))))
+    rows = texts.select(key, F.explode(found).alias("_place"))
+    category, brand, score = (F.get(F.array(*[F.lit(h[i]) for h in hits]), F.col("_place")) for i in (0, 2, 3))
+    rows = rows.select(key, category.alias("category"), brand.alias("brand"), score.alias("score"))
+    return rows.groupBy(key, "category").agg(F.sum("brand").alias("brands"), F.sum("score").alias("score"))
 
 
 def _precedence(words: dict[str, list[str]]) -> Column:

@@ -1,12 +1,13 @@
 """Receipt texts, dictionaries and consensus on literal input."""
 
+import random
 import unicodedata
 from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import locale_amount, peso_price
+from spendlake.functions.text import beginnings, locale_amount, peso_price, words_found
 from spendlake.operators import catalogue, categorise, consensus, language, textfields, textitems
 
 STANDARD = """SUPERMERCADO EJEMPLO
@@ -233,3 +234,16 @@ def test_item_consensus(spark):
     schema = "receipt_id long, engine string, line int, product_name string, quantity double, unit_price double, line_total double, confidence double"
     got = sorted((r.sources, r.product_name) for r in consensus.item_consensus(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, "Leche"), (3, "PAN MOLDE")]
+
+
+def test_every_word_at_every_place_is_found(spark):
+    rng = random.Random(6)
+    words = ["gas", "gasolina", "gasolinera", "sol", "lina", "h&m", "a", "as", "casa & ideas", "asa", "metro", "tro", "i.v"]
+    texts = ["".join(rng.choice(["gas", "olin", "era", "a", "s", "h&m", " ", "metr", "o", "cas", "& ideas", "x", "i.v", "ixv"]) for _ in range(rng.randrange(12))) for _ in range(300)]
+    frame = spark.createDataFrame(list(enumerate([*texts, None])), "receipt_id long, text string")
+    got = {r.receipt_id: r.found for r in frame.select("receipt_id", words_found(F.col("text"), words).alias("found")).collect()}
+    for i, text in enumerate(texts):
+        assert {b for w in got[i] for b in beginnings(w, words)} == {w for w in words if w in text}
+    assert got[len(texts)] is None
+    places = {r.receipt_id: r.place for r in frame.select("receipt_id", categorise.first_place(F.col("text"), words).alias("place")).collect()}
+    assert [places[i] for i in range(len(texts))] == [next((n for n, w in enumerate(words) if w in t), None) for t in texts]
