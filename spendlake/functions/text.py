@@ -124,6 +124,11 @@ def words_found(text: Column, words: list[str]) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie_pattern(sorted(set(words)))}))"), 1))
 
 
+def whole_words(text: Column, words: list[str]) -> Column:
+    """Every occurrence, in order, of one of ``words`` between single spaces or the ends of ``text``."""
+    return F.regexp_extract_all(text, F.lit(f"(?<![^ ])({_trie_pattern(sorted(set(words)))})(?![^ ])"), 1)
+
+
 def beginnings(word: str, words: list[str]) -> list[str]:
     """The words that ``word`` begins with, itself included, in their order."""
     return [w for w in words if word.startswith(w)]

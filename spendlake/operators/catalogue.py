@@ -6,11 +6,12 @@ import re
 from difflib import SequenceMatcher
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.functions.core import lookup
+from spendlake.operators.similar import similar_pairs
 
 # Product key, category, names, known misreadings.
 PRODUCTS = [
@@ -70,75 +71,43 @@ CONFUSIONS = {
 }
 
 
-@F.pandas_udf(T.DoubleType())
-def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Share of matching blocks of two texts; Spark has no built-in with this definition."""
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
-
-
 def comparable(text: Column) -> Column:
     """Lower case, symbols removed, spaces collapsed."""
     return F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"(?U)[^\p{L}\p{N}_\s]", ""), r"(?U)\s+", " "))
 
 
-def _reachable(a: Column, b: Column, threshold: float) -> Column:
-    """Whether two texts can be that similar at all: matching characters cannot exceed the shorter text."""
-    one, two = F.length(a), F.length(b)
-    return F.least(one, two) * 2 >= (one + two) * threshold
-
-
-def _entries() -> Column:
+def _entries(spark: SparkSession) -> DataFrame:
+    """The dictionary: every name and known misreading, in order."""
     rows = []
     for key, category, names, misread in PRODUCTS:
         rows += [(key, category, n, n, False) for n in names]
         rows += [(key, category, m, names[0], True) for m in misread]
-    cells = [
-        F.struct(
-            F.lit(-i).alias("place"),
-            F.lit(key).alias("product"),
-            F.lit(category).alias("category"),
-            F.lit(entry).alias("entry"),
-            F.lit(name).alias("corrected_name"),
-            F.lit(misread).alias("was_variation"),
-        )
-        for i, (key, category, entry, name, misread) in enumerate(rows)
-    ]
-    return F.array(*cells)
+    kind = "place int, product string, category string, b string, corrected_name string, was_variation boolean"
+    return spark.createDataFrame([(-i, *row) for i, row in enumerate(rows)], kind)
 
 
 def match_products(names: DataFrame, threshold: float = 0.6, learned: DataFrame | None = None) -> DataFrame:
     """TXT24: the dictionary entry most like each name, at or above the threshold; no product and confidence 0 without one.
 
-    Each distinct name is compared once.  Entries that cannot reach the
-    threshold by length are dropped before the pairs go to Python in Arrow
-    batches.  ``learned`` adds pairs of ``learned_name`` and
-    ``corrected_name`` seen before; they join on the first letter and length.
+    Each distinct name is compared once, and only with entries whose letters
+    allow the threshold (:mod:`spendlake.operators.similar`).  ``learned`` adds
+    pairs of ``learned_name`` and ``corrected_name`` seen before, of any number;
+    the dictionary goes before them where both are as similar.
     """
-    unique = names.select("name").distinct().withColumn("_q", comparable(F.col("name")))
-    near = F.filter(_entries(), lambda e: _reachable(F.col("_q"), e["entry"], threshold))
-    pairs = unique.select("name", "_q", F.explode(near).alias("_e")).select("name", "_q", "_e.*")
+    entries = _entries(names.sparkSession)
     if learned is not None:
-        known = learned.select(
-            F.lower("learned_name").alias("entry"), "corrected_name", F.coalesce("category", F.lit("unknown")).alias("category")
-        )
-        cells = known.select("*", F.explode(F.array_distinct(F.split("entry", ""))).alias("_c")).filter(F.col("_c") != "")
-        asked = unique.select("name", "_q", F.explode(F.array_distinct(F.split("_q", ""))).alias("_c")).filter(F.col("_c") != "")
-        more = (
-            asked.join(cells, "_c")
-            .filter(_reachable(F.col("_q"), F.col("entry"), threshold))
-            .select("name", "_q", "entry", "corrected_name", "category")
-            .distinct()
-            .select(
-                "name", "_q", F.lit(-100_000).alias("place"), F.lit("learned").alias("product"), "category", "entry", "corrected_name",
-                F.lit(False).alias("was_variation"),
-            )
-        )
-        pairs = pairs.unionByName(more)
-    scored = pairs.withColumn("confidence", similarity(F.col("_q"), F.col("entry"))).filter(F.col("confidence") >= threshold)
-    best = scored.groupBy("name").agg(
-        F.max(F.struct("confidence", "place", "product", "corrected_name", "category", "was_variation")).alias("_m")
-    )
-    return unique.join(best, "name", "left").select(
+        entries = entries.unionByName(
+            learned.select(
+                F.lit(-100_000).alias("place"), F.lit("learned").alias("product"), F.coalesce("category", F.lit("unknown")).alias("category"),
+                F.lower("learned_name").alias("b"), "corrected_name", F.lit(False).alias("was_variation"),
+            )
+        )
+    unique = names.select("name").distinct().withColumn("_q", comparable(F.col("name")))
+    close = similar_pairs(unique.select(F.col("_q").alias("a")), entries, threshold)
+    nearest = close.groupBy("a").agg(F.max("similarity").alias("confidence"))
+    tied = close.join(nearest, "a").filter(F.col("similarity") == F.col("confidence")).select("a", "b", "confidence")
+    best = tied.join(entries, "b").groupBy("a").agg(F.max(F.struct("confidence", "place", "product", "corrected_name", "category", "was_variation")).alias("_m"))
+    return unique.join(best, unique["_q"] == best["a"], "left").select(
         "name",
         "_m.product",
         F.coalesce("_m.corrected_name", "name").alias("corrected_name"),
@@ -152,13 +121,11 @@ def correct_vendors(texts: DataFrame, over: float = 0.7) -> DataFrame:
     """TXT25: vendor names: a known misreading at .9, else the most similar spelling above .7, else unchanged at .3."""
     unique = texts.select("vendor").distinct().withColumn("_q", comparable(F.col("vendor")))
     direct = lookup(F.col("_q"), VENDOR_MISREADINGS)
-    spellings = F.array(*[F.struct(F.lit(-i).alias("place"), F.lit(v).alias("spelling")) for i, v in enumerate(VENDORS)])
     rows = unique.withColumn("_d", direct)
-    near = F.filter(spellings, lambda s: _reachable(F.col("_q"), s["spelling"], over))
-    pairs = rows.filter(F.col("_d").isNull()).select("vendor", "_q", F.explode(near).alias("_s")).select("vendor", "_q", "_s.*")
-    scored = pairs.withColumn("_r", similarity(F.col("_q"), F.col("spelling"))).filter(F.col("_r") > over)
-    best = scored.groupBy("vendor").agg(F.max(F.struct("_r", "place", "spelling")).alias("_b"))
-    joined = rows.join(best, "vendor", "left")
+    spellings = texts.sparkSession.createDataFrame([(-i, v) for i, v in enumerate(VENDORS)], "place int, b string")
+    close = similar_pairs(rows.filter(F.col("_d").isNull()).select(F.col("_q").alias("a")), spellings, over).filter(F.col("similarity") > over)
+    best = close.join(spellings, "b").groupBy(F.col("a").alias("_q")).agg(F.max(F.struct(F.col("similarity").alias("_r"), "place", F.col("b").alias("spelling"))).alias("_b"))
+    joined = rows.join(best, "_q", "left")
     return joined.select(
         "vendor",
         F.initcap(F.coalesce("_d", "_b.spelling")).alias("corrected_name"),

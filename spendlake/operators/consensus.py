@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 
 from spendlake.functions.core import notes, num, ratio
 from spendlake.functions.text import first
-from spendlake.operators.catalogue import similarity
+from spendlake.operators.similar import similarity
 
 ENGINE_ORDER = ["tesseract", "easyocr", "paddleocr"]
 

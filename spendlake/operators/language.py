@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spendlake.functions.text import whole_words
+
 # Words that speak for a language, and scripts that settle it, in order of precedence.
 LANGUAGE_WORDS = {
     "spa": [
@@ -38,40 +40,39 @@ LANGUAGE_WORDS = {
         "montag", "dienstag", "mittwoch", "donnerstag", "freitag", "samstag", "sonntag",
     ],
 }
+# Scripts in order, with the code of their language.
 SCRIPTS = [
-    ("zh", r"[一-鿿]"),
-    ("ja", r"[぀-ゟ゠-ヿ]"),
-    ("ko", r"[가-힯]"),
-    ("ar", r"[؀-ۿ]"),
-    ("ru", r"[Ѐ-ӿ]"),
-    ("th", r"[฀-๿]"),
+    ("chi_sim", r"[一-鿿]"),
+    ("jpn", r"[぀-ゟ゠-ヿ]"),
+    ("kor", r"[가-힯]"),
+    ("ara", r"[؀-ۿ]"),
+    ("rus", r"[Ѐ-ӿ]"),
+    ("tha", r"[฀-๿]"),
 ]
+ANY_SCRIPT = "[" + "".join(pattern[1:-1] for _, pattern in SCRIPTS) + "]"
 FALLBACK = "spa+eng"
 
 
 def letters_only(text: Column) -> Column:
     """Digits and symbols blanked, spaces collapsed."""
-    bare = F.regexp_replace(F.regexp_replace(text, r"\d+", " "), r"(?U)[^\p{L}\p{N}_\s]", " ")
-    return F.trim(F.regexp_replace(bare, r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(text, r"(?U)(?:[^\p{L}\p{N}_]|[0-9])+", " "))
 
 
-def _script(text: Column) -> Column:
+def _script(letters: Column) -> Column:
+    """Language code of the first script, in order, that the text has a letter of."""
     result = None
     for name, pattern in SCRIPTS:
-        hit = text.rlike(pattern)
+        hit = letters.rlike(pattern)
         result = F.when(hit, name) if result is None else result.when(hit, name)
-    return result
+    return F.when(letters.rlike(ANY_SCRIPT), result)
 
 
 def _voted(texts: DataFrame, key: str) -> DataFrame:
     """Word votes and script of every text, in one pass over it."""
-    letters = letters_only(F.col("text"))
-    split = texts.select(
-        key, F.split(F.lower(letters), " ").alias("_w"), _script(letters).alias("_script"), (F.length(F.trim("text")) >= 10).alias("_ok")
-    )
-
     known = sorted({w for words in LANGUAGE_WORDS.values() for w in words})
-    voting = split.withColumn("_w", F.filter("_w", lambda w: w.isin(known)))
+    # Exploding a one-element array fixes the value: it is not computed again where it is used.
+    rows = texts.select(key, (F.length(F.trim("text")) >= 10).alias("_ok"), F.explode(F.array(letters_only(F.col("text")))).alias("_l"))
+    voting = rows.select(key, "_ok", _script(F.col("_l")).alias("_script"), whole_words(F.lower("_l"), known).alias("_w"))
 
     def count(listed: list[str]) -> Column:
         return F.size(F.filter("_w", lambda w: w.isin(listed)))

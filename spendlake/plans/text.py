@@ -166,12 +166,17 @@ def labelled(t):
     return t.documents.select("doc_id", "text", F.col("lang").alias("category"))
 
 
+def shares(scored):
+    """The probability of each class as a column of its own."""
+    return [F.col("probabilities")[c].alias(f"probability_{c}") for c in ("de", "en", "es", "fr")]
+
+
 @query("txt8_classifier")
 def classifier(t):
     rows = labelled(t)
     model = categorise.train_classifier(rows.filter(categorise.in_training(F.col("doc_id"))))
     scored = categorise.classify(model, rows)
-    return scored.select("doc_id", "category", "predicted_category", categorise.in_training(F.col("doc_id")).alias("in_training"))
+    return scored.select("doc_id", "category", "predicted_category", "confidence", *shares(scored), categorise.in_training(F.col("doc_id")).alias("in_training"))
 
 
 @query("txt9_retrained_classifier")
@@ -180,7 +185,7 @@ def retrained_classifier(t):
     feedback = t.labels.filter(F.col("quality") == 1).select("doc_id").join(rows, "doc_id")
     base = rows.filter(categorise.in_training(F.col("doc_id"), 50))
     scored = categorise.classify(categorise.retrain(base, feedback), rows)
-    return scored.select("doc_id", "category", "predicted_category")
+    return scored.select("doc_id", "category", "predicted_category", "confidence", *shares(scored))
 
 
 @query("txt10_header", "receipt_texts", rf"""SELECT receipt_id, string_split(text, chr(10))[1] AS vendor, {r('total')} AS total_amount,
@@ -197,9 +202,10 @@ def header(t):
  string_split(text, chr(10))[1] AS store_name, substring(string_split(text, chr(10))[2], 6) AS tax_id, strftime(receipt_texts.date, '%Y-%m-%d') AS transaction_date,
  strftime(receipt_texts.date, '%H:%M:%S') AS transaction_time, lpad(receipt_id::varchar, 10, '0') AS receipt_number, substring(string_split(text, chr(10))[3], 6) AS address,
  nullif(trim(regexp_extract(text, '(?i)([A-Za-z\.]+(?:\s+[A-Za-z\.]+)*)-([A-Za-z\.]+(?:\s+[A-Za-z\.]+)*)', 1)), '') AS city,
- lpad((receipt_id % 90)::varchar, 4, '0') AS register FROM receipt_texts""")
+ lpad((receipt_id % 90)::varchar, 4, '0') AS register,
+ {r("CASE WHEN nullif(trim(regexp_extract(text, '(?i)([A-Za-z.]+(?:[ ]+[A-Za-z.]+)*)-([A-Za-z.]+)', 1)), '') IS NULL THEN (0.9 + 0.95 + 0.95 + 0.9 + 0.9 + 0.85 + 0.8) / 7 ELSE (0.9 + 0.95 + 0.95 + 0.9 + 0.9 + 0.85 + 0.8 + 0.8) / 8 END")} AS location_confidence FROM receipt_texts""")
 def transaction(t):
-    return textfields.transaction(t.receipt_texts).drop("location_confidence")
+    return textfields.transaction(t.receipt_texts)
 
 
 LINES = r"""ls AS (SELECT receipt_id, cast(pos - 1 AS int) AS pos, l AS line FROM (SELECT receipt_id, string_split(text, chr(10)) AS a FROM receipt_texts), unnest(a) WITH ORDINALITY u(l, pos)),
@@ -237,11 +243,12 @@ STACK = r"""raw AS (SELECT receipt_id, 1 AS kind, regexp_extract_all(text, '(?i)
 
 
 @query("txt13_stacked_products", "receipt_texts", rf"""WITH {STACK} SELECT receipt_id, name, cast(CASE WHEN kind = 1 THEN regexp_extract(s, '^(\d+)', 1)::int WHEN kind = 3 AND price < 100 THEN price ELSE 1 END AS bigint) AS quantity,
+ {r("CASE kind WHEN 1 THEN replace(regexp_extract(s, '(?i)^[0-9]+X([0-9]{1,3}(?:[.][0-9]{3})*)', 1), '.', '')::double WHEN 3 THEN CASE WHEN price < 100 THEN 0 ELSE price END ELSE price END")} AS unit_price,
  {r('CASE WHEN kind = 3 AND price < 100 THEN 0 ELSE price END')} AS total_price, {r('CASE kind WHEN 1 THEN 0.95 WHEN 2 THEN 0.9 ELSE CASE WHEN price < 100 THEN 0.7 ELSE 0.8 END END')} AS confidence,
  CASE WHEN kind = 2 THEN left(s, 13) END AS barcode FROM ranked WHERE rn = 1""")
 def stacked_products(t):
     rows = textitems.stacked_products(t.receipt_texts)
-    return rows.select("receipt_id", F.upper("name").alias("name"), "quantity", "total_price", "confidence", "barcode")
+    return rows.select("receipt_id", F.upper("name").alias("name"), "quantity", "unit_price", "total_price", "confidence", "barcode")
 
 
 @query("txt14_generic_items")
@@ -442,11 +449,13 @@ def language_votes(t):
     return language.word_votes(t.documents)
 
 
-@query("txt23_language", "", f"""WITH {WORDS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS rn, max(n) OVER (PARTITION BY doc_id) AS top FROM counts),
- b AS (SELECT doc_id, string_agg(lang, '+' ORDER BY rn) AS lang FROM k WHERE top >= 2 AND n >= top * 0.7 AND rn <= 2 GROUP BY 1)
- SELECT d.doc_id, b.lang AS by_words, coalesce(b.lang, 'spa+eng') AS language FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id""")
+@query("txt23_language", "", rf"""WITH {WORDS}, k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, place) AS rn, max(n) OVER (PARTITION BY doc_id) AS top FROM counts),
+ b AS (SELECT doc_id, string_agg(lang, '+' ORDER BY rn) AS lang FROM k WHERE top >= 2 AND n >= top * 0.7 AND rn <= 2 GROUP BY 1),
+ s AS (SELECT doc_id, CASE WHEN regexp_matches(text, '[\x{{4e00}}-\x{{9fff}}]') THEN 'chi_sim' WHEN regexp_matches(text, '[\x{{3040}}-\x{{30ff}}]') THEN 'jpn' WHEN regexp_matches(text, '[\x{{ac00}}-\x{{d7af}}]') THEN 'kor'
+ WHEN regexp_matches(text, '[\x{{0620}}-\x{{064a}}]') THEN 'ara' WHEN regexp_matches(text, '[\x{{0400}}-\x{{0481}}\x{{048a}}-\x{{04ff}}]') THEN 'rus' WHEN regexp_matches(text, '[\x{{0e01}}-\x{{0e30}}]') THEN 'tha' END AS script FROM documents WHERE length(trim(text)) >= 10)
+ SELECT d.doc_id, b.lang AS by_words, s.script AS by_script, coalesce(b.lang, s.script, 'spa+eng') AS language FROM documents d LEFT JOIN b ON d.doc_id = b.doc_id LEFT JOIN s ON d.doc_id = s.doc_id""")
 def detected_language(t):
-    return language.detect(t.documents).select("doc_id", "by_words", "language")
+    return language.detect(t.documents).select("doc_id", "by_words", "by_script", "language")
 
 
 @query("txt24_product_matches")

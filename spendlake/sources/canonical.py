@@ -47,11 +47,14 @@ class Tables:
         self.streaming = streaming
 
     def raw(self, name: str) -> DataFrame:
-        """One source table; the names in ``streaming`` are read as streams of files."""
+        """One source table; the names in ``streaming`` are read as streams of files.
+
+        A stream's path has to be a folder or a pattern: the pattern matches the table's own name only.
+        """
         path = f"{self.folder}/{name}.parquet"
         if name in self.streaming:
             schema = self.spark.read.parquet(path).schema
-            return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{name}.parque*")
+            return self.spark.readStream.schema(schema).parquet(f"{self.folder}/{{{name}}}.parquet")
         return self.spark.read.parquet(path)
 
     # -- receipts and what hangs on them -------------------------------------

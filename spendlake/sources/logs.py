@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -83,6 +86,41 @@ def append_log(events: DataFrame, path: str) -> None:
     log_lines(events).write.mode("append").text(path)
 
 
+def commit_log(events: DataFrame, path: str, batch: str) -> bool:
+    """SRC4 with a commit: appends ``batch`` to the log once, however often the job runs; False if it was there.
+
+    The lines go to a folder of their own for each attempt.  A batch counts once
+    the record that names its attempt lies in ``commits``, and that record is
+    created only where there is none, so of two jobs at once one wins.  What an
+    attempt that failed or lost has written is never read.
+    """
+    spark = events.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    record = jvm.Path(f"{path}/commits/{batch}.json")
+    files = record.getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(record):
+        return False
+    attempt = uuid.uuid4().hex
+    log_lines(events).write.text(f"{path}/lines/batch={batch}/attempt={attempt}")
+    try:
+        out = files.create(record, False)
+    except Py4JJavaError as error:
+        if files.exists(record):
+            return False
+        raise error
+    out.write(bytearray(json.dumps({"batch": batch, "attempt": attempt}).encode()))
+    out.close()
+    return True
+
+
+def read_commits(spark: SparkSession, path: str) -> DataFrame:
+    """The events of all committed batches, each batch once."""
+    commits = spark.read.schema("batch string, attempt string").json(f"{path}/commits")
+    # without the partition columns' own types, which would be guessed from their names
+    lines = spark.read.schema("value string, batch string, attempt string").text(f"{path}/lines")
+    return parse_lines(lines.join(commits, ["batch", "attempt"], "left_semi").select("value"))
+
+
 def export_summary(events: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
     """SRC5: usage, alert counts and health as one record; healthy means no alert at all."""
     used = metrics.usage(events, as_of, days)
@@ -91,8 +129,10 @@ def export_summary(events: DataFrame, as_of: AsOf, days: int = 30) -> DataFrame:
         F.col("critical").alias("critical_alerts"),
         F.when(F.col("total_count") == 0, "healthy").otherwise("degraded").alias("status"),
     )
-    # Two one-row aggregates side by side.
-    return used.join(counts, F.lit(True)).select(ts(as_of).alias("export_timestamp"), F.lit(days).alias("period_days"), "*")
+    # Two records of one row each, folded into one.
+    both = used.unionByName(counts, allowMissingColumns=True)
+    one = both.agg(*[F.max(c).alias(c) for c in both.columns])
+    return one.select(ts(as_of).alias("export_timestamp"), F.lit(days).alias("period_days"), "*")
 
 
 def write_summary(events: DataFrame, as_of: AsOf, path: str, days: int = 30) -> None:

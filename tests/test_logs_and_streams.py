@@ -24,6 +24,25 @@ def test_log_round_trip(spark, small, tmp_path):
     assert (one.total_requests, one.error_count, one.cache_hits) == (two.total_requests, two.error_count, two.cache_hits)
 
 
+def test_a_repeated_batch_changes_nothing(spark, small, tmp_path):
+    path = str(tmp_path / "log")
+    one, two = small.processing_metrics.filter("event_id % 2 = 0"), small.processing_metrics.filter("event_id % 2 = 1")
+    assert logs.commit_log(one, path, "2024-05-10") and not logs.commit_log(one, path, "2024-05-10")
+    # an attempt that died before its commit
+    logs.log_lines(two).write.text(f"{path}/lines/batch=0011/attempt=lost")
+    assert logs.read_commits(spark, path).count() == one.count()
+    assert logs.commit_log(two, path, "0011") and not logs.commit_log(two, path, "0011")
+    back = logs.read_commits(spark, path)
+    assert sorted(r[0] for r in back.select("event_id").collect()) == sorted(r[0] for r in small.processing_metrics.select("event_id").collect())
+
+
+def test_stream_reads_its_own_table_only(spark, small, tmp_path):
+    small.raw("events").write.parquet(f"{tmp_path}/events.parquet")
+    small.raw("events").write.parquet(f"{tmp_path}/events.parquet.bak")
+    stream = Tables(spark, str(tmp_path), ("events",))
+    assert jobs.run_available(stream.raw("events")).count() == small.raw("events").count()
+
+
 def test_reports_are_written(spark, small, tmp_path):
     logs.write_summary(small.processing_metrics, EVENTS_AS_OF, str(tmp_path / "summary"))
     assert spark.read.json(str(tmp_path / "summary")).first().status == "degraded"

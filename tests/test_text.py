@@ -247,3 +247,10 @@ def test_every_word_at_every_place_is_found(spark):
     assert got[len(texts)] is None
     places = {r.receipt_id: r.place for r in frame.select("receipt_id", categorise.first_place(F.col("text"), words).alias("place")).collect()}
     assert [places[i] for i in range(len(texts))] == [next((n for n, w in enumerate(words) if w in t), None) for t in texts]
+
+
+def test_language_by_script_has_language_codes(spark):
+    rows = ["Привет, как дела?", "こんにちは世界です日", "안녕하세요 반갑습니다", "مرحبا بكم جميعا", "สวัสดีครับทุกคน", "你好你好你好你好你好", "русский", "gracias por su compra 12", None]
+    frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: r.by_script for r in language.detect(frame).collect()}
+    assert [got[i] for i in range(len(rows))] == ["rus", "chi_sim", "kor", "ara", "tha", "chi_sim", None, None, None]
