@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from spendlake.functions.core import lookup
-from spendlake.operators.similar import similar_pairs
+from spendlake.operators.similar import most_similar
 
 # Product key, category, names, known misreadings.
 PRODUCTS = [
@@ -103,10 +103,9 @@ def match_products(names: DataFrame, threshold: float = 0.6, learned: DataFrame
             )
         )
     unique = names.select("name").distinct().withColumn("_q", comparable(F.col("name")))
-    close = similar_pairs(unique.select(F.col("_q").alias("a")), entries, threshold)
-    nearest = close.groupBy("a").agg(F.max("similarity").alias("confidence"))
-    tied = close.join(nearest, "a").filter(F.col("similarity") == F.col("confidence")).select("a", "b", "confidence")
-    best = tied.join(entries, "b").groupBy("a").agg(F.max(F.struct("confidence", "place", "product", "corrected_name", "category", "was_variation")).alias("_m"))
+    close = most_similar(unique.select(F.col("_q").alias("a")), entries, threshold)
+    found = F.struct(F.col("similarity").alias("confidence"), "place", "product", "corrected_name", "category", "was_variation")
+    best = close.join(entries, "b").groupBy("a").agg(F.max(found).alias("_m"))
     return unique.join(best, unique["_q"] == best["a"], "left").select(
         "name",
         "_m.product",
@@ -123,7 +122,7 @@ def correct_vendors(texts: DataFrame, over: float = 0.7) -> DataFrame:
     direct = lookup(F.col("_q"), VENDOR_MISREADINGS)
     rows = unique.withColumn("_d", direct)
     spellings = texts.sparkSession.createDataFrame([(-i, v) for i, v in enumerate(VENDORS)], "place int, b string")
-    close = similar_pairs(rows.filter(F.col("_d").isNull()).select(F.col("_q").alias("a")), spellings, over).filter(F.col("similarity") > over)
+    close = most_similar(rows.filter(F.col("_d").isNull()).select(F.col("_q").alias("a")), spellings, over).filter(F.col("similarity") > over)
     best = close.join(spellings, "b").groupBy(F.col("a").alias("_q")).agg(F.max(F.struct(F.col("similarity").alias("_r"), "place", F.col("b").alias("spelling"))).alias("_b"))
     joined = rows.join(best, "_q", "left")
     return joined.select(

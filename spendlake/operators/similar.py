@@ -90,3 +90,19 @@ def candidates(asked: DataFrame, entries: DataFrame, threshold: float) -> DataFr
 def similar_pairs(asked: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
     """``a, b, similarity`` of all pairs of different texts that reach the threshold."""
     return candidates(asked, entries, threshold).select("a", "b", similarity("a", "b").alias("similarity")).filter(F.col("similarity") >= threshold)
+
+
+def most_similar(asked: DataFrame, entries: DataFrame, threshold: float) -> DataFrame:
+    """``a, b, similarity`` of pairs that reach the threshold, with every pair that is the best of its ``a``.
+
+    Unmatched characters are at least the edit distance, which Spark computes by
+    itself: ``1 - distance / both lengths`` bounds the similarity.  The entry at
+    the smallest distance is compared first, and then only those whose bound
+    does not lie below its similarity.
+    """
+    room = F.length("a") + F.length("b")
+    pairs = candidates(asked, entries, threshold).withColumn("bound", 1 - F.levenshtein("a", "b") / room).filter(F.col("bound") >= threshold - 1e-9)
+    first = pairs.groupBy("a").agg(F.max_by("b", "bound").alias("first"))
+    reached = first.select("a", similarity("a", "first").alias("reached"))
+    rest = pairs.join(reached, "a").filter(F.col("bound") >= F.col("reached") - 1e-9)
+    return rest.select("a", "b", similarity("a", "b").alias("similarity")).filter(F.col("similarity") >= threshold)
