@@ -51,16 +51,21 @@ def needed(one: Column, two: Column, threshold: float) -> Column:
     return F.ceil((one + two) * (threshold / 2) - 1e-9)
 
 
-def _mask(tokens: Column, half: int) -> Column:
-    """One bit for each letter, 64 of 128; letters that share a bit only make two texts look more alike."""
+def mask(tokens: Column, half: int) -> Column:
+    """One bit for each token, 64 of 128; tokens that share a bit only make two sets look more alike."""
     bits = F.transform(tokens, lambda t: F.pmod(F.xxhash64(t), F.lit(128)).cast("int"))
     mine = F.filter(bits, lambda b: (b >= 64 * half) & (b < 64 * half + 64))
     return F.aggregate(mine, F.lit(0).cast("long"), lambda mask, b: mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), b - 64 * half)))
 
 
+def missing(one: str, two: str) -> Column:
+    """At least so many tokens of ``one`` are not in ``two``, by the columns ``mask0_`` and ``mask1_`` of both."""
+    return sum((F.bit_count(F.col(f"mask{h}_{one}").bitwiseAND(F.bitwise_not(F.col(f"mask{h}_{two}")))) for h in (0, 1)), F.lit(0))
+
+
 def _indexed(texts: DataFrame, name: str, threshold: float) -> DataFrame:
     rows = texts.select(name, letters(F.col(name)).alias("_all")).withColumn(f"n_{name}", F.size("_all")).filter(f"n_{name} > 0")
-    rows = rows.select("*", *[_mask(F.col("_all"), half).alias(f"mask{half}_{name}") for half in (0, 1)])
+    rows = rows.select("*", *[mask(F.col("_all"), half).alias(f"mask{half}_{name}") for half in (0, 1)])
     first = F.slice("_all", 1, (F.col(f"n_{name}") - _least(F.col(f"n_{name}"), threshold) + 1).cast("int"))
     return rows.select("*", F.posexplode(first).alias(f"at_{name}", "_letter")).drop("_all")
 
@@ -77,10 +82,6 @@ def candidates(asked: DataFrame, entries: DataFrame, threshold: float) -> DataFr
     left = left.withColumn("n_b", F.explode(F.sequence(shortest.cast("int"), longest.cast("int"))))
     wanted = needed(F.col("n_a"), F.col("n_b"), threshold)
 
-    def missing(one: str, two: str) -> Column:
-        """At least so many letters of ``one`` are not in ``two``."""
-        return sum((F.bit_count(F.col(f"mask{h}_{one}").bitwiseAND(F.bitwise_not(F.col(f"mask{h}_{two}")))) for h in (0, 1)), F.lit(0))
-
     met = left.join(right, ["_letter", "n_b"]).filter(F.least(F.col("n_a") - missing("a", "b"), F.col("n_b") - missing("b", "a")) >= wanted)
     # the first common letter is the first of both
     pairs = met.groupBy("a", "b").agg(F.first("n_a").alias("n_a"), F.first("n_b").alias("n_b"), F.min("at_a").alias("at_a"), F.min("at_b").alias("at_b"))

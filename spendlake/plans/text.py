@@ -484,7 +484,10 @@ def character_repairs(t):
 
 @query("txt27_price_check")
 def price_check(t):
-    return catalogue.price_check(t.noisy_names, catalogue.match_products(t.noisy_names))
+    sizes = F.array(*[F.lit(z) for z in ("350ml", "500ml", "1L", "1kg", "5kg", "kg", "unidad")])
+    size = F.element_at(sizes, (F.col("p_size") % 7 + 1).cast("int"))
+    sized = t.raw("part").select(F.col("p_partkey").alias("sku"), size.alias("size"))
+    return catalogue.price_check(t.noisy_names.join(sized, "sku"), catalogue.match_products(t.noisy_names))
 
 
 def declared_lines(t):

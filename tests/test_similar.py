@@ -5,7 +5,7 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
-from spendlake.operators import catalogue, similar
+from spendlake.operators import catalogue, sets, similar
 from spendlake.sources.canonical import Tables
 
 HUNDREDTH = "/root/testdata/sf0.01"
@@ -59,3 +59,19 @@ def test_thousands_of_learned_names(spark):
     asked = spark.createDataFrame([(q,) for q in set(cleaned.values())], "a string")
     tried = similar.candidates(asked, frame.select(F.col("learned_name").alias("b")), 0.6).count()
     assert tried < 0.5 * len(set(cleaned.values())) * len(learned)
+
+
+def test_token_sets_against_all_pairs(spark):
+    rng = random.Random(8)
+    names = sorted({" ".join(rng.choice("red blue small hot ring bolt gear steel brand12 brand13 xl".split()) for _ in range(rng.randrange(1, 9))) for _ in range(150)})
+    frame = spark.createDataFrame([(n,) for n in [*names, *names[:20], "", None]], "name string")
+    for at_least in (0.3, 0.5, 0.8, 1.0):
+        want = {}
+        for i, a in enumerate(names):
+            for b in names[i + 1 :]:
+                one, two = set(a.split()), set(b.split())
+                if len(one & two) / len(one | two) >= at_least:
+                    want[a, b] = len(one & two) / len(one | two)
+        found = sets.similar_names(frame, at_least).collect()
+        assert {(r.name_a, r.name_b): r.similarity for r in found} == want and len(found) == len(want)
+        assert sets._possible_pairs(frame, at_least).count() <= 3 * max(len(want), 1)
