@@ -14,11 +14,14 @@ may be larger than a shard.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spendlake.llm.common import documents, materialise
 from spendlake.llm.flow import Network
+from spendlake.session import checkpoint_dir
 
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
@@ -93,32 +96,64 @@ def reshard(rows: DataFrame, order: list, shards: int, blocks: int = 256, capaci
     return placed.join(table, ["shard", "old_shard", "_block"]).withColumn("slot", F.col("_offset") + F.col("_place") - 1).drop("_offset", "_place", "_block")
 
 
-def rewrite(rows: DataFrame, root: str, version: str) -> list[int]:
+def affected_shards(rows: DataFrame) -> list[int]:
+    """Shards that gain or lose a row, from ``old_shard`` and ``shard``."""
+    moved = rows.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
+    return sorted(r[0] for r in moved.collect())  # shard numbers
+
+
+def rewrite(rows: DataFrame, root: str, version: str, affected: list[int] | None = None) -> list[int]:
     """Write the files of every shard that gained or lost rows to ``root/version``; returns those shards.
 
     ``rows`` carry ``old_shard``, ``shard`` and the payload.  Files of other
-    shards stay where an earlier version wrote them.
+    shards stay where an earlier version wrote them.  ``affected`` saves looking
+    for them again.
     """
-    moved = rows.filter("shard <> old_shard").select(F.explode(F.array("shard", "old_shard")).alias("s")).distinct()
-    affected = sorted(r[0] for r in moved.collect())  # shard numbers
+    if affected is None:
+        affected = affected_shards(rows)
     kept = rows.filter(F.col("shard").isin(affected)) if affected else rows.limit(0)
     # several tasks write one shard, so no task holds a whole one
-    kept.repartition("shard", F.pmod(F.col("slot"), F.lit(16)) if "slot" in rows.columns else F.pmod(F.xxhash64(*rows.columns), F.lit(16))).write.partitionBy("shard").parquet(f"{root}/{version}")
+    dealt = kept.repartition("shard", F.pmod(F.col("slot"), F.lit(16)) if "slot" in rows.columns else F.pmod(F.xxhash64(*rows.columns), F.lit(16)))
+    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(f"{root}/{version}")
     return affected
 
 
+def resharded(docs: DataFrame, old_shards: int, shards: int) -> DataFrame:
+    """``doc_id, text, old_shard, shard, slot`` of all rows: shards that changed from their rewritten files, the others as they were.
+
+    The rows are written with a number, placed by their sizes alone, and joined
+    to their places once, on the way into the files of their shards.
+    """
+    spark = docs.sparkSession
+    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    old = F.pmod(F.crc32(key), F.lit(old_shards)).cast("int").alias("old_shard")
+    rows = materialise(docs.select("doc_id", "text", old, F.monotonically_increasing_id().alias("row")), "shards")
+    sizes = rows.select("row", "doc_id", "old_shard", size_of("text").alias("size"), crc_of("text").alias("text_crc32"))
+    placed = materialise(reshard(sizes, ["doc_id", "text_crc32", "size"], shards).select("row", "old_shard", "shard", "slot"), "places")
+    affected = affected_shards(placed)
+    root, version = f"{checkpoint_dir(spark)}/resharded", uuid.uuid4().hex
+    columns = ["doc_id", "text", "old_shard", "shard", "slot"]
+    here = rows.select("row", "doc_id", "text").join(placed, "row").select(*columns)
+    rewrite(here, root, version, affected)
+    untouched = placed.filter(~F.col("shard").isin(affected)) if affected else placed
+    back = spark.read.schema("doc_id long, text string, old_shard int, slot long, shard int").parquet(f"{root}/{version}") if affected else here.limit(0)
+    return back.select(*columns).unionByName(rows.select("row", "doc_id", "text").join(untouched, "row").select(*columns))
+
+
+def size_of(text: str):
+    return (F.coalesce(F.octet_length(text), F.lit(0)) + ROW_BYTES).cast("long")
+
+
+def crc_of(text: str):
+    return F.crc32(F.coalesce(F.col(text), F.lit("")))
+
+
 def op10_flow_resharding(spark: SparkSession, folder: str, old_shards: int = 32, shards: int = 40) -> DataFrame:
-    """All documents, first dealt to 32 shards by crc32 of the id, moved to 40 of near-equal bytes.
+    """All documents, first dealt to 32 shards by crc32 of the id, moved to 40 of near-equal bytes; from the files of the shards.
 
     A null text has size 16 and crc32 0; a null id is dealt like an empty one.
-    Repeated rows each get a slot.
+    Repeated rows each get a slot; an empty table gives no rows.
     """
-    key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
-    rows = documents(spark, folder).select(
-        "doc_id",
-        (F.coalesce(F.octet_length("text"), F.lit(0)) + ROW_BYTES).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"),
-        F.pmod(F.crc32(key), F.lit(old_shards)).cast("int").alias("old_shard"),
-    )
-    done = reshard(rows, ["doc_id", "text_crc32", "size"], shards)
-    return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+    docs = documents(spark, folder)
+    done = resharded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), old_shards, shards)
+    return done.select("doc_id", size_of("text").alias("size"), crc_of("text").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")

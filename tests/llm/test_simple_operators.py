@@ -267,3 +267,12 @@ def test_shards_odd_rows(spark, odd, empty, clashing, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/v2")
     assert affected == [0, 2] and {r[0] for r in back.select("shard").distinct().collect()} == {0, 2}
     assert back.count() == done.filter("shard in (0, 2)").count()
+
+
+def test_resharded_rows_come_back_whole(spark, odd, empty):
+    rows = [r.asDict() for r in sharding.resharded(odd.select("doc_id", "text"), 4, 3).collect()]
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((r["doc_id"], r["text"]) for r in odd.collect())
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert sharding.resharded(empty.select("doc_id", "text"), 4, 3).count() == 0
