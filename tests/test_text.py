@@ -1,6 +1,7 @@
 """Receipt texts, dictionaries and consensus on literal input."""
 
 import random
+import re
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from spendlake.functions.text import beginnings, locale_amount, peso_price, words_found
 from spendlake.operators import catalogue, categorise, consensus, language, textfields, textitems
+from spendlake.sources.canonical import Tables
 
 STANDARD = """SUPERMERCADO EJEMPLO
 RUT: 93.834.000-5
@@ -254,3 +256,42 @@ def test_language_by_script_has_language_codes(spark):
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     got = {r.doc_id: r.by_script for r in language.detect(frame).collect()}
     assert [got[i] for i in range(len(rows))] == ["rus", "chi_sim", "kor", "ara", "tha", "chi_sim", None, None, None]
+
+
+def places(text):
+    """Addresses, phones, brands, place words, confidence and method of one text, by plain loops."""
+    low = text.lower().strip(" ")
+    addresses, phones = set(), set()
+    for pattern, _ in textfields.ADDRESSES:
+        for match in re.finditer(pattern, low, re.ASCII):
+            bits = [g.strip(" ") for g in match.groups() if g and g.strip(" ")]
+            if len(bits) < 2:
+                continue
+            if re.fullmatch(r"[0-9]+", bits[1]):
+                address = f"{bits[0]} {bits[1]}" + (f", {bits[2]}" if len(bits) > 2 else "")
+            else:
+                address = " ".join(bits)
+            if re.search(r"[0-9]", address) and (re.search(r"\b(?:av|avenida|calle|pasaje|camino)\b", address) or 10 <= len(address) <= 100):
+                addresses.add(address)
+    for pattern in textfields.PHONES:
+        for match in re.finditer(pattern, low, re.ASCII):
+            phone = re.sub(r"[\s()\-]", "", match.group(0), flags=re.ASCII)
+            if phone.startswith("56") and len(phone) == 11:
+                phone = "+" + phone
+            elif re.fullmatch(r"[2-9].{8}", phone):
+                phone = "+56" + phone
+            if re.fullmatch(r"\+56[2-9][0-9]{8}", phone):
+                phones.add(phone)
+    brands, words = ([w for w in known if w in low] for known in (textfields.PLACED_BRANDS, textfields.PLACE_WORDS + textfields.COMMUNES))
+    part = lambda found, weight, full: min(len(found) / full, 1.0) * weight
+    confidence = min(1.0, part(addresses, 0.4, 2) + part(brands, 0.3, 2) + part(phones, 0.2, 2) + part(words, 0.1, 3))
+    method = "brand_and_address" if brands and addresses else "brand_matched" if brands else "address_extracted" if addresses else "phone_based" if phones else "keyword_based"
+    return sorted(addresses), sorted(phones), brands, words, round(confidence, 9), method
+
+
+def test_all_places_of_all_receipts(spark):
+    texts = Tables(spark, "/root/testdata/sf0.001").receipt_texts
+    got = {r.receipt_id: r for r in textfields.place_mentions(texts).collect()}
+    for row in texts.select("receipt_id", "text").collect():
+        r = got[row.receipt_id]
+        assert (r.addresses, r.phones, r.brands, r.place_words, round(r.confidence, 9), r.extraction_method) == places(row.text)
