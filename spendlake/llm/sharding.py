@@ -102,42 +102,43 @@ def affected_shards(rows: DataFrame) -> list[int]:
     return sorted(r[0] for r in moved.collect())  # shard numbers
 
 
-def rewrite(rows: DataFrame, root: str, version: str, affected: list[int] | None = None) -> list[int]:
+def rewrite(rows: DataFrame, root: str, version: str, affected: list[int] | None = None, dealt: bool = False) -> list[int]:
     """Write the files of every shard that gained or lost rows to ``root/version``; returns those shards.
 
     ``rows`` carry ``old_shard``, ``shard`` and the payload.  Files of other
     shards stay where an earlier version wrote them.  ``affected`` saves looking
-    for them again.
+    for them again; ``dealt`` rows already lie by blocks of few shards each and
+    are written from where they are.
     """
     if affected is None:
         affected = affected_shards(rows)
     kept = rows.filter(F.col("shard").isin(affected)) if affected else rows.limit(0)
-    # several tasks write one shard, so no task holds a whole one
-    dealt = kept.repartition("shard", F.pmod(F.col("slot"), F.lit(16)) if "slot" in rows.columns else F.pmod(F.xxhash64(*rows.columns), F.lit(16)))
-    dealt.write.option("compression", "zstd").partitionBy("shard").parquet(f"{root}/{version}")
+    if not dealt:
+        # several tasks write one shard, so no task holds a whole one
+        kept = kept.repartition("shard", F.pmod(F.col("slot"), F.lit(16)) if "slot" in rows.columns else F.pmod(F.xxhash64(*rows.columns), F.lit(16)))
+    kept.write.option("compression", "zstd").partitionBy("shard").parquet(f"{root}/{version}")
     return affected
 
 
 def resharded(docs: DataFrame, old_shards: int, shards: int) -> DataFrame:
     """``doc_id, text, old_shard, shard, slot`` of all rows: shards that changed from their rewritten files, the others as they were.
 
-    The rows are written with a number, placed by their sizes alone, and joined
-    to their places once, on the way into the files of their shards.
+    The text goes with its row into the block of the old shard, the one time that
+    it is shuffled; from there the blocks are written to the new shards.
     """
     spark = docs.sparkSession
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     old = F.pmod(F.crc32(key), F.lit(old_shards)).cast("int").alias("old_shard")
-    rows = materialise(docs.select("doc_id", "text", old, F.monotonically_increasing_id().alias("row")), "shards")
-    sizes = rows.select("row", "doc_id", "old_shard", size_of("text").alias("size"), crc_of("text").alias("text_crc32"))
-    placed = materialise(reshard(sizes, ["doc_id", "text_crc32", "size"], shards).select("row", "old_shard", "shard", "slot"), "places")
+    sizes = docs.select("doc_id", "text", old, size_of("text").alias("size"), crc_of("text").alias("text_crc32"))
+    columns = ["doc_id", "text", "old_shard", "shard", "slot"]
+    placed = reshard(sizes, ["doc_id", "text_crc32", "size"], shards).select(*columns)
     affected = affected_shards(placed)
+    if not affected:
+        return placed
     root, version = f"{checkpoint_dir(spark)}/resharded", uuid.uuid4().hex
-    columns = ["doc_id", "text", "old_shard", "shard", "slot"]
-    here = rows.select("row", "doc_id", "text").join(placed, "row").select(*columns)
-    rewrite(here, root, version, affected)
-    untouched = placed.filter(~F.col("shard").isin(affected)) if affected else placed
-    back = spark.read.schema("doc_id long, text string, old_shard int, slot long, shard int").parquet(f"{root}/{version}") if affected else here.limit(0)
-    return back.select(*columns).unionByName(rows.select("row", "doc_id", "text").join(untouched, "row").select(*columns))
+    rewrite(placed, root, version, affected, dealt=True)
+    back = spark.read.schema("doc_id long, text string, old_shard int, slot long, shard int").parquet(f"{root}/{version}")
+    return back.select(*columns).unionByName(placed.filter(~F.col("shard").isin(affected)))
 
 
 def size_of(text: str):
