@@ -5,14 +5,18 @@ a distance.  The top level of the tree are pivots with exact covering radii, fou
 by one pass over all vectors; pairs of pivots further apart than their radii and
 the threshold are dropped.  The vectors of a pivot form blocks of bounded size,
 each with a cover tree of its own: nested levels of centres with halving radii.
-Two blocks meet in one task, which walks both trees together.  It drops a pair of
-nodes by the covering radii, takes a pair whole where the radii prove that all of
-its vectors link, and compares the rest in double precision.
+Blocks are dealt to stripes, and a task takes the square of two stripes: it holds the
+blocks of one and reads those of the other one by one, so a block is sent once for
+each stripe, not for each block that it meets.  Two blocks meet by walking both
+trees together.  The walk drops a pair of nodes by the covering radii, takes a pair
+whole where the radii prove that all of its vectors link, and compares the rest in
+double precision.
 
 Equal vectors are one point with a weight, so a group of copies costs nothing.
 Where vectors are spread out evenly in many dimensions no bound can separate the
 pivots and all blocks meet: the number of block pairs then grows with the square
-of the vectors, as for any exact method.
+of the vectors, as for any exact method.  What is sent does not, up to ``STRIPES``
+times ``HELD`` blocks; beyond, a ``HELD``-th of the pairs counts.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 from math import ceil, sqrt
 
 import numpy as np
@@ -28,12 +33,15 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spendlake.llm.common import Forest, components, id_back, id_key, materialise
+from spendlake.llm.common import Forest, Scratch, components, id_back, id_key, materialise
 
 COSINE = 0.95
 #: Points of a block, and pivots at most.
 BLOCK = 4096
 PIVOTS = 1024
+#: Stripes that blocks are dealt to, more only where a stripe would have more blocks than a task holds.
+STRIPES = 8
+HELD = 64
 #: Points of a leaf, and the radius below which nodes are not divided.
 LEAF = 16
 FINEST = 2.0**-12
@@ -140,12 +148,21 @@ class Block:
     unit: np.ndarray
     tree: Tree
 
-    def pack(self) -> bytes:
-        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps(self, protocol=5))
+    @staticmethod
+    def pack(node: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> bytes:
+        """The points as they were given, in single precision if that holds them, with their tree."""
+        tree = Tree.of(units(vectors))
+        short = Tree(*(x if x.dtype.kind == "f" else x.astype(np.int32) for x in vars(tree).values()))
+        with np.errstate(over="ignore"):
+            single = vectors.astype(np.float32)
+        given = single if (single == vectors).all() else vectors
+        return zstandard.ZstdCompressor(level=1).compress(pickle.dumps((node, weight, given, short), protocol=5))
 
     @staticmethod
     def unpack(payload: bytes) -> Block:
-        return pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+        node, weight, given, short = pickle.loads(zstandard.ZstdDecompressor().decompress(payload))
+        tree = Tree(*(x if x.dtype.kind == "f" else x.astype(np.int64) for x in vars(short).values()))
+        return Block(node, weight, units(given.astype(np.float64)), tree)
 
 
 def traverse(a: Block, b: Block | None, cosine: float = COSINE) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
@@ -314,24 +331,54 @@ def _assign(pivots: dict[int, tuple[np.ndarray, np.ndarray]]):
 
 def _plant(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     """One block with its tree."""
-    unit = units(np.stack([np.frombuffer(r, dtype=np.float64) for r in table.column("raw").to_pylist()]))
-    block = Block(table.column("node").to_numpy(), table.column("weight").to_numpy().astype(np.float64), unit, Tree.of(unit))
-    return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([block.pack()], pa.binary())})
-
-
-def _meet(cosine: float):
-    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-        sides = sorted(zip(table.column("side").to_pylist(), table.column("payload").to_pylist()), key=lambda s: s[0])
-        a = Block.unpack(sides[0][1])
-        b = Block.unpack(sides[1][1]) if len(sides) > 1 else None
-        left, right, edges = traverse(a, b, cosine)
-        nodes, links = a.node, left
-        if b is not None:
-            nodes, links = np.r_[a.node, b.node], np.r_[left, right]
-        some = links > 0
-        x, y = (nodes[np.array([e[k] for e in edges], dtype=np.int64)] for k in (0, 1))
-        none = np.full(len(x), None)
-        return pa.table({"a": pa.array(np.r_[nodes[some], x], pa.int64()), "b": pa.array([None] * int(some.sum()) + y.tolist(), pa.int64()), "n": pa.array(links[some].astype(np.int64).tolist() + none.tolist(), pa.int64())})
+    vectors = np.stack([np.frombuffer(r, dtype=np.float64) for r in table.column("raw").to_pylist()])
+    payload = Block.pack(table.column("node").to_numpy(), table.column("weight").to_numpy().astype(np.float64), vectors)
+    return pa.table({"cell": pa.array([key[0].as_py()], pa.int32()), "part": pa.array([key[1].as_py()], pa.int32()), "payload": pa.array([payload], pa.binary())})
+
+
+def stripes(parts: list[int], partners: np.ndarray) -> tuple[int, list[int], list[list[int]]]:
+    """How many stripes there are, each cell's first block, and the stripes that a cell's blocks meet.
+
+    ``parts`` are the blocks of each cell, ``partners`` which cells can hold a link.
+    Block ``i`` of all ``n`` blocks is in stripe ``i * stripes // n``.
+    """
+    total = sum(parts)
+    count = min(total, max(STRIPES, ceil(total / HELD)))
+    first = [end - n for end, n in zip(accumulate(parts), parts)]
+    covers = [range(f * count // total, (f + n - 1) * count // total + 1) for f, n in zip(first, parts)]
+    meets = [sorted({s for j in np.flatnonzero(row).tolist() for s in covers[j]}) for row in partners]
+    return count, first, meets
+
+
+def _links(a: Block, b: Block | None, cosine: float) -> pa.RecordBatch:
+    left, right, edges = traverse(a, b, cosine)
+    nodes, links = a.node, left
+    if b is not None:
+        nodes, links = np.r_[a.node, b.node], np.r_[left, right]
+    some = links > 0
+    x, y = (nodes[np.array([e[k] for e in edges], dtype=np.int64)] for k in (0, 1))
+    none = np.full(len(x), None)
+    columns = [pa.array(np.r_[nodes[some], x], pa.int64()), pa.array([None] * int(some.sum()) + y.tolist(), pa.int64()), pa.array(links[some].astype(np.int64).tolist() + none.tolist(), pa.int64())]
+    return pa.RecordBatch.from_arrays(columns, names=["a", "b", "n"])
+
+
+def _squares(cosine: float, partners: np.ndarray):
+    """All pairs of blocks of each square ``(lo, hi)``; its rows come together, stripe ``lo`` first, which is held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        square, held = None, []
+        for batch in batches:
+            for row in range(batch.num_rows):
+                lo, hi, side, cell = (batch.column(i)[row].as_py() for i in range(4))
+                if (lo, hi) != square:
+                    square, held = (lo, hi), []
+                block = Block.unpack(batch.column(4)[row].as_py())
+                if side or lo == hi:
+                    yield from (_links(other, block, cosine) for place, other in held if partners[place, cell])
+                if lo == hi:
+                    yield _links(block, None, cosine)
+                if not side:
+                    held.append((cell, block))
 
     return run
 
@@ -355,29 +402,32 @@ def near_vectors(rows: DataFrame, cosine: float = COSINE, id_col: str = "vec_id"
     for i, r in enumerate(sample):
         by_size.setdefault(len(r[0]), []).append((i, r[0]))
     pivots = {size: (np.array([i for i, _ in own]), units(np.array([v for _, v in own]))) for size, own in by_size.items()}
-    assigned = materialise(points.select("node", "weight", "vector").mapInArrow(_assign(pivots), "node long, weight long, dim int, pivot int, gap double, raw binary"), "assigned")
+    scratch = Scratch(spark)
+    assigned = scratch.write(points.select("node", "weight", "vector").mapInArrow(_assign(pivots), "node long, weight long, dim int, pivot int, gap double, raw binary"), "assigned")
     # at most one row for each pivot and each length of vectors
     cells = assigned.groupBy("dim", "pivot").agg(F.max("gap"), F.count("*")).collect()
     cells = sorted((r[0], r[1], r[2], ceil(r[3] / block)) for r in cells)
     limit = sqrt(2 - 2 * cosine)
     centre = {(size, int(i)): c for size, (numbers, cs) in pivots.items() for i, c in zip(numbers, cs)}
-    plan = []
-    for i, (dim, pivot, radius, parts) in enumerate(cells):
-        partners = []
-        for j, (other_dim, other, other_radius, other_parts) in enumerate(cells):
-            if dim == other_dim and (i == j or float(distances(centre[dim, pivot][None], centre[dim, other][None])[0, 0]) <= radius + other_radius + limit + SLACK):
-                partners.append((j, other_parts))
-        plan.append((dim, pivot, i, parts, partners))
-    kind = "dim int, pivot int, cell int, parts int, partners array<struct<other: int, parts: int>>"
-    plan = F.broadcast(spark.createDataFrame(plan, kind))  # a row for each cell, as bounded as the cells
+    partners = np.zeros((len(cells), len(cells)), dtype=bool)
+    for i, (dim, pivot, radius, _) in enumerate(cells):
+        for j, (other_dim, other, other_radius, _) in enumerate(cells):
+            partners[i, j] = dim == other_dim and (i == j or float(distances(centre[dim, pivot][None], centre[dim, other][None])[0, 0]) <= radius + other_radius + limit + SLACK)
+    # rounding is no reason to meet on one side only
+    partners |= partners.T
+    total = sum(c[3] for c in cells)
+    count, first, meets = stripes([c[3] for c in cells], partners) if cells else (1, [], [])
+    plan = [(dim, pivot, i, parts, first[i], meets[i]) for i, (dim, pivot, _, parts) in enumerate(cells)]
+    plan = F.broadcast(spark.createDataFrame(plan, "dim int, pivot int, cell int, parts int, first int, meets array<int>"))  # a row for each cell, as bounded as the cells
     dealt = assigned.join(plan.select("dim", "pivot", "cell", "parts"), ["dim", "pivot"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    trees = materialise(dealt.select("cell", "part", "node", "weight", "raw").groupBy("cell", "part").applyInArrow(_plant, "cell int, part int, payload binary"), "trees")
-    sent = trees.join(plan.select("cell", "partners"), "cell").withColumn("with", F.explode("partners")).withColumn("that", F.explode(F.sequence(F.lit(0), F.col("with.parts") - 1)))
-    ahead = (F.col("cell") < F.col("with.other")) | ((F.col("cell") == F.col("with.other")) & (F.col("part") <= F.col("that")))
-    mine, theirs = F.struct("cell", "part"), F.struct(F.col("with.other").alias("cell"), F.col("that").alias("part"))
-    sent = sent.select(F.when(ahead, mine).otherwise(theirs).alias("lo"), F.when(ahead, theirs).otherwise(mine).alias("hi"), (~ahead).cast("int").alias("side"), "payload")
-    sent = sent.select(F.col("lo.cell").alias("c"), F.col("lo.part").alias("i"), F.col("hi.cell").alias("d"), F.col("hi.part").alias("j"), "side", "payload")
-    met = materialise(sent.groupBy("c", "i", "d", "j").applyInArrow(_meet(cosine), "a long, b long, n long"), "links")
+    trees = scratch.write(dealt.select("cell", "part", "node", "weight", "raw").groupBy("cell", "part").applyInArrow(_plant, "cell int, part int, payload binary"), "trees")
+    scratch.drop(assigned)
+    stripe = F.expr(f"cast((first + part) * {count}L DIV {max(total, 1)}L AS int)")
+    sent = trees.join(plan.select("cell", "first", "meets"), "cell").select("cell", "payload", stripe.alias("own"), F.explode("meets").alias("other"))
+    sent = sent.select(F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cell", "payload")
+    sent = sent.repartition(count * (count + 1), "lo", "hi").sortWithinPartitions("lo", "hi", "side")
+    met = materialise(sent.mapInArrow(_squares(cosine, partners), "a long, b long, n long"), "links")
+    scratch.clear()
     roots = components(met.filter("b IS NOT NULL").select("a", "b"))
     links = met.filter("b IS NULL").groupBy("a").agg(F.sum("n").alias("n")).select(F.col("a").alias("of"), "n")
     known = points.join(links, F.col("node") == F.col("of"), "left").drop("of")

@@ -133,6 +133,29 @@ def test_odd_vectors(spark, block):
     assert of(covertree.near_vectors(frame.limit(0))) == Counter()
 
 
+@pytest.mark.parametrize("n", [1, 5, 60, 500])
+def test_blocks_are_sent_once_for_each_stripe(n):
+    """Every pair of blocks meets in one square, and no block goes to more squares than there are stripes."""
+    rng = np.random.default_rng(n)
+    parts = rng.integers(1, 4, n).tolist()
+    near = rng.random((n, n)) < 0.3
+    for partners in (np.ones((n, n), dtype=bool), near | near.T | np.eye(n, dtype=bool)):
+        count, first, meets = covertree.stripes(parts, partners)
+        total = sum(parts)
+        assert count <= max(covertree.STRIPES, -(-total // covertree.HELD)) and max(map(len, meets)) <= count
+        own = [[b * count // total for b in range(f, f + k)] for f, k in zip(first, parts)]
+        assert np.bincount(sum(own, [])).max() <= covertree.HELD
+        for i, j in zip(*np.nonzero(partners)):
+            assert set(own[j]) <= set(meets[i]) and set(own[i]) <= set(meets[j])
+
+
+def test_blocks_keep_vectors_as_given():
+    rng = np.random.default_rng(3)
+    for vectors in (rng.normal(size=(50, 6)), rng.normal(size=(50, 6)).astype(np.float32).astype(np.float64), rng.normal(size=(50, 6)) * 1e300):
+        block = covertree.Block.unpack(covertree.Block.pack(np.arange(50), np.ones(50), vectors))
+        assert (block.unit == covertree.units(vectors)).all() and sorted(block.tree.order.tolist()) == list(range(50))
+
+
 def test_trees_nest_and_cover():
     rng = np.random.default_rng(5)
     points = covertree.units(np.r_[rng.normal(size=(300, 8)), np.repeat(rng.normal(size=(3, 8)), 60, axis=0) + rng.normal(size=(180, 8)) * 0.02])
