@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 from functools import lru_cache
+from math import nan
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spendlake.functions.core import notes, num, ratio
+from spendlake.functions.core import let, notes, num, ratio
 from spendlake.functions.text import first
 from spendlake.operators.similar import similarity
 
@@ -101,9 +102,9 @@ def vendor_consensus(readings: DataFrame) -> DataFrame:
 
 
 def _median(values: Column) -> Column:
-    ordered, n = F.array_sort(values), F.size(values)
+    n = F.size(values)
     half = F.floor((n - 1) / 2).cast("int")
-    return (F.get(ordered, half) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    return let(F.array_sort(values), lambda ordered: (F.get(ordered, half) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2)
 
 
 def resolve_amounts(cells: Column) -> Column:
@@ -112,17 +113,22 @@ def resolve_amounts(cells: Column) -> Column:
     ``cells`` are structs of ``amount`` and ``confidence``.  When every amount
     is out of range the surest one stands.
     """
-    middle = _median(F.transform(cells, lambda c: c["amount"]))
-    kept = F.filter(cells, lambda c: c["amount"].between(middle * 0.1, middle * 10))
-    weight = _sum(kept, lambda c: c["confidence"])
+    # every value that is used several times is worked out once
+    amounts = F.transform(cells, lambda c: c["amount"])
+    within = lambda middle: F.filter(cells, lambda c: c["amount"].between(middle * 0.1, middle * 10))
     surest = F.array_max(F.transform(cells, lambda c: F.struct(c["confidence"].alias("c"), c["amount"].alias("a"))))
-    amount = F.bround(_sum(kept, lambda c: c["amount"] * c["confidence"]) / weight, 2)
-    mean = weight / F.size(kept)
     lone = F.get(cells, F.lit(0))
-    return (
-        F.when(F.size(cells) == 1, F.struct(lone["amount"].alias("amount"), lone["confidence"].alias("confidence")))
-        .when(F.size(kept) == 0, F.struct(surest["a"].alias("amount"), surest["c"].alias("confidence")))
-        .otherwise(F.struct(amount.alias("amount"), mean.alias("confidence")))
+
+    def weighted(kept: Column, weight: Column) -> Column:
+        amount = F.bround(_sum(kept, lambda c: c["amount"] * c["confidence"]) / weight, 2)
+        return F.struct(amount.alias("amount"), (weight / F.size(kept)).alias("confidence"))
+
+    def several(kept: Column) -> Column:
+        best = let(surest, lambda s: F.struct(s["a"].alias("amount"), s["c"].alias("confidence")))
+        return F.when(F.size(kept) == 0, best).otherwise(let(_sum(kept, lambda c: c["confidence"]), lambda weight: weighted(kept, weight)))
+
+    return F.when(F.size(cells) == 1, F.struct(lone["amount"].alias("amount"), lone["confidence"].alias("confidence"))).otherwise(
+        let(let(_median(amounts), within), several)
     )
 
 
@@ -183,43 +189,85 @@ GROUPED = T.ArrayType(
 
 @lru_cache(maxsize=100_000)
 def _likeness(a: str, b: str) -> float:
-    """Matching share of two names; product names repeat, so a bounded cache saves most comparisons."""
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    """Matching share of two names; a name within the other matches whole, unless the matcher skips what is common in a long one."""
+    if a == b:
+        return 1.0
+    if len(b) < 200 and (a in b or b in a):
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    return SequenceMatcher(None, a, b).ratio()
 
 
-def _close(a: str, b: str, p: float, q: float) -> bool:
-    """At least .7 from .7 of the name's and .3 of the price's likeness; the cheap part goes first."""
-    if not a or not b:
-        return False
-    price = max(0.0, 1.0 - abs(p - q) / max(p, q) * 5) if p > 0 and q > 0 else 1.0
-    if price == 0.0:
-        return a == b
-    return _likeness(a, b) * 0.7 + price * 0.3 >= 0.7
+def _letters(name: str) -> dict[str, int]:
+    """The places of each letter as bits."""
+    places: dict[str, int] = {}
+    for i, letter in enumerate(name):
+        places[letter] = places.get(letter, 0) | 1 << i
+    return places
 
 
-def _groups(names: list[str], prices: list[float]) -> list[dict]:
-    names = [n.lower() for n in names]
-    group = [-1] * len(names)
-    for i in range(len(names)):
-        if group[i] < 0:
-            group[i] = i
-            for j in range(i + 1, len(names)):
-                if group[j] < 0 and _close(names[i], names[j], prices[i], prices[j]):
-                    group[j] = i
-    result = []
-    for i, g in enumerate(group):
-        ratios = [_likeness(names[i], names[j]) for j in range(len(names)) if group[j] == g]
-        result.append({"place": i, "group": g, "agreement": sum(ratios) / len(ratios)})
-    return result
+def _common(places: dict[str, int], n: int, other: str) -> int:
+    """Longest common subsequence of a name of ``n`` letters and another; matching blocks are one, so they are never longer."""
+    whole = left = (1 << n) - 1
+    for letter in other:
+        if met := left & places.get(letter, 0):
+            left = (left + met | left - met) & whole
+    return n - left.bit_count()
+
 
+def _groups(names: list[str], prices: list[float]) -> tuple[list[int], list[float]]:
+    """Group and agreement of each item; items are alike from .7 of the name's and .3 of the price's likeness.
 
-@F.pandas_udf(GROUPED)
-def grouped_items(names: pd.Series, prices: pd.Series) -> pd.Series:
+    What is cheap to know goes first: prices, lengths and common letters bound the likeness from above.
+    """
+    group = [-1] * len(names)
+    for i, (a, p) in enumerate(zip(names, prices)):
+        if group[i] >= 0:
+            continue
+        group[i], places = i, None
+        for j in range(i + 1, len(names)):
+            b, q = names[j], prices[j]
+            if group[j] >= 0 or not a or not b:
+                continue
+            price = max(0.0, 1.0 - abs(p - q) / max(p, q) * 5) if p > 0 and q > 0 else 1.0
+            if price == 0.0:
+                if a == b:
+                    group[j] = i
+                continue
+            both, short = len(a) + len(b), min(len(a), len(b))
+            if 2.0 * short / both * 0.7 + price * 0.3 < 0.7:
+                continue
+            if a != b and a not in b and b not in a:
+                places = places or _letters(a)
+                if 2.0 * _common(places, len(a), b) / both * 0.7 + price * 0.3 < 0.7:
+                    continue
+            if _likeness(a, b) * 0.7 + price * 0.3 >= 0.7:
+                group[j] = i
+    members: dict[int, list[str]] = {}
+    for name, g in zip(names, group):
+        members.setdefault(g, []).append(name)
+    agreement = []
+    for name, g in zip(names, group):
+        ratios = [_likeness(name, other) for other in members[g]]
+        agreement.append(sum(ratios) / len(ratios))
+    return group, agreement
+
+
+@F.arrow_udf(GROUPED)
+def grouped_items(names: pa.Array, prices: pa.Array) -> pa.Array:
     """Groups the few items of each receipt in reading order.
 
     Returns for each item its group and its mean similarity to the group.
     """
-    return pd.Series([_groups(list(a), list(b)) for a, b in zip(names, prices)])
+    ends, place, group, agreement = [0], [], [], []
+    for own, amounts in zip(names.to_pylist(), prices.to_pylist()):
+        found = _groups([(n or "").lower() for n in own], [nan if p is None else p for p in amounts])
+        place += range(len(own))
+        group += found[0]
+        agreement += found[1]
+        ends.append(len(place))
+    columns = [pa.array(place, pa.int32()), pa.array(group, pa.int32()), pa.array(agreement, pa.float64())]
+    cells = pa.StructArray.from_arrays(columns, names=["place", "group", "agreement"])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
 
 
 def item_consensus(items: DataFrame, keep_over: float = 0.3) -> DataFrame:
