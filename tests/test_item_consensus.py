@@ -54,3 +54,13 @@ def test_values_are_worked_out_once(spark):
     """One median, sorted once, however often the amounts are used."""
     plan = amounts(spark, []).select(consensus.resolve_amounts(F.col("c")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("array_sort(") == 1
+
+
+def test_a_line_without_a_name_keeps_its_receipt(spark):
+    rows = [(1, e, 1, n, 2.0, 10.0, 20.0, 0.6) for e, n in (("tesseract", "bread"), ("easyocr", "BREAD"), ("paddleocr", None))]
+    items = spark.createDataFrame(rows, "receipt_id long, engine string, line long, product_name string, quantity double, unit_price double, line_total double, confidence double")
+    found = consensus.item_consensus(items)
+    assert sorted((r.product_name or "", r.sources, r.confidence) for r in found.collect()) == [("", 1, 0.6), ("bread", 2, 0.6)]
+    one = spark.createDataFrame([(1, 0.5)], "receipt_id long, confidence double")
+    total = consensus.overall_confidence(one, one, one, found, items.select("receipt_id", "engine")).collect()[0]
+    assert total.items_confidence == pytest.approx(0.6) and total.consensus_confidence == pytest.approx(0.62)
