@@ -6,7 +6,9 @@ import re
 
 import unicodedata
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -124,6 +126,71 @@ def words_found(text: Column, words: list[str]) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(f"(?=({_trie_pattern(sorted(set(words)))}))"), 1))
 
 
+#: Bytes of text that are searched for words at once.
+PIECE = 4 << 20
+
+
+def _pieces(offsets: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """First and last row of runs of at most ``size`` bytes; a longer text is a run of its own."""
+    cuts, row = [], 0
+    while row < len(offsets) - 1:
+        end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
+        cuts.append((row, end))
+        row = end
+    return cuts
+
+
+def words_within(text: Column, words: list[str], numbers: list[int] | None = None, size: int = PIECE) -> Column:
+    """The distinct ``numbers`` (places by default), in order, of those ``words`` that ``text`` contains; null for a null text.
+
+    The texts of a batch are one run of bytes: a table of letter pairs rules out
+    most places at once, and only what is left is compared with the words.
+    """
+    codes, numbers = [w.encode() for w in words], numbers or list(range(len(words)))
+    known, starts = np.zeros(1 << 16, dtype=bool), {}
+    for code, number in zip(codes, numbers):
+        pairs = range(code[0], 1 << 16, 1 << 8) if len(code) == 1 else [code[0] | code[1] << 8]
+        known[list(pairs)] = True
+        for pair in pairs:
+            starts.setdefault(pair, []).append((code, number))
+
+    def piece(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and numbers of the words in the texts between ``offsets``."""
+        data = np.append(data[offsets[0] : offsets[-1]], np.uint8(0))
+        ends, cells = offsets[1:] - offsets[0], [np.zeros(0, dtype=np.int64)]
+        pair = data[:-1] | data[1:].astype(np.uint16) << np.uint16(8)
+        at = np.flatnonzero(known[pair])
+        pair = pair[at]
+        order = np.argsort(pair, kind="stable")
+        at, pair = at[order], pair[order]
+        firsts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(at) else at
+        for first_at, last_at in zip(firsts, [*firsts[1:], len(at)]):
+            own = at[first_at:last_at]
+            for code, number in starts[int(pair[first_at])]:
+                left = own[own <= len(data) - 1 - len(code)]
+                for i in range(2, len(code)):
+                    left = left[data[left + i] == code[i]]
+                row = np.searchsorted(ends, left, "right")
+                cells.append(row[left + len(code) <= ends[row]] << 16 | number)
+        cells = np.unique(np.concatenate(cells))
+        return cells >> 16, cells & 0xFFFF
+
+    def run(texts: pa.Array) -> pa.Array:
+        flat = texts.cast(pa.large_binary())
+        offsets = np.frombuffer(flat.buffers()[1], dtype=np.int64)[flat.offset : flat.offset + len(flat) + 1]
+        data = np.frombuffer(flat.buffers()[2] or b"", dtype=np.uint8)
+        counts, found = [], []
+        for begin, end in _pieces(offsets, size):
+            rows, hits = piece(data, offsets[begin : end + 1])
+            counts.append(np.bincount(rows, minlength=end - begin))
+            found.append(hits)
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts or [[]]))]).astype(np.int32)
+        hits = np.concatenate(found or [[]]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.array(hits), mask=texts.is_null())
+
+    return F.arrow_udf(run, T.ArrayType(T.IntegerType()))(text)
+
+
 def whole_words(text: Column, words: list[str]) -> Column:
     """Every occurrence, in order, of one of ``words`` between single spaces or the ends of ``text``."""
     return F.regexp_extract_all(text, F.lit(f"(?<![^ ])({_trie_pattern(sorted(set(words)))})(?![^ ])"), 1)

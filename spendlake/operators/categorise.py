@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spendlake.functions.core import let
-from spendlake.functions.text import beginnings, first, literal_map, words_found
+from spendlake.functions.text import first, words_within
 
 # Document patterns and the brands and words of each category, in order of precedence.
 TAX_ID = r"\b(\d{1,2}(?:\.\d{3}){2}-[\dkK])\b"
@@ -92,8 +92,7 @@ PRODUCT_WORDS = [
 
 def first_place(low: Column, words: list[str]) -> Column:
     """Place of the first of ``words`` that is in the text, null without one."""
-    places = literal_map({w: min(words.index(b) for b in beginnings(w, words)) for w in dict.fromkeys(words)})
-    return F.array_min(F.transform(words_found(low, words), lambda w: F.element_at(places, w)))
+    return F.array_min(words_within(low, words))
 
 
 def flags(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
@@ -105,13 +104,14 @@ def flags(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
     low, text = F.lower("text"), F.col("text")
     # Exploding a one-element array fixes the value: it is not computed again where it is used.
     rows = texts.select(key, "text", F.explode(F.array(first_place(low, [w for _, w in entries]))).alias("_place"))
-    kind = first(low, DOCUMENT)
+    # A letter or digit to begin with rules a place out sooner than a word boundary.
+    kind = F.regexp_extract(low, "(?=[bf])" + DOCUMENT, 1)
     names, words = (F.get(F.array(*[F.lit(e[i]) for e in entries]), F.col("_place")) for i in (0, 1))
     return rows.select(
         key,
-        first(text, TAX_ID).alias("tax_id"),
-        F.when(kind.contains("factura"), "factura").when(kind.isNotNull(), "boleta").alias("document_type"),
-        low.rlike(VAT_MENTION).alias("vat_mentioned"),
+        first(text, r"(?=\d)" + TAX_ID).alias("tax_id"),
+        let(kind, lambda k: F.when(k.contains("factura"), "factura").when(k != "", "boleta")).alias("document_type"),
+        low.rlike("(?=i)" + VAT_MENTION).alias("vat_mentioned"),
         words.alias("known_brand"),
         names.alias("brand_category"),
     )
@@ -139,9 +139,7 @@ def votes(texts: DataFrame, key: str = "receipt_id") -> DataFrame:
     entries += [(c, w, w, 0, 1) for c, ws in VOTE_WORDS.items() for w in ws]
     # Several spellings of one brand are one hit.
     hits = list(dict.fromkeys((c, w, b, n) for c, w, _, b, n in entries))
-    words = list(dict.fromkeys(e[2] for e in entries))
-    places = {w: sorted({hits.index((c, x, b, n)) for c, x, s, b, n in entries if w.startswith(s)}) for w in words}
-    found = F.array_distinct(F.flatten(F.transform(words_found(F.lower("text"), words), lambda w: F.element_at(literal_map(places), w))))
+    found = words_within(F.lower("text"), [e[2] for e in entries], [hits.index((c, w, b, n)) for c, w, _, b, n in entries])
     rows = texts.select(key, F.explode(found).alias("_place"))
     category, brand, score = (F.get(F.array(*[F.lit(h[i]) for h in hits]), F.col("_place")) for i in (0, 2, 3))
     rows = rows.select(key, category.alias("category"), brand.alias("brand"), score.alias("score"))

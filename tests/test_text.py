@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
-from spendlake.functions.text import beginnings, locale_amount, peso_price, words_found
+from spendlake.functions.text import beginnings, locale_amount, peso_price, words_found, words_within
 from spendlake.operators import catalogue, categorise, consensus, language, textfields, textitems
 from spendlake.sources.canonical import Tables
 
@@ -251,6 +251,29 @@ def test_every_word_at_every_place_is_found(spark):
     assert [places[i] for i in range(len(texts))] == [next((n for n, w in enumerate(words) if w in t), None) for t in texts]
 
 
+def test_words_within_texts_of_any_batch(spark):
+    words = ["gas", "gasolina", "ñu", "a", "as", "h&m", "gas", "bip", "z"]
+    numbers = [5, 3, 1, 0, 7, 3, 9, 2, 5]
+    rng = random.Random(8)
+    texts = ["".join(rng.choice(["gas", "olina", "ñ", "u", "a", "h&", "m", " ", "bi", "p", "z", "é"]) for _ in range(rng.randrange(14))) for _ in range(400)]
+    texts += [None, "", "gas" * 100, None, "b", "ip"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "receipt_id long, text string").repartition(3)
+    text = F.col("text")
+    got = {r.receipt_id: (r.p, r.n) for r in frame.select("receipt_id", words_within(text, words).alias("p"), words_within(text, words, numbers, 40).alias("n")).collect()}
+    for i, t in enumerate(texts):
+        places = None if t is None else [k for k, w in enumerate(words) if w in t]
+        assert got[i] == (places, None if t is None else sorted({numbers[k] for k in places}))
+
+
+def test_brands_are_looked_for_without_a_pattern(spark, capsys):
+    """A pattern tries every first letter at every place; all texts of a batch are searched together instead."""
+    rows = spark.createDataFrame([(1, "LIDER gas"), (2, None), (3, "nada")], "receipt_id long, text string")
+    for frame in (categorise.flags(rows), categorise.votes(rows)):
+        frame.explain()
+        assert "ArrowEvalPython" in capsys.readouterr().out
+    assert [(r.receipt_id, r.known_brand) for r in categorise.flags(rows).sort("receipt_id").collect()] == [(1, "lider"), (2, None), (3, None)]
+
+
 def test_language_by_script_has_language_codes(spark):
     rows = ["Привет, как дела?", "こんにちは世界です日", "안녕하세요 반갑습니다", "مرحبا بكم جميعا", "สวัสดีครับทุกคน", "你好你好你好你好你好", "русский", "gracias por su compra 12", None]
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
