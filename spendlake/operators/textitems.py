@@ -18,6 +18,8 @@ SKIP_LINES = [
 ]
 PRICES = [r"\$\s*(\d{1,3}(?:\.\d{3})*)", r"\$\s*(\d+)", r"(\d{1,3}(?:\.\d{3})*)\s*\$?"]
 QUANTITIES = [r"(\d+)[xX]", r"(?i)(\d+)\s*UND", r"(?i)(\d+)\s*KG", r"(?i)(\d+,?\d*)\s*X"]
+#: What every quantity has.
+MARKED = r"(?i)\d,?\s*[xuk]"
 BARCODE = r"\b(\d{7,13})\b"
 PRICE_RANGE = (10, 1_000_000)
 NAME_REPAIRS = [
@@ -43,27 +45,10 @@ def text_lines(texts: DataFrame) -> DataFrame:
 
 def product_lines(texts: DataFrame) -> DataFrame:
     """TXT12: lines with a price or code that are not headers or footers, parsed one by one."""
-    skipped = F.lower(F.trim("line")).rlike("|".join(SKIP_LINES))
+    # one anchor for all, so that places after the first fail at once
+    skipped = F.lower(F.trim("line")).rlike(f"^(?:{'|'.join(p.removeprefix('^') for p in SKIP_LINES)})")
     kept = text_lines(texts).filter(F.col("line").rlike(r"\d") & ~skipped)
 
-    def parse(line: Column) -> Column:
-        barcode = first(line, BARCODE)
-        quantity = F.coalesce(*[F.replace(first(line, p), F.lit(","), F.lit(".")).try_cast("double") for p in QUANTITIES], F.lit(1.0))
-        found = F.transform(F.concat(*[every(line, p) for p in PRICES]), undotted)
-        prices = F.array_sort(F.array_distinct(F.filter(found, lambda p: p.between(*PRICE_RANGE))))
-        bare = F.trim(F.replace(F.trim(line), F.coalesce(barcode, F.lit("\n")), F.lit("")))
-        bare = F.regexp_replace(bare, r"\$\s*\d+[,.]?\d*", "")
-        bare = F.regexp_replace(bare, r"^\d+[xX]\s*", "")
-        bare = F.regexp_replace(bare, r"[^a-zA-ZáéíóúÁÉÍÓÚñÑ0-9\s]", " ")
-        name = F.upper(F.trim(F.regexp_replace(bare, r"\s+", " ")))
-        return F.struct(
-            F.trim(line).alias("raw_line"),
-            barcode.alias("barcode"),
-            quantity.alias("quantity"),
-            let(name, repaired).alias("name"),
-            prices.alias("prices"),
-        )
-
     def repaired(name: Column) -> Column:
         result = None
         for part, full in NAME_REPAIRS:
@@ -71,10 +56,23 @@ def product_lines(texts: DataFrame) -> DataFrame:
             result = F.when(hit, full) if result is None else result.when(hit, full)
         return result.otherwise(name)
 
-    # Each line is parsed once: the explode keeps later steps from repeating the expressions.
-    named = lambda p: (p["name"] != "") | p["barcode"].isNotNull()
-    parsed = kept.select("receipt_id", "pos", F.explode(F.filter(F.transform(F.array("line"), parse), named)).alias("_l")).select(
-        "receipt_id", "pos", "_l.*"
+    # Each value is a column of its own, worked out once and in compiled code; a pattern is tried only where its letters occur.
+    line = F.col("line")
+    code = F.regexp_extract(line, r"(?=\d)" + BARCODE, 1)
+    coded = kept.withColumn("_code", code).withColumn("barcode", F.when(F.col("_code") != "", F.col("_code")))
+    counts = [F.nullif(F.regexp_extract(line, p, 1), F.lit("")) for p in QUANTITIES]
+    counts = [F.replace(c, F.lit(","), F.lit(".")).try_cast("double") for c in counts]
+    quantity = F.when(line.rlike(MARKED), F.coalesce(*counts, F.lit(1.0))).otherwise(1.0)
+    bare = F.trim(F.replace(F.trim(line), F.coalesce("barcode", F.lit("\n")), F.lit("")))
+    bare = F.regexp_replace(bare, r"\$\s*\d+[,.]?\d*", "")
+    bare = F.regexp_replace(bare, r"^\d+[xX]\s*", "")
+    # Exploding a one-element array fixes the name: the filter does not work it out again.
+    read = coded.select("receipt_id", "pos", "line", "barcode", F.explode(F.array(F.upper(F.trim(F.regexp_replace(bare, r"[^a-zA-ZáéíóúÁÉÍÓÚñÑ0-9]+", " "))))).alias("_name"))
+    signed = F.when(line.contains("$"), F.concat(*[every(line, p) for p in PRICES if p.startswith(r"\$")])).otherwise(F.array().cast("array<string>"))
+    found = F.transform(F.array_distinct(F.concat(signed, *[every(line, p) for p in PRICES if not p.startswith(r"\$")])), undotted)
+    prices = F.array_sort(F.array_distinct(F.filter(found, lambda p: p.between(*PRICE_RANGE))))
+    parsed = read.filter((F.col("_name") != "") | F.col("barcode").isNotNull()).select(
+        "receipt_id", "pos", F.trim(line).alias("raw_line"), "barcode", quantity.alias("quantity"), repaired(F.col("_name")).alias("name"), prices.alias("prices")
     )
     n = F.size("prices")
     lowest, highest = F.array_min("prices"), F.array_max("prices")
@@ -103,8 +101,13 @@ def stacked_products(texts: DataFrame) -> DataFrame:
     """TXT13: products spread over lines; the first pattern and place claims a name within the receipt."""
     text = F.col("text")
 
-    def matches(pattern: str, **groups: int) -> Column:
-        return F.arrays_zip(*[every(text, pattern, g).alias(name) for name, g in groups.items()])
+    def matches(pattern: str, needs: str, **groups: int) -> Column:
+        """Each match as a struct of its groups.
+
+        A text without what every match holds is not searched; the others are searched once, and the groups come from the short match.
+        """
+        whole = F.when(text.rlike(needs), every(text, pattern, 0)).when(text.isNotNull(), F.array().cast("array<string>"))
+        return F.transform(whole, lambda m: F.struct(*[F.regexp_extract(m, pattern, g).alias(name) for name, g in groups.items()]))
 
     def title(name: Column) -> Column:
         bare = F.regexp_replace(name, r"^\d{13}\s*", "")
@@ -121,11 +124,11 @@ def stacked_products(texts: DataFrame) -> DataFrame:
         )
 
     counted = F.transform(
-        matches(STACKED_COUNTED, q=1, u=2, n=3, t=4),
+        matches(STACKED_COUNTED, r"(?i)\dX\d", q=1, u=2, n=3, t=4),
         lambda m: item(m["n"], m["q"], peso_price(m["u"]), peso_price(m["t"]), F.lit(0.95)),
     )
     coded = F.transform(
-        matches(STACKED_CODED, b=1, n=2, t=3),
+        matches(STACKED_CODED, r"\d{13}\s", b=1, n=2, t=3),
         lambda m: item(m["n"], F.lit(1), peso_price(m["t"]), peso_price(m["t"]), F.lit(0.9), m["b"]),
     )
 
@@ -135,7 +138,7 @@ def stacked_products(texts: DataFrame) -> DataFrame:
         price = F.when(small, 0.0).otherwise(amount)
         return item(m["n"], F.when(small, amount).otherwise(1), price, price, F.when(small, 0.7).otherwise(0.8))
 
-    plain = F.transform(matches(STACKED_PLAIN, n=1, t=2), loose)
+    plain = F.transform(matches(STACKED_PLAIN, r"\n\s*\n\s*\d", n=1, t=2), loose)
     longer = lambda size: lambda i: F.length(i["name"]) > size
     ranked = F.concat(F.filter(counted, longer(2)), F.filter(coded, longer(2)), F.filter(plain, longer(3)))
     rows = texts.select("receipt_id", F.posexplode(ranked).alias("_p", "_i"))

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -274,6 +275,49 @@ def test_brands_are_looked_for_without_a_pattern(spark, capsys):
     assert [(r.receipt_id, r.known_brand) for r in categorise.flags(rows).sort("receipt_id").collect()] == [(1, "lider"), (2, None), (3, None)]
 
 
+def physical(frame, capsys) -> str:
+    capsys.readouterr()
+    frame.explain()
+    return capsys.readouterr().out
+
+
+def test_stacked_patterns_are_searched_once(spark, capsys):
+    """One search a pattern, not one for each of its groups; a text that cannot match is left out."""
+    rows = texts(spark, STACKED, None, "", "12X5 nada", "7803468005005 MOLD", "PAN\n\nx")
+    found = textitems.stacked_products(rows)
+    assert physical(found, capsys).count("regexp_extract_all(") == 3
+    assert {(r.receipt_id, r.name, r.quantity, r.total_price) for r in found.collect()} == {(0, "Ben Agua Per", 2, 2000.0), (0, "Mold Int 630", 1, 2890.0), (0, "890 Galletaobse", 1, 1000.0)}
+
+
+def test_product_lines_are_parsed_by_columns(spark, capsys):
+    """No line is parsed by an interpreted lambda; odd quantities, codes and prices stay as they were."""
+    rows = texts(spark, "5,X ALGO 1.500", "12345678 LECHE  2 KG $ 1.990", "x 3und pan $5", "$ 990 $1.980", None, "TOTAL 5", "  Fecha 3", "ño-ñ 20\ta")
+    found = textitems.product_lines(rows)
+    assert "transform(array(" not in physical(found, capsys)
+    got = {r.receipt_id: (r.barcode, r.quantity, r.name, r.unit_price, r.total_price) for r in found.collect()}
+    assert got == {
+        0: (None, 5.0, "5 X ALGO 1 500", 300.0, 1500.0),
+        1: ("12345678", 2.0, "LECHE 2 KG", None, 1990.0),
+        2: (None, 3.0, "X 3UND PAN", None, None),
+        7: (None, 1.0, "ÑO Ñ 20 A", 20.0, 20.0),
+    }
+
+
+def test_payment_words_begin_with_a_letter(spark, capsys):
+    rows = texts(spark, "pago con Tarjeta", "xcash", "cash", "CRÉDITO", "transferencia visa", None)
+    found = textfields.payment(rows)
+    assert "(?=[" in physical(found, capsys)
+    assert [r.method for r in found.sort("receipt_id").collect()] == ["card", None, "cash", "credit", "card", None]
+
+
+def test_city_of_a_long_word(spark):
+    """A place inside a word is no start; trying all of them took the square of its length."""
+    rows = texts(spark, "x" * 200_000, "1abc San  Juan-Los Andes 2")
+    start = time.monotonic()
+    assert [r.city for r in textfields.transaction(rows).sort("receipt_id").select("city").collect()] == [None, "abc San  Juan"]
+    assert time.monotonic() - start < 15
+
+
 def test_language_by_script_has_language_codes(spark):
     rows = ["Привет, как дела?", "こんにちは世界です日", "안녕하세요 반갑습니다", "مرحبا بكم جميعا", "สวัสดีครับทุกคน", "你好你好你好你好你好", "русский", "gracias por su compra 12", None]
     frame = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
