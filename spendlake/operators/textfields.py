@@ -142,7 +142,8 @@ def transaction(texts: DataFrame) -> DataFrame:
     day = F.try_to_timestamp(F.concat_ws("-", part[2], F.lpad(part[1], 2, "0"), F.lpad(part[0], 2, "0")), F.lit("yyyy-MM-dd")).cast("date")
     clock = [first(text, STORE["time"], i) for i in (1, 2, 3)]
     time = F.concat_ws(":", F.lpad(clock[0], 2, "0"), clock[1], clock[2])
-    address, city, register = F.trim(first(text, STORE["address"])), F.trim(first(text, STORE["city"])), first(text, STORE["register"])
+    # a match that began inside a word would have begun with the word
+    address, city, register = F.trim(first(text, STORE["address"])), F.trim(first(text, r"(?<![A-Za-z.])" + STORE["city"])), first(text, STORE["register"])
     place = mean_of(
         weight(store, 0.9),
         weight(tax_id, 0.95),
@@ -246,7 +247,9 @@ def payment(texts: DataFrame) -> DataFrame:
     text, lower = F.col("text"), F.lower("text")
     method = None
     for name, pattern in PAYMENTS:
-        hit = lower.rlike("(?U)" + pattern)
+        # a first letter rules a place out sooner than a word boundary
+        starts = "".join(dict.fromkeys(word[0] for word in pattern[len(r"\b(?:") : -len(r")\b")].split("|")))
+        hit = lower.rlike(f"(?U)(?=[{starts}]){pattern}")
         method = F.when(hit, name) if method is None else method.when(hit, name)
     return texts.select(
         "receipt_id",
