@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 DAY_MS = 86_400_000
+#: Users in one entry of a day's state.
+USERS_A_LIST = 4096
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 #: What is summed of a day, in the order of a state row.
@@ -115,35 +117,46 @@ class _OpenDays(StatefulProcessor):
         pass
 
 
-class _Daily(_OpenDays):
-    """A bucket of users: their sums and number on each closed day, and late rows as they come."""
+class _Daily(StatefulProcessor):
+    """A bucket of users on one day: their sums and number once the day has closed, and late rows as they come.
 
-    def init(self, handle):
-        super().init(handle)
-        self.users = handle.getMapState("users", "day long, user long", "seen boolean")
+    What a batch brings for a day is summed before the state is touched, and its
+    users go there as a few lists, so the calls to the state grow with buckets
+    and days, not with users.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.sums = handle.getValueState("sums", _SUMS_DDL)
+        self.users = handle.getListState("users", "users array<long>")
 
     def handleInputRows(self, key, rows, timerValues):
-        late: dict[int, int] = {}
+        sums, users = _NO_SUMS, set()
         for frame in rows:
-            for day, user, *sums in zip(frame["day"].tolist(), frame["user_id"].tolist(), *(frame[n].tolist() for n in SUMS)):
-                if not self.enter(day, tuple(sums), timerValues):
-                    late[day] = late.get(day, 0) + sums[0]
-                elif user == user and user is not None:
-                    self.users.updateValue((day, int(user)), (True,))
-        if late:
-            yield self._rows([(key[0], day, *_NO_SUMS, 0, n) for day, n in sorted(late.items())])
+            sums = _added(sums, tuple(frame[n].sum().item() for n in SUMS))
+            users.update(frame["user_id"].dropna().astype("int64").unique().tolist())
+        end = (key[1] + 1) * DAY_MS
+        if end <= timerValues.getCurrentWatermarkInMs():  # the day's timer has fired, or fires in this batch
+            yield self._rows([(*key, *_NO_SUMS, 0, sums[0])])
+            return
+        if self.sums.exists():
+            sums = _added(tuple(self.sums.get()), sums)
+        else:
+            self.handle.registerTimer(end)
+        self.sums.update(sums)
+        listed = list(users)
+        if listed:
+            self.users.appendList([(listed[i : i + USERS_A_LIST],) for i in range(0, len(listed), USERS_A_LIST)])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        due = self.closing(expiredTimerInfo.getExpiryTimeInMs())
-        if due:
-            seen: dict[int, list] = {day: [] for day, _ in due}
-            for day, user in list(self.users.keys()):
-                if day in seen:
-                    seen[day].append(user)
-            for day, users in seen.items():
-                for user in users:
-                    self.users.removeKey((day, user))
-            yield self._rows([(key[0], day, *sums, len(seen[day]), 0) for day, sums in due])
+        seen = set().union(*(users for (users,) in self.users.get()))
+        sums = tuple(self.sums.get())
+        self.users.clear()
+        self.sums.clear()
+        yield self._rows([(*key, *sums, len(seen), 0)])
+
+    def close(self) -> None:
+        pass
 
     @staticmethod
     def _rows(rows: list[tuple]) -> pd.DataFrame:
@@ -158,7 +171,7 @@ def closed_days(events: DataFrame, lateness: str = "1 hour", buckets: int = 64)
     as requests.
     """
     rows = day_sums(events.withColumn("bucket", F.pmod(F.hash("user_id"), F.lit(buckets)).cast("int")).withColumn("user_id", F.col("user_id").cast("long")), ["bucket", "user_id"], lateness)
-    return rows.groupBy("bucket").transformWithStateInPandas(_Daily(), f"bucket int, day long, {_SUMS_DDL}, unique_users long, late_rows long", outputMode="Append", timeMode="EventTime")
+    return rows.groupBy("bucket", "day").transformWithStateInPandas(_Daily(), f"bucket int, day long, {_SUMS_DDL}, unique_users long, late_rows long", outputMode="Append", timeMode="EventTime")
 
 
 def daily_totals(closed: DataFrame) -> DataFrame:

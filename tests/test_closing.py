@@ -76,3 +76,42 @@ def test_days_close_with_exact_users_and_late_rows(source):
     # users 7 and 1 are in different buckets, only one of which has seen the day: it is closed for both
     assert got == [(1, 4, 1, 2, 2), (2, 1, 0, 1, 0), (3, 1, 0, 1, 0)]
     assert found[0].average_confidence == pytest.approx(0.5)
+
+
+class _Counted:
+    """Stands for a state and its handle: holds what is put and counts the calls."""
+
+    def __init__(self):
+        self.calls, self.held, self.states = 0, [], {}
+
+    def __getattr__(self, name):
+        if name.startswith("get") and name.endswith("State"):
+            return lambda state, schema: self.states.setdefault(state, _Counted())
+
+        def call(*args):
+            self.calls += 1
+            if name == "update":
+                self.held = [args[0]]
+            elif name == "appendList":
+                self.held += args[0]
+            return bool(self.held) if name == "exists" else self.held[0] if name == "get" and isinstance(self.held[0][0], int) else iter(self.held)
+
+        return call
+
+
+def test_calls_to_the_state_do_not_grow_with_users():
+    import pandas as pd
+
+    class Timers:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)  # noqa: N815
+        getExpiryTimeInMs = staticmethod(lambda: 20_000 * closing.DAY_MS)  # noqa: N815
+
+    handle, n = _Counted(), 30_000
+    days = closing._Daily()
+    days.init(handle)
+    frame = pd.DataFrame({"bucket": 1, "day": 19_844, "user_id": [None, *range(n - 1)], **{s: 0.5 if s in ("confidence", "processing_time") else 1 for s in closing.SUMS}})
+    for _ in range(2):
+        assert not list(days.handleInputRows((1, 19_844), iter([frame[: n // 2], frame[n // 2 :]]), Timers))
+    (closed,) = days.handleExpiredTimer((1, 19_844), Timers, Timers)
+    assert closed[["total_requests", "unique_users", "late_rows", "confidence"]].values.tolist() == [[2 * n, n - 1, 0, float(n)]]
+    assert handle.calls + sum(s.calls for s in handle.states.values()) < 100
