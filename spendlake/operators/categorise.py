@@ -6,6 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
 from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -241,23 +242,37 @@ def product_category(name: Column) -> Column:
     return result.otherwise("abarrotes")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """The same rows dealt evenly; a large file may be a single split, whose texts one task would read alone."""
+    return rows.hint("repartition")
+
+
 def train_classifier(rows: DataFrame, features: int = 5000, iterations: int = 1000) -> PipelineModel:
     """TXT8: words and word pairs, weighted by inverse document frequency, one logistic model per class.
 
     ``rows`` has ``text`` and ``category``.  The vocabulary kept on the driver
     is bounded by ``features``; counts, frequencies and gradients are
-    aggregated on the executors.  Each fit ends at its tolerance.
+    aggregated on the executors.  Each fit ends at its tolerance.  Texts are
+    split twice, for the vocabulary and for the counts, which both fits read.
     """
-    stages = [
+    rows = spread(rows.select("text", "category"))
+    words = [
         StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip"),
         RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True),
         NGram(n=2, inputCol="words", outputCol="pairs"),
         SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
         CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features),
+    ]
+    weights = [
         IDF(inputCol="counts", outputCol="features"),
         OneVsRest(classifier=LogisticRegression(maxIter=iterations, regParam=0.01), parallelism=4),
     ]
-    return Pipeline(stages=stages).fit(rows)
+    counting = Pipeline(stages=words).fit(rows)
+    counts = counting.transform(rows).select("label", "counts").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return PipelineModel(stages=counting.stages + Pipeline(stages=weights).fit(counts).stages)
+    finally:
+        counts.unpersist()
 
 
 def in_training(key: Column, share: int = 80) -> Column:
@@ -272,7 +287,7 @@ def classify(model: PipelineModel, rows: DataFrame) -> DataFrame:
     """
     scorer = PipelineModel(stages=model.stages[1:])
     labels = model.stages[0].labels
-    scored = scorer.transform(rows)
+    scored = scorer.transform(spread(rows))
     names = F.array(*[F.lit(x) for x in labels])
     one = F.transform(vector_to_array("rawPrediction"), lambda x: 1 / (1 + F.exp(-x)))
     total = lambda shares: F.aggregate(shares, F.lit(0.0), lambda s, x: s + x)
