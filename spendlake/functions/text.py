@@ -19,8 +19,9 @@ SPACES = r"(?U)\s+"
 CONTROL = r"[\x00-\x1f\x7f-\x9f]"
 
 
-def lines(text: Column) -> Column:
-    return F.split(text, "\n")
+def lines(text: Column, top: int | None = None) -> Column:
+    """The lines of a text, or its first ``top`` ones, for which the rest is not split."""
+    return F.split(text, "\n") if top is None else F.slice(F.split(text, "\n", top + 1), 1, top)
 
 
 def clean(text: Column) -> Column:

@@ -95,7 +95,7 @@ def iso_date(text: Column) -> Column:
 def header(texts: DataFrame) -> DataFrame:
     """TXT10: vendor, total, taxable amount, VAT, folio, date and tax id; the first pattern that matches wins."""
     text, upper = F.col("text"), F.upper("text")
-    top = F.transform(F.slice(lines(text), 1, 5), lambda line: F.upper(F.trim(line)))
+    top = F.transform(lines(text, 5), lambda line: F.upper(F.trim(line)))
     vendor = F.get(F.filter(top, lambda line: (F.length(line) > 3) & ~line.rlike(r"^\d")), F.lit(0))
     found = first_of(text, *DATES)
     return texts.select(
@@ -134,7 +134,7 @@ def transaction(texts: DataFrame) -> DataFrame:
         weight(change, 0.8),
     )
 
-    top = F.transform(F.slice(lines(text), 1, 5), F.trim)
+    top = F.transform(lines(text, 5), F.trim)
     named = lambda line: (F.length(line) >= 5) & is_upper(line) & ~contains_any(F.lower(line), ["rut", "fecha", "boleta"])
     store = F.get(F.filter(top, named), F.lit(0))
     tax_id, receipt = first(text, STORE["tax_id"]), first(text, STORE["receipt"])
@@ -352,7 +352,7 @@ def vendor_score(text: Column) -> Column:
 
 def vendor_lines(texts: DataFrame, top: int = 5) -> DataFrame:
     """TXT21: the first lines of each text with their score."""
-    rows = texts.select("receipt_id", F.posexplode(F.slice(lines(F.col("text")), 1, top)).alias("pos", "line"))
+    rows = texts.select("receipt_id", F.posexplode(lines(F.col("text"), top)).alias("pos", "line"))
     trimmed = rows.withColumn("line", F.trim("line"))
     return trimmed.select("receipt_id", F.col("pos").cast("int").alias("pos"), "line", vendor_score(F.col("line")).alias("score"))
 

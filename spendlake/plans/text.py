@@ -395,8 +395,11 @@ def candidates(t):
     scored = textfields.vendor_lines(t.receipt_texts).groupBy("receipt_id").agg(F.max(F.struct("score", (-F.col("pos")).alias("_p"), "line")).alias("_b"))
     best_line = scored.select("receipt_id", F.col("_b.line").alias("value"), F.col("_b.score").alias("confidence"))
     k = F.col("receipt_id")
-    other = first_line.select("receipt_id", F.when(k % 3 == 0, F.lower("value")).otherwise(F.lit("TIENDA")).alias("value"), ((k % 10) / 10.0).alias("confidence"))
-    return first_line.filter(k % 4 != 0).unionByName(best_line.filter(k % 5 != 0)).unionByName(other)
+    other = F.when(k % 3 == 0, F.lower("value")).otherwise(F.lit("TIENDA"))
+    # both strategies of one pass over the texts
+    cells = F.array(F.when(k % 4 != 0, F.struct("value", "confidence")), F.struct(other.alias("value"), ((k % 10) / 10.0).alias("confidence")))
+    headed = first_line.select("receipt_id", F.explode(F.array_compact(cells)).alias("_c")).select("receipt_id", "_c.value", "_c.confidence")
+    return headed.unionByName(best_line.filter(k % 5 != 0))
 
 
 @query("txt21_vendor_vote", "receipt_texts", f"""WITH v AS (SELECT receipt_id, string_split(text, chr(10))[1] AS vendor, CASE WHEN receipt_id % 5 = 4 THEN 0.85 ELSE 0.75 END::double AS s FROM receipt_texts),

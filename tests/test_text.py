@@ -362,3 +362,19 @@ def test_all_places_of_all_receipts(spark):
     for row in texts.select("receipt_id", "text").collect():
         r = got[row.receipt_id]
         assert (r.addresses, r.phones, r.brands, r.place_words, round(r.confidence, 9), r.extraction_method) == places(row.text)
+
+
+def test_vendor_candidates_print_the_texts_twice_at_most(spark):
+    from spendlake.plans.text import candidates
+
+    plan = candidates(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall(r"Relation \[l_orderkey", plan)) == 2
+
+
+def test_classifier_deals_a_single_split_to_all_tasks(spark):
+    rows = spark.createDataFrame([(i, text, lang) for i in range(12) for text, lang in ((f"el precio de la casa {i}", "es"), (f"the price of a house {i}", "en"))], "doc_id long, text string, category string").coalesce(1)
+    model = categorise.train_classifier(rows, features=50, iterations=20)
+    scored = categorise.classify(model, rows)
+    assert len(model.stages) == 7
+    assert "Repartition" in scored._jdf.queryExecution().optimizedPlan().toString()
+    assert scored.filter("category = predicted_category").count() == 24
