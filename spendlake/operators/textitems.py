@@ -160,6 +160,13 @@ LAYOUTS = [
     ("low", "name total", rf"([{WORDS}\s]{{3,50}})\s+(\d+[.,]\d{{2}})"),
     ("low", "name total", rf"([{WORDS}\s]{{3,40}})\s+.*?(\d+[.,]\d{{2}})"),
 ]
+#: What a line needs for the layouts that open with a run of letters, by their place; cheap to look for.
+LAYOUT_NEEDS = {
+    0: r"\d\s*[A-Za-z]{0,5}\s+\$?\s*\d+(?:[.,]\d+)?\s+\$?\s*\d",
+    7: r"\d\s*[A-Za-z]{1,5}\s+\$?\s*\d",
+    8: r"\s\d+[.,]\d{2}",
+    9: r"\d[.,]\d{2}",
+}
 TIER_CONFIDENCE = {"high": 0.9, "medium": 0.7, "low": 0.5}
 NOT_ITEMS = ["total", "subtotal", "iva", "tax", "fecha", "hora", "rut", "direccion"]
 LINE_PRICES = r"\$\s*(\d+\.\d{3}|\d+[.,]\d{2})|(\d+\.\d{3})\s*\$"
@@ -194,18 +201,14 @@ def generic_items(texts: DataFrame) -> DataFrame:
     shaped = line.rlike(r"\$?\s*\d+[.,]\d{2}") | line.rlike(rf"[{WORDS}]{{3,}}\s+\d+")
     lines_kept = rows.filter((F.length(F.trim(line)) >= 5) & ~contains_any(low, NOT_ITEMS) & line.rlike(r"\d") & shaped)
 
-    chosen = None
-    for tier, fields, pattern in LAYOUTS:
-        names = fields.split()
-        full = "(?i)" + pattern
-
-        def group(name: str, names: list[str] = names, full: str = full) -> Column:
-            return first(line, full, names.index(name) + 1) if name in names else F.lit(None).cast("string")
+    def record(found: Column, tier: str, names: list[str], full: str) -> Column:
+        def group(name: str) -> Column:
+            return first(found, full, names.index(name) + 1) if name in names else F.lit(None).cast("string")
 
         # Four digits are too short for a code and count as a quantity.
         short_code = (F.length(group("code")) <= 4) if "code" in names else F.lit(False)
         quantity = F.when(short_code, group("code")).otherwise(group("quantity"))
-        record = F.struct(
+        cells = F.struct(
             F.initcap(F.regexp_replace(F.trim(group("name")), r"\s+", " ")).alias("description"),
             F.coalesce(peso_number(quantity), F.lit(1.0)).alias("quantity"),
             F.coalesce(group("unit"), F.lit("unid")).alias("unit"),
@@ -213,23 +216,33 @@ def generic_items(texts: DataFrame) -> DataFrame:
             peso_number(group("total")).alias("total_price"),
             F.lit(TIER_CONFIDENCE[tier]).alias("base"),
         )
-        hit = line.rlike(full)
-        chosen = F.when(hit, record) if chosen is None else chosen.when(hit, record)
-    matched = lines_kept.withColumn("_i", chosen).filter(F.col("_i").isNotNull())
+        return F.when(found != "", cells)
+
+    def option(place: int) -> Column:
+        """The line is searched once for a layout; the groups come from the short match, which no layout looks beyond."""
+        tier, fields, pattern = LAYOUTS[place]
+        full = "(?i)" + pattern
+        found = let(F.regexp_extract(line, full, 0), lambda match: record(match, tier, fields.split(), full))
+        return F.when(line.rlike(LAYOUT_NEEDS[place]), found) if place in LAYOUT_NEEDS else found
+
+    chosen = F.coalesce(*map(option, range(len(LAYOUTS))))
+    # Exploding fixes a value: a filter on it would move below and search the line again.
+    matched = lines_kept.select("receipt_id", "pos", "line", F.explode(F.array_compact(F.array(chosen))).alias("_i"))
 
     shown = F.array_compact(F.transform(every(line, LINE_PRICES, 0), lambda p: _shown_price(F.regexp_replace(p, r"[$\s]", ""))))
     counts = [first(line, p) for p in LINE_QUANTITIES]
     count = F.coalesce(*counts).try_cast("double")
     count_unit = F.lower(F.coalesce(first(line, LINE_QUANTITIES[0], 2), F.when(counts[1].isNotNull(), F.lit("unid")), first(line, LINE_QUANTITIES[2], 2)))
-    found = matched.select(
+    priced = matched.select("*", F.explode(F.array(shown)).alias("_shown"))
+    found = priced.select(
         "receipt_id",
         "pos",
         "line",
         F.col("_i.description").alias("description"),
         F.coalesce(count, F.col("_i.quantity")).alias("quantity"),
         F.coalesce(count_unit, F.col("_i.unit")).alias("unit"),
-        F.coalesce(F.try_element_at(shown, F.lit(-1)), F.col("_i.total_price")).alias("total_price"),
-        F.when(F.size(shown) == 0, F.col("_i.unit_price")).alias("stated_unit_price"),
+        F.coalesce(F.try_element_at("_shown", F.lit(-1)), F.col("_i.total_price")).alias("total_price"),
+        F.when(F.size("_shown") == 0, F.col("_i.unit_price")).alias("stated_unit_price"),
         first_of(line, *SKUS).alias("sku"),
         F.col("_i.base").alias("base"),
     )

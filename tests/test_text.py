@@ -378,3 +378,10 @@ def test_classifier_deals_a_single_split_to_all_tasks(spark):
     assert len(model.stages) == 7
     assert "Repartition" in scored._jdf.queryExecution().optimizedPlan().toString()
     assert scored.filter("category = predicted_category").count() == 24
+
+
+def test_no_filter_searches_the_layouts_again(spark):
+    frame = textitems.generic_items(texts(spark, "LECHE ENTERA 2 kg $ 1.990 $ 3.980"))
+    plan = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert not [step for step in plan if step.lstrip(" +-:").startswith("Filter") and "{3,40}" in step]
+    assert [(r.description, r.quantity, r.unit) for r in frame.collect()] == [("Leche Entera", 2.0, "kg")]
