@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 from functools import lru_cache
+from itertools import accumulate
 from math import nan
 
 import pyarrow as pa
@@ -182,8 +183,14 @@ def date_consensus(readings: DataFrame) -> DataFrame:
     )
 
 
-GROUPED = T.ArrayType(
-    T.StructType([T.StructField("place", T.IntegerType()), T.StructField("group", T.IntegerType()), T.StructField("agreement", T.DoubleType())])
+#: A merged line.  Of each amount ``x`` that are the sum ``xs``, the weight ``xw`` and the number ``xn`` of
+#: what is weighed; without a number, the amount as it is and its confidence.
+MERGED = T.ArrayType(
+    T.StructType(
+        [T.StructField("group", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("product_name", T.StringType())]
+        + [T.StructField("score", T.DoubleType()), T.StructField("own", T.DoubleType())]
+        + [T.StructField(f"{x}{y}", T.LongType() if y == "n" else T.DoubleType()) for x in "qut" for y in "swn"]
+    )
 )
 
 
@@ -197,6 +204,7 @@ def _likeness(a: str, b: str) -> float:
     return SequenceMatcher(None, a, b).ratio()
 
 
+@lru_cache(maxsize=100_000)
 def _letters(name: str) -> dict[str, int]:
     """The places of each letter as bits."""
     places: dict[str, int] = {}
@@ -205,8 +213,10 @@ def _letters(name: str) -> dict[str, int]:
     return places
 
 
-def _common(places: dict[str, int], n: int, other: str) -> int:
-    """Longest common subsequence of a name of ``n`` letters and another; matching blocks are one, so they are never longer."""
+@lru_cache(maxsize=100_000)
+def _common(name: str, other: str) -> int:
+    """Longest common subsequence of two names; matching blocks are one, so they are never longer."""
+    places, n = _letters(name), len(name)
     whole = left = (1 << n) - 1
     for letter in other:
         if met := left & places.get(letter, 0):
@@ -219,55 +229,103 @@ def _groups(names: list[str], prices: list[float]) -> tuple[list[int], list[floa
 
     What is cheap to know goes first: prices, lengths and common letters bound the likeness from above.
     """
-    group = [-1] * len(names)
-    for i, (a, p) in enumerate(zip(names, prices)):
-        if group[i] >= 0:
-            continue
-        group[i], places = i, None
-        for j in range(i + 1, len(names)):
-            b, q = names[j], prices[j]
-            if group[j] >= 0 or not a or not b:
-                continue
-            price = max(0.0, 1.0 - abs(p - q) / max(p, q) * 5) if p > 0 and q > 0 else 1.0
-            if price == 0.0:
-                if a == b:
-                    group[j] = i
+    group, agreement = list(range(len(names))), [1.0] * len(names)
+    left, sizes = list(range(len(names))), list(map(len, names))
+    while left:
+        i, rest, members = left[0], [], [left[0]]
+        a, p, n = names[i], prices[i], sizes[i]
+        for j in left[1:]:
+            b, q, m = names[j], prices[j], sizes[j]
+            if not n or not m:
+                rest.append(j)
                 continue
-            both, short = len(a) + len(b), min(len(a), len(b))
-            if 2.0 * short / both * 0.7 + price * 0.3 < 0.7:
-                continue
-            if a != b and a not in b and b not in a:
-                places = places or _letters(a)
-                if 2.0 * _common(places, len(a), b) / both * 0.7 + price * 0.3 < 0.7:
-                    continue
-            if _likeness(a, b) * 0.7 + price * 0.3 >= 0.7:
+            price = 1.0
+            if p > 0 and q > 0:
+                price = max(0.0, 1.0 - abs(p - q) / (p if p > q else q) * 5)
+            if a == b:
+                alike = price == 0.0 or 0.7 + price * 0.3 >= 0.7
+            elif price == 0.0 or 2.0 * (n if n < m else m) / (n + m) * 0.7 + price * 0.3 < 0.7:
+                alike = False
+            elif a not in b and b not in a and 2.0 * _common(a, b) / (n + m) * 0.7 + price * 0.3 < 0.7:
+                alike = False
+            else:
+                alike = _likeness(a, b) * 0.7 + price * 0.3 >= 0.7
+            if alike:
                 group[j] = i
-    members: dict[int, list[str]] = {}
-    for name, g in zip(names, group):
-        members.setdefault(g, []).append(name)
-    agreement = []
-    for name, g in zip(names, group):
-        ratios = [_likeness(name, other) for other in members[g]]
-        agreement.append(sum(ratios) / len(ratios))
+                members.append(j)
+            else:
+                rest.append(j)
+        left = rest
+        if len(members) > 1:
+            own = [names[j] for j in members]
+            for j, name in zip(members, own):
+                agreement[j] = sum([_likeness(name, other) for other in own]) / len(own)
     return group, agreement
 
 
-@F.arrow_udf(GROUPED)
-def grouped_items(names: pa.Array, prices: pa.Array) -> pa.Array:
-    """Groups the few items of each receipt in reading order.
+def _rank(x: float | None) -> tuple:
+    """Order of amounts as in Spark: null, numbers, NaN."""
+    return (0, 0.0) if x is None else (2, 0.0) if x != x else (1, x)
+
 
-    Returns for each item its group and its mean similarity to the group.
+def _sums(amounts: list[float | None], confidences: list[float | None]) -> tuple[float | None, float | None, int | None]:
+    """What :func:`resolve_amounts` divides: sum and weight of the amounts near the median, and their number.
+
+    Without a number these are the amount itself and its confidence: that of a
+    lone reading, or of the surest one if none is near.
     """
-    ends, place, group, agreement = [0], [], [], []
-    for own, amounts in zip(names.to_pylist(), prices.to_pylist()):
-        found = _groups([(n or "").lower() for n in own], [nan if p is None else p for p in amounts])
-        place += range(len(own))
-        group += found[0]
-        agreement += found[1]
-        ends.append(len(place))
-    columns = [pa.array(place, pa.int32()), pa.array(group, pa.int32()), pa.array(agreement, pa.float64())]
-    cells = pa.StructArray.from_arrays(columns, names=["place", "group", "agreement"])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), cells)
+    n = len(amounts)
+    if n == 1:
+        return amounts[0], confidences[0], None
+    known = [a for a in amounts if a is not None and a == a]
+    known = sorted(known) + [nan for a in amounts if a != a]  # NaN is above all numbers
+    kept = []
+    if len(known) > n // 2:  # nulls are last, and a null median has nothing near
+        middle = (known[(n - 1) // 2] + known[n // 2]) / 2
+        low, high = middle * 0.1, middle * 10
+        kept = [i for i, a in enumerate(amounts) if a is not None and (a != a or low <= a) and (a <= high or high != high)]
+    if not kept:
+        best = max(range(n), key=lambda i: (_rank(confidences[i]), _rank(amounts[i])))
+        return amounts[best], confidences[best], None
+    total = weight = 0.0
+    for i in kept:
+        confidence = confidences[i]
+        if confidence is None:
+            return None, None, len(kept)
+        total += amounts[i] * confidence
+        weight += confidence
+    return total, weight, len(kept)
+
+
+def _merged(names: list[str | None], amounts: list[list[float | None]], confidences: list[float | None]) -> list[tuple]:
+    """The lines of a receipt in the form of :data:`MERGED`; ``amounts`` are quantities, unit prices and totals."""
+    prices = [t if u is None or u == 0 else u for u, t in zip(*amounts[1:])]
+    group, agreement = _groups([(n or "").lower() for n in names], [nan if p is None else p for p in prices])
+    members: dict[int, list[int]] = {}
+    for i, g in enumerate(group):
+        members.setdefault(g, []).append(i)
+    out = []
+    for g, own in members.items():
+        sure = [confidences[i] for i in own]
+        scores = [None if c is None else agreement[i] * c for i, c in zip(own, sure)]
+        best = scores.index(max(scores, key=_rank)) if len(own) > 1 else 0  # the first of equal ones
+        q, u, t = [_sums([column[i] for i in own], sure) for column in amounts]
+        out.append((g, len(own), names[own[best]], scores[best], sure[0], *q, *u, *t))
+    return out
+
+
+@F.arrow_udf(MERGED)
+def merged_lines(names: pa.Array, quantities: pa.Array, units: pa.Array, totals: pa.Array, confidences: pa.Array) -> pa.Array:
+    """Groups and merges the few items of each receipt in reading order."""
+    starts = [0, *accumulate(names.value_lengths().to_pylist())]
+    name, *amounts, confidence = (column.flatten().to_pylist() for column in (names, quantities, units, totals, confidences))
+    ends, rows = [0], []
+    for a, b in zip(starts, starts[1:]):
+        rows += _merged(name[a:b], [column[a:b] for column in amounts], confidence[a:b])
+        ends.append(len(rows))
+    types = [pa.int32(), pa.int64(), pa.string(), pa.float64(), pa.float64(), *[pa.float64(), pa.float64(), pa.int64()] * 3]
+    columns = [pa.array(values, kind) for values, kind in zip(zip(*rows) if rows else [()] * len(types), types)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=MERGED.elementType.names))
 
 
 def item_consensus(items: DataFrame, keep_over: float = 0.3) -> DataFrame:
@@ -278,41 +336,25 @@ def item_consensus(items: DataFrame, keep_over: float = 0.3) -> DataFrame:
     """
     cell = F.struct(_place(F.col("engine")).alias("place"), "line", "product_name", "quantity", "unit_price", "line_total", "confidence")
     gathered = items.groupBy("receipt_id").agg(F.sort_array(F.collect_list(cell)).alias("i"))
-    names = F.transform("i", lambda c: c["product_name"])
-    prices = F.transform("i", lambda c: F.when(c["unit_price"] != 0, c["unit_price"]).otherwise(c["line_total"]))
-    tagged = gathered.withColumn("g", grouped_items(names, prices))
-    rows = tagged.select("receipt_id", F.explode(F.arrays_zip("i", "g")).alias("z")).select("receipt_id", "z.i.*", F.col("z.g.group").alias("group"), F.col("z.g.place").alias("_o"), F.col("z.g.agreement").alias("agreement"))
-
-    def cells(column: str) -> Column:
-        return F.collect_list(F.struct(num(column).alias("amount"), F.col("confidence").alias("confidence")))
-
-    merged = rows.groupBy("receipt_id", "group").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.max(F.struct((F.col("agreement") * F.col("confidence")).alias("s"), (-F.col("_o")).alias("o"), "product_name")).alias("name"),
-        F.first("confidence").alias("own"),
-        cells("quantity").alias("q"),
-        cells("unit_price").alias("u"),
-        cells("line_total").alias("t"),
-    )
-    fields = merged.select(
-        "receipt_id",
-        "group",
-        "n",
-        "name",
-        "own",
-        resolve_amounts(F.col("q")).alias("q"),
-        resolve_amounts(F.col("u")).alias("u"),
-        resolve_amounts(F.col("t")).alias("t"),
-    )
-    mean = (F.least(F.lit(1.0), F.col("name.s")) + F.col("q.confidence") + F.col("u.confidence") + F.col("t.confidence")) / 4
+    # a receipt's items are together, so they are merged where they are
+    columns = [F.col(f"i.{name}").cast("array<double>") for name in ("quantity", "unit_price", "line_total", "confidence")]
+    rows = gathered.select("receipt_id", F.explode(merged_lines(F.col("i.product_name"), *columns)).alias("m")).select("receipt_id", "m.*")
+
+    def amount(x: str) -> Column:
+        return F.when(F.col(f"{x}n").isNull(), F.col(f"{x}s")).otherwise(F.bround(F.col(f"{x}s") / F.col(f"{x}w"), 2))
+
+    def sure(x: str) -> Column:
+        return F.when(F.col(f"{x}n").isNull(), F.col(f"{x}w")).otherwise(F.col(f"{x}w") / F.col(f"{x}n"))
+
+    mean = (F.least(F.lit(1.0), F.col("score")) + sure("q") + sure("u") + sure("t")) / 4
     confidence = F.when(F.col("n") == 1, F.col("own")).otherwise(mean)
-    return fields.select(
+    return rows.select(
         "receipt_id",
         "group",
-        F.col("name.product_name").alias("product_name"),
-        F.col("q.amount").alias("quantity"),
-        F.col("u.amount").alias("unit_price"),
-        F.col("t.amount").alias("line_total"),
+        "product_name",
+        amount("q").alias("quantity"),
+        amount("u").alias("unit_price"),
+        amount("t").alias("line_total"),
         confidence.alias("confidence"),
         F.when(F.col("n") == 1, "single_source").otherwise("multi_engine").alias("consensus_type"),
         F.col("n").alias("sources"),

@@ -12,6 +12,7 @@ left is compared exactly.  No pair is lost.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -24,10 +25,15 @@ RARE_FIRST = "wkxjqzyvhgfbpmdcutlnsriaoe "
 AGAIN = 7
 
 
+@lru_cache(maxsize=100_000)
+def _ratio(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
 @F.pandas_udf(T.DoubleType())
 def similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Share of matching blocks of two texts; Spark has no built-in with this definition."""
-    return pd.Series([None if a is None or b is None else SequenceMatcher(None, a, b).ratio() for a, b in zip(left, right)], dtype="float64")
+    return pd.Series([None if a is None or b is None else _ratio(a, b) for a, b in zip(left, right)], dtype="float64")
 
 
 def letters(text: Column) -> Column:

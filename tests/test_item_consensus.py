@@ -50,6 +50,27 @@ def test_resolved_amounts(spark):
     assert got == [(10.0, 0.5), (11.0, 0.5), (-6.0, 0.6), (pytest.approx(17.5), 0.4)]
 
 
+def test_merged_amounts_equal_the_resolved_ones(spark):
+    """The sums that a receipt's items are merged by, against the column form; nulls and NaN included."""
+    rng = random.Random(7)
+    values = [None, float("nan"), -3.0, 0.0, 0.01, 10.0, 10.5, 11.0, 12.0, 130.0]
+    cells = [[(rng.choice(values), rng.choice([None, 0.3, 0.5, 0.9])) for _ in range(rng.randint(1, 5))] for _ in range(2000)]
+    want = [tuple(r.r) for r in amounts(spark, cells).select(consensus.resolve_amounts(F.col("c")).alias("r")).collect()]
+    sums = spark.createDataFrame([(i, *consensus._sums(*map(list, zip(*c)))) for i, c in enumerate(cells)], "i int, s double, w double, n long")
+    amount = F.when(F.col("n").isNull(), F.col("s")).otherwise(F.bround(F.col("s") / F.col("w"), 2))
+    sure = F.when(F.col("n").isNull(), F.col("w")).otherwise(F.col("w") / F.col("n"))
+    got = [tuple(r) for r in sums.orderBy("i").select(amount, sure).collect()]
+    assert [tuple(map(str, x)) for x in got] == [tuple(map(str, x)) for x in want]
+
+
+def test_items_are_merged_where_they_are_gathered(spark):
+    """One shuffle to gather a receipt's items, none to merge them."""
+    items = spark.createDataFrame([], "receipt_id long, engine string, line long, product_name string, quantity double, unit_price double, line_total double, confidence double")
+    found = consensus.item_consensus(items)
+    assert found._jdf.queryExecution().sparkPlan().toString().count("HashAggregate") == 2
+    assert found.collect() == []
+
+
 def test_values_are_worked_out_once(spark):
     """One median, sorted once, however often the amounts are used."""
     plan = amounts(spark, []).select(consensus.resolve_amounts(F.col("c")).alias("r"))._jdf.queryExecution().optimizedPlan().toString()
