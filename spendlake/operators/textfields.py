@@ -386,7 +386,12 @@ ADDRESSES = [
     (r"(mall|centro\s+comercial)\s+([^,\n]+)", 2),
     (r"([^,\n]+?)\s+(\d+)(?:\s*[-,]\s*([^,\n]+))?,?\s*(\d{7})", 4),
 ]
-RUN_STARTS = {1: r"(?:\G|(?<=[,\n]))", 2: r"(?:\G|(?<=[^a-záéíóúñ\s]))", 4: r"(?:\G|(?<=[,\n]))"}
+RUN_STARTS = {1: r"(?:\G|(?<=[,\n]))", 4: r"(?:\G|(?<=[,\n]))"}
+# The third pattern in the form it is searched by: its matches begin and end with whole runs of letters and spaces,
+# and the digits follow the first run, so nothing is tried twice.
+LETTERS = r"[a-záéíóúñ\s]"
+WHOLE_RUNS = rf"(?<!{LETTERS}){LETTERS}++(?<={LETTERS}\s)\d++,{LETTERS}++"
+SEARCHES = [WHOLE_RUNS if i == 2 else RUN_STARTS.get(i, "") + pattern for i, (pattern, _) in enumerate(ADDRESSES)]
 PHONES = [
     r"\+56\s*[2-9]\s*\d{4}\s*\d{4}",
     r"\(\+56\)\s*[2-9]\s*\d{4}\s*\d{4}",
@@ -428,7 +433,7 @@ def _addresses(text: Column) -> Column:
     # The text is searched once per pattern; the groups come from the short match.  A pattern that opens with a
     # run of characters can only match leftmost from the start of such a run or where the last match ended, so
     # the search is tied to those places and stays linear in the text.
-    found = [F.transform(every(text, RUN_STARTS.get(i, "") + pattern, 0), build(pattern, groups)) for i, (pattern, groups) in enumerate(ADDRESSES)]
+    found = [F.transform(every(text, search, 0), build(pattern, groups)) for search, (pattern, groups) in zip(SEARCHES, ADDRESSES)]
     street = r"\b(?:av|avenida|calle|pasaje|camino)\b"
     valid = lambda a: a.isNotNull() & a.rlike(r"\d") & (a.rlike(street) | F.length(a).between(10, 100))
     return F.array_sort(F.array_distinct(F.filter(F.concat(*found), valid)))

@@ -385,3 +385,14 @@ def test_no_filter_searches_the_layouts_again(spark):
     plan = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
     assert not [step for step in plan if step.lstrip(" +-:").startswith("Filter") and "{3,40}" in step]
     assert [(r.description, r.quantity, r.unit) for r in frame.collect()] == [("Leche Entera", 2.0, "kg")]
+
+
+def test_addresses_are_searched_by_whole_runs(spark):
+    """Each address pattern is searched in a cheaper form, which finds what the pattern itself finds."""
+    rng = random.Random(22)
+    parts = ["los aromos", "ñuñoa", " ", "\n", " 12", "7", ",", ", ", "santiago", ".", "-", "é", "av. ", "n° ", "1234567", "\t", " 3,"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 25))) for _ in range(3000)] + ["a 1, b 2, c 3, d", "x 12,3 4, y", " 5, z", "b 5,\n"]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    for search, (pattern, _) in zip(textfields.SEARCHES, textfields.ADDRESSES):
+        found = [F.regexp_extract_all("text", F.lit(p), F.lit(0)) for p in (search, pattern)]
+        assert frame.filter(~found[0].eqNullSafe(found[1])).collect() == []
