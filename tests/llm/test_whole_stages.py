@@ -5,6 +5,7 @@ import random
 import numpy as np
 
 from spendlake.llm import nearsets
+from spendlake.llm.common import Scratch
 from spendlake.llm.langid import language_stage
 from tests.conftest import SMALL
 from tests.llm.conftest import SCHEMA, words
@@ -83,6 +84,29 @@ def test_similar_sets_share_a_signature():
         assert np.isin(left, right).any()
 
 
+def test_sides_of_a_shingle_bound_what_is_common(spark):
+    """What is before and after a kept shingle never rules out a similar pair, but pairs that meet in one passage only."""
+    rng = random.Random(12)
+    passage = words(rng, 60, 10**6)
+    texts = [row[1] for row in copies()] + [f"{words(rng, 6, 10**6)} {passage} {words(rng, k, 10**6)}" for k in range(2, 12)]
+    nodes = spark.createDataFrame(list(enumerate(t.encode() for t in texts)), "node long, text binary")
+    scratch = Scratch(spark)
+    kept = nearsets.rarest(nodes.mapInArrow(nearsets._shingle_signs, nearsets.SIGNS), scratch).collect()
+    scratch.clear()
+    sets, met = [set(nearsets.shingles(t.encode())) for t in texts], {}
+    for row in kept:
+        met.setdefault(row["sig"], []).append(row)
+    ruled_out = 0
+    for rows in met.values():
+        for x in rows:
+            for y in rows:
+                if x["node"] < y["node"]:
+                    most = min(x["before"], y["before"]) + 1 + min(x["after"], y["after"])
+                    assert most >= len(sets[x["node"]] & sets[y["node"]])
+                    ruled_out += 9 * most < 4 * (x["dealing"] + y["dealing"])
+    assert ruled_out
+
+
 def test_null_and_repeated_ids_keep_one_row_of_a_group(spark):
     rng = random.Random(6)
     base, other, alone = words(rng, 200, 10**6), words(rng, 200, 10**6), words(rng, 200, 10**6)
