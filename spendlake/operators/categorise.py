@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression, OneVsRest
-from pyspark.ml.feature import IDF, CountVectorizer, NGram, RegexTokenizer, SQLTransformer, StringIndexer
+from pyspark.ml.feature import IDF, CountVectorizerModel, NGram, RegexTokenizer, SQLTransformer, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
@@ -247,32 +247,57 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.hint("repartition")
 
 
+def vocabulary(words: DataFrame, features: int) -> list[str]:
+    """The most frequent terms of ``words(words)``, single words and pairs of neighbours; of equal counts words go first, then by name.
+
+    A pair is no more frequent than its rarer word.  So only pairs of the
+    ``features`` most frequent words can be among as many terms, and no other
+    pair is counted: there are far more of them than words.
+    """
+    spark = words.sparkSession
+    singles = words.select(F.explode("words").alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    singles = singles.orderBy(F.desc("n"), "term").limit(features).collect()
+    kept = F.broadcast(spark.createDataFrame([(r.term,) for r in singles], "word string"))
+    following = F.slice("words", 2, F.size("words"))  # nothing follows the last word
+    neighbours = words.select(F.inline(F.arrays_zip(F.col("words").alias("first"), following.alias("second"))))
+    for side in ("first", "second"):
+        neighbours = neighbours.join(kept.withColumnRenamed("word", side), side)
+    pairs = neighbours.groupBy("first", "second").agg(F.count("*").alias("n")).select(F.concat_ws(" ", "first", "second").alias("term"), "n")
+    pairs = pairs.orderBy(F.desc("n"), "term").limit(features).collect()
+    return [r.term for r in sorted(singles + pairs, key=lambda r: -r.n)[:features]]
+
+
+#: Weights up to which the models of all classes are fitted side by side; each fit keeps them in memory for itself.
+SIDE_BY_SIDE = 100_000_000
+
+
 def train_classifier(rows: DataFrame, features: int = 5000, iterations: int = 1000) -> PipelineModel:
     """TXT8: words and word pairs, weighted by inverse document frequency, one logistic model per class.
 
     ``rows`` has ``text`` and ``category``.  The vocabulary kept on the driver
     is bounded by ``features``; counts, frequencies and gradients are
     aggregated on the executors.  Each fit ends at its tolerance.  Texts are
-    split twice, for the vocabulary and for the counts, which both fits read.
+    dealt to the tasks once.  What a fit reads a few times only lies on disk,
+    which leaves the memory to the rows that every iteration reads.
     """
-    rows = spread(rows.select("text", "category"))
-    words = [
-        StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip"),
-        RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True),
-        NGram(n=2, inputCol="words", outputCol="pairs"),
-        SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__"),
-        CountVectorizer(inputCol="terms", outputCol="counts", vocabSize=features),
-    ]
-    weights = [
-        IDF(inputCol="counts", outputCol="features"),
-        OneVsRest(classifier=LogisticRegression(maxIter=iterations, regParam=0.01), parallelism=4),
-    ]
-    counting = Pipeline(stages=words).fit(rows)
-    counts = counting.transform(rows).select("label", "counts").persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(rows.select("text", "category")).persist(StorageLevel.DISK_ONLY)
+    held = [rows]
     try:
-        return PipelineModel(stages=counting.stages + Pipeline(stages=weights).fit(counts).stages)
+        labels = StringIndexer(inputCol="category", outputCol="label", handleInvalid="skip").fit(rows)
+        words = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"(?U)\w\w+", gaps=False, toLowercase=True)
+        pairs = NGram(n=2, inputCol="words", outputCol="pairs")
+        terms = SQLTransformer(statement="SELECT *, concat(words, pairs) AS terms FROM __THIS__")
+        names = vocabulary(words.transform(labels.transform(rows)).select("words"), features)
+        stages = [labels, words, pairs, terms, CountVectorizerModel.from_vocabulary(names, "terms", "counts")]
+        held.append(counts := PipelineModel(stages=stages).transform(rows).select("label", "counts").persist(StorageLevel.DISK_ONLY))
+        weights = IDF(inputCol="counts", outputCol="features").fit(counts)
+        held.append(weighted := weights.transform(counts).select("label", "features").persist(StorageLevel.DISK_ONLY))
+        together = 4 if sum(weights.docFreq) <= SIDE_BY_SIDE else 1
+        models = OneVsRest(classifier=LogisticRegression(maxIter=iterations, regParam=0.01), parallelism=together).fit(weighted)
     finally:
-        counts.unpersist()
+        for frame in reversed(held):
+            frame.unpersist()
+    return PipelineModel(stages=[*stages, weights, models])
 
 
 def in_training(key: Column, share: int = 80) -> Column:

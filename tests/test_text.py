@@ -380,6 +380,23 @@ def test_classifier_deals_a_single_split_to_all_tasks(spark):
     assert scored.filter("category = predicted_category").count() == 24
 
 
+def test_vocabulary_is_that_of_counting_every_word_and_pair(spark):
+    """Ties too are decided by the texts, not by how their rows meet; what a fit keeps goes with it."""
+    rng, kept = random.Random(8), spark.sparkContext._jsc.getPersistentRDDs().size()
+    for kinds, length, features in ((60, 12, 40), (9, 30, 50), (5, 1, 20)):
+        texts = [" ".join(f"w{min(rng.randrange(kinds), rng.randrange(kinds))}" for _ in range(length)) for _ in range(60)]
+        words = [text.split() for text in texts]
+        counted = {(0, w): sum(x.count(w) for x in words) for w in {w for x in words for w in x}}
+        for pair in (p for x in words for p in zip(x, x[1:])):
+            counted[1, " ".join(pair)] = counted.get((1, " ".join(pair)), 0) + 1
+        want = [term for (_, term), _ in sorted(counted.items(), key=lambda c: (-c[1], c[0]))][:features]
+        assert categorise.vocabulary(spark.createDataFrame([(x,) for x in [*words, [], None]], "words array<string>"), features) == want
+    rows = spark.createDataFrame([(text, "en" if i % 2 else "es") for i, text in enumerate([*texts, "", "x"])], "text string, category string")
+    for parts in (1, 5):
+        assert categorise.train_classifier(rows.repartition(parts), features, iterations=1).stages[4].vocabulary == want
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() == kept
+
+
 def test_no_filter_searches_the_layouts_again(spark):
     frame = textitems.generic_items(texts(spark, "LECHE ENTERA 2 kg $ 1.990 $ 3.980"))
     plan = frame._jdf.queryExecution().optimizedPlan().toString().splitlines()
