@@ -49,10 +49,15 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        prints = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], dtype=np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "print"])
+def fingerprints(rows: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """``id, print`` of ``rows(id, text)``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            prints = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints.view(np.int64))], names=["id", "print"])
+
+    return rows.mapInArrow(run, "id long, print long")
 
 
 def group_masks(radius: int) -> list[int]:
@@ -118,6 +123,14 @@ def _cells(radius: int):
     return run
 
 
+def print_links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """``a, b``: of the different fingerprints in ``print``, links that connect all that lie within ``radius`` bits."""
+    counts = thermometer(F.col("print"))
+    masks = [F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(group_masks(radius))]
+    cells = distinct.withColumn("counts", counts).select(F.explode(F.array(*masks)).alias("cell"), "counts", "print")
+    return cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(radius), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, fingerprint, component_id`` of every row; links are ``radius`` or fewer differing bits.
 
@@ -126,13 +139,9 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, id_col: str = "doc_id
     other; rows with equal fingerprints are one component.
     """
     rows = docs.select(id_key(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    prints = materialise(rows.mapInArrow(_fingerprints, "id long, print long"), "prints")
+    prints = materialise(fingerprints(rows), "prints")
     distinct = prints.groupBy("print").agg(F.min("id").alias("first"))
-    counts = thermometer(F.col("print"))
-    masks = [F.xxhash64(F.lit(i), F.col("counts").bitwiseAND(F.lit(_signed(m)))) for i, m in enumerate(group_masks(radius))]
-    cells = distinct.withColumn("counts", counts).select(F.explode(F.array(*masks)).alias("cell"), "counts", "print")
-    links = cells.repartition("cell").sortWithinPartitions("cell").mapInArrow(_cells(radius), "a long, b long")
-    rooted = distinct.join(components(links), distinct["print"] == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
+    rooted = distinct.join(components(print_links(distinct, radius)), distinct["print"] == F.col("node"), "left").select("print", "first", F.coalesce("root", "print").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component"))
     named = rooted.join(least, "root").select(F.col("print").alias("_print"), "component")
     return prints.join(named, F.col("print") == F.col("_print")).select(

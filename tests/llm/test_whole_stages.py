@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from spendlake.llm import nearsets
+from spendlake.llm import nearsets, simhash
 from spendlake.llm.common import Scratch
 from spendlake.llm.langid import language_stage
 from tests.conftest import SMALL
@@ -66,6 +66,26 @@ def test_near_stage_equals_brute_force(spark):
         assert sorted(r["doc_id"] for r in nearsets.near_stage(spark, docs, SMALL).collect()) == want
 
 
+def test_near_stage_compares_what_op8_links(spark, monkeypatch):
+    """op8's search is a step of the stage; a link counts only if the texts are similar, and the exact search goes on from there."""
+    rng = random.Random(9)
+    base = words(rng, 400, 10**6).split()
+    texts = [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join(base).upper(), " ".join(base[:200]), words(rng, 400, 10**6)]
+    nodes = spark.createDataFrame(list(enumerate(t.encode() for t in texts)), "node long, text binary")
+    prints = [simhash.fingerprint(t.encode(), nearsets.SHINGLE) for t in texts]
+    scratch = Scratch(spark)
+    found = {tuple(r) for r in nearsets.simhash_pairs(nodes, scratch).collect()}
+    scratch.clear()
+    assert (0, 2) in found and prints[0] == prints[2]
+    assert all((prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS for a, b in found)
+    assert {a for pair in found for a in pair} == {a for a in range(5) for b in range(5) if a != b and (prints[a] ^ prints[b]).bit_count() <= simhash.RADIUS}
+    # a pair that op8 links in error stays apart
+    asked = []
+    monkeypatch.setattr(nearsets, "simhash_pairs", lambda rows, _: asked.append(rows.count()) or rows.sparkSession.createDataFrame([(0, 3), (0, 1)], "a long, b long"))
+    linked = {r["node"]: r["root"] for r in nearsets.similar_links(nodes).collect()}
+    assert asked == [3] and linked | {0: 0} == {0: 0, 1: 0, 2: 0}
+
+
 def test_similar_sets_share_a_signature():
     rng = random.Random(5)
     for turn in range(2000):
